@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .simhash import op5_simhash_near_dedup
 from .secrets import op9_secret_scan
 
-QUERIES = {f.__name__: f for f in (op9_secret_scan,)}
+QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op9_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
