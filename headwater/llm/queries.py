@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from .simhash import op5_simhash_near_dedup
+from .packing import op8_best_fit_packing
 from .secrets import op9_secret_scan
+from .simhash import op5_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op9_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op5_simhash_near_dedup,
+        op8_best_fit_packing,
+        op9_secret_scan,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
