@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fertility import op10_tokeniser_fertility
 from .packing import op8_best_fit_packing
 from .secrets import op9_secret_scan
 from .simhash import op5_simhash_near_dedup
@@ -12,6 +13,7 @@ QUERIES = {
         op5_simhash_near_dedup,
         op8_best_fit_packing,
         op9_secret_scan,
+        op10_tokeniser_fertility,
     )
 }
 
