@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .compression import op7_compression_quality
 from .fertility import op10_tokeniser_fertility
 from .packing import op8_best_fit_packing
 from .secrets import op9_secret_scan
@@ -11,6 +12,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op5_simhash_near_dedup,
+        op7_compression_quality,
         op8_best_fit_packing,
         op9_secret_scan,
         op10_tokeniser_fertility,
