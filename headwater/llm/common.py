@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,5 +61,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return [(r["_t"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_y"], r["_o"], r["_t"]))]
 
 
-def crc32_fold(id_col: str = "doc_id", folds: int = 5):
-    return F.crc32(F.col(id_col).cast("string")) % folds
+def distinct_texts(texts: list[str], keys: int = 3, width: int = 5) -> list[str]:
+    """A fitting sample without copies: a text goes if it shares a least shingle hash with an earlier one."""
+    seen, kept = set(), []
+    for text in texts:
+        words = text.encode().lower().split()
+        shingles = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+        least = [(k, min(xxhash.xxh64_intdigest(s, k) for s in shingles)) for k in range(keys)]
+        if not any(x in seen for x in least):
+            kept.append(text)
+        seen.update(least)
+    return kept

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_texts
+from .common import distinct_texts, held_out, labelled_sample, map_texts
 
 BLOCK = 4096
 DICTIONARY_BYTES = 112 << 10
@@ -103,8 +103,8 @@ def _dictionary(texts: list[str], seed: int) -> bytes:
 
 def fit(sample: list[tuple[str, int]], good_share: float | None = None) -> CompressionModel:
     """A model from (text, label) rows in a fixed order; ``good_share`` is the share of label 1 to calibrate for."""
-    by = {y: [t for t, label in sample if label == y and t] for y in (0, 1)}
-    share = good_share if good_share is not None else (len(by[1]) / len(sample) if sample else 0.5)
+    by = {y: distinct_texts([t for t, label in sample if label == y and t]) for y in (0, 1)}
+    share = good_share if good_share is not None else (sum(y for _, y in sample) / len(sample) if sample else 0.5)
     if min(len(by[0]), len(by[1])) < 2:
         return CompressionModel(b"", b"", (), share)
     good, bad = _dictionary(by[1][::2], 1), _dictionary(by[0][::2], 2)

@@ -7,10 +7,12 @@ from .fertility import op10_tokeniser_fertility
 from .packing import op8_best_fit_packing
 from .secrets import op9_secret_scan
 from .simhash import op5_simhash_near_dedup
+from .toxicity import op2_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_toxicity,
         op5_simhash_near_dedup,
         op7_compression_quality,
         op8_best_fit_packing,
