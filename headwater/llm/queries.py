@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op4_prefix_bpe
 from .compression import op7_compression_quality
 from .fertility import op10_tokeniser_fertility
 from .packing import op8_best_fit_packing
@@ -13,6 +14,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_toxicity,
+        op4_prefix_bpe,
         op5_simhash_near_dedup,
         op7_compression_quality,
         op8_best_fit_packing,
