@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import chat
 from .bpe import op4_prefix_bpe
 from .compression import op7_compression_quality
 from .fertility import op10_tokeniser_fertility
@@ -13,6 +14,7 @@ from .toxicity import op2_toxicity
 QUERIES = {
     f.__name__: f
     for f in (
+        chat.op1_chat_snapshots,
         op2_toxicity,
         op4_prefix_bpe,
         op5_simhash_near_dedup,
@@ -23,4 +25,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_chat_snapshots": chat.ORACLE_SQL}
