@@ -6,6 +6,7 @@ from . import chat
 from .bpe import op4_prefix_bpe
 from .compression import op7_compression_quality
 from .fertility import op10_tokeniser_fertility
+from .imatch import op3_imatch
 from .packing import op8_best_fit_packing
 from .secrets import op9_secret_scan
 from .simhash import op5_simhash_near_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     for f in (
         chat.op1_chat_snapshots,
         op2_toxicity,
+        op3_imatch,
         op4_prefix_bpe,
         op5_simhash_near_dedup,
         op7_compression_quality,
