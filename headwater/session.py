@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or one for tests."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/headwater"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet in the shared folder, and read back from there."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage into the reliable folder of ``spark.checkpoint.dir``.
 
@@ -50,5 +63,5 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/headwater")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
