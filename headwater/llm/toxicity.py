@@ -10,8 +10,8 @@ states pools the window; a linear layer gives its logit. Windows of ``WINDOW`` w
 text are scored, and the text takes the greatest: one insult in a long text counts.
 
 Training is multiple-instance: a text's label belongs to its greatest window, chosen anew each epoch.
-It uses at most ``per_class`` labelled texts of each label (2,000 by default); half of them give the
-odds, the other half train the network, so it never sees odds that its own texts produced. Nothing but
+It uses at most ``per_class`` labelled texts of each label (2,000 by default); in training, a text's
+odds come from the folds that it is not in, so the network never sees odds that its own texts produced. Nothing but
 the text is an input. The broadcast model is a few megabytes at most, bounded by the sample.
 
 A null or empty text, or one without words, scores as one padded window. With a label missing from the
@@ -35,6 +35,8 @@ from .common import chunks, distinct_texts, held_out, labelled_sample, map_texts
 WINDOW, STRIDE = 32, 24
 HIDDEN, KEYS, EMBED, PIECES = 8, 8, 4, 12
 FEATURES = 6
+FOLDS = 4
+LEAST_STEPS = 300
 PER_CLASS = 2000
 BATCH_WINDOWS = 4096
 EDGE = ".,;:!?\"'()[]{}*$&%#|-_<>/\\"
@@ -59,15 +61,8 @@ class Vocabulary:
     odds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
 
     @classmethod
-    def count(cls, rows: list[tuple[str, int]], least: int = 5) -> Vocabulary:
-        docs = [Counter(), Counter()]
-        for text, y in rows:
-            docs[y].update({w.strip(EDGE) for w in split_words(text)})
-        grams = [Counter(), Counter()]
-        for y in (0, 1):
-            for word, n in docs[y].items():
-                for piece in set(pieces_of(word)):
-                    grams[y][piece] += n
+    def of(cls, words: list[Counter], grams: list[Counter], numbering: dict[str, int] | None = None, least: int = 3) -> Vocabulary:
+        """From counts by label; numbering: the places of pieces, where another vocabulary gives them."""
 
         def odds(counts: list[Counter]) -> dict[str, float]:
             total = [sum(c.values()) + 1 for c in counts]
@@ -79,7 +74,8 @@ class Vocabulary:
             return out
 
         found = odds(grams)
-        return cls(odds(docs), {g: i for i, g in enumerate(found, 1)}, np.array([0, *found.values()], np.float32))
+        pieces = numbering if numbering is not None else {g: i for i, g in enumerate(found, 1)}
+        return cls(odds(words), pieces, np.array([0, *(found.get(g, 0.0) for g in pieces)], np.float32))
 
     def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """FEATURES numbers and PIECES places (0 is none) of each word."""
@@ -102,6 +98,18 @@ class Vocabulary:
         return values.astype(np.float32), rows
 
 
+def counts_of(rows: list[tuple[str, int]]) -> tuple[list[Counter], list[Counter]]:
+    """By label: the texts that hold each word, and the same summed over the words of each piece."""
+    words, grams = [Counter(), Counter()], [Counter(), Counter()]
+    for text, y in rows:
+        words[y].update({w.strip(EDGE) for w in split_words(text)})
+    for y in (0, 1):
+        for word, n in words[y].items():
+            for piece in set(pieces_of(word)):
+                grams[y][piece] += n
+    return words, grams
+
+
 class Tokens:
     """Places of words in a table of the network's input sums, which grows as words come."""
 
@@ -292,19 +300,19 @@ def fit(sample: list[tuple[str, int]], toxic_share: float | None = None, epochs:
     by = {y: distinct_texts([t for t, label in sample if label == y]) for y in (0, 1)}
     if min(len(by[0]), len(by[1])) < 4:
         return ToxicityModel(Vocabulary(), {}, 1.0, 0.0, share)
-    halves = [[(t, y) for y in (0, 1) for t in by[y][k::2]] for k in (0, 1)]
-    vocabulary = Vocabulary.count(halves[0] + halves[1])
+    folds = [[(t, y) for y in (0, 1) for t in by[y][k::FOLDS]] for k in range(FOLDS)]
+    counted = [counts_of(f) for f in folds]
+    total = tuple([sum((c[part][y] for c in counted), Counter()) for y in (0, 1)] for part in (0, 1))
+    vocabulary = Vocabulary.of(*total)
     found, values, rows, labels = [], [], [], []
-    for own, other in (halves, halves[::-1]):  # a text's odds come from the half that it isn't in
+    for fold, own in zip(folds, counted, strict=True):  # a text's odds come from the folds that it isn't in
         tokens, shift = Tokens(), sum(map(len, values))
-        for text, y in own:
+        for text, y in fold:
             ids = windows_of(tokens.ids(split_words(text)))
             found.append(np.where(ids >= 0, ids + shift, -1))
             labels.append(y)
-        held = Vocabulary.count(other)
-        held.odds = np.array([held.odds[held.pieces.get(g, 0)] for g in ["", *vocabulary.pieces]], np.float32)
-        held.pieces = vocabulary.pieces  # one numbering for the embeddings
-        made = held.inputs(tokens.fresh or [""])
+        others = ([total[part][y] - own[part][y] for y in (0, 1)] for part in (0, 1))
+        made = Vocabulary.of(*others, vocabulary.pieces).inputs(tokens.fresh or [""])
         values.append(made[0])
         rows.append(made[1])
     labels = np.array(labels, np.float32)
@@ -320,6 +328,7 @@ def fit(sample: list[tuple[str, int]], toxic_share: float | None = None, epochs:
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
+    epochs = max(epochs, -(-LEAST_STEPS * batch // (len(labels) + int((labels == 0).sum()))))  # a small sample takes more rounds
     for epoch in range(epochs):
         top = np.array([s + int(np.argmax(logits[s:e])) for s, e in zip(starts, ends, strict=True)])
         plain = np.array([rng.integers(s, e) for s, e, y in zip(starts, ends, labels, strict=True) if y == 0])
