@@ -1 +1 @@
-
+"""Scalar functions as column expressions; all of them stay inside generated code."""
