@@ -158,9 +158,12 @@ class DifferenceModel:
 
 
 def flag_target(docs: DataFrame, labels: DataFrame, label: str = "quality", value: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """The texts with a column ``target``: whether their label has the value."""
+    """The texts with a column ``target``: whether their label has the value.
+
+    The labels grow with the texts, so the join is by sorting at every size and never by a broadcast.
+    """
     known = labels.where(F.col(label) == value).select(F.col(id_col).alias(id_col)).distinct().withColumn("target", F.lit(True))
-    return docs.select(id_col, "text").join(known, id_col, "left").select(id_col, "text", F.coalesce("target", F.lit(False)).alias("target"))
+    return docs.select(id_col, "text").join(known.hint("merge"), id_col, "left").select(id_col, "text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
 def train(flagged: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target", least_word: float = LEAST_WORD, least_pair: float = LEAST_PAIR) -> DifferenceModel:
