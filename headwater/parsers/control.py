@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .lines import joined, of_language
 
 #: Balanced to three levels inside an operand; an operand that is never closed runs to the end.
@@ -80,7 +81,7 @@ def folded(stmts: DataFrame, values: DataFrame, **raw: Column) -> DataFrame:
 
 
 def parse_control(lines: DataFrame) -> dict[str, DataFrame]:
-    stmts = statements(lines)
+    stmts = checkpoint(statements(lines))  # read by every kind of statement below
     values = assignments(stmts)
     text = F.col("raw_text")
 

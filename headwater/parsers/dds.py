@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .lines import MEMBER, by_member, cell, char, cut, joined, of_language, so_far
 
 
@@ -30,6 +31,7 @@ def parse_dds(lines: DataFrame) -> dict[str, DataFrame]:
     kind = F.when(F.col("type") == "R", "record").when((F.col("type") == "") & F.col("name").isNotNull(), "field").otherwise("file")
     order = by_member("entry")
     entries = entries.withColumn("kind", kind).withColumn("record_format", F.coalesce(F.last(F.when(F.col("kind") == "record", F.coalesce("name", F.lit(""))), ignorenulls=True).over(so_far(order)), F.col("member")))
+    entries = checkpoint(entries)
     bases = F.when(F.col("kind") != "field", F.concat(F.coalesce(_operands("PFILE"), F.array()), F.coalesce(_operands("JFILE"), F.array())))
     joins = (F.col("kind") != "field") & _operands("JFILE").isNotNull()
     logical = (F.col("kind") != "field") & (_operands("PFILE").isNotNull() | _operands("JFILE").isNotNull())

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import hostvars_to_markers
+from ..session import checkpoint
 from .lines import MEMBER, NAME, before, by_member, cell, char, cut, is_name, joined, of_language, so_far
 
 #: Member types in the third generation's columns.
@@ -70,7 +71,7 @@ def sql_blocks(marked: DataFrame) -> DataFrame:
 
 
 def parse_rpg(lines: DataFrame) -> dict[str, DataFrame]:
-    marked = _marked(lines)
+    marked = checkpoint(_marked(lines))  # read by every table below
     copy = r"(?i)^(?:.{5}\s?|\s*)/(?:COPY|INCLUDE)\s+(\S+)"
     code = marked.where("block IS NULL").where(~F.col("line").rlike(copy)).where((char(6) != "*") & (F.col("third") | ~F.ltrim("line").startswith("//")))
     code = code.withColumn("form", char(5))
@@ -92,11 +93,11 @@ def parse_rpg(lines: DataFrame) -> dict[str, DataFrame]:
     dcl = free.where(F.col("stmt").rlike(r"(?i)^DCL-F\s+[A-Z0-9#$@_]+"))
     rest = F.regexp_extract("stmt", r"(?i)^DCL-F\s+[A-Z0-9#$@_]+(.*)$", 1)
     ways = F.array_distinct(F.regexp_extract_all(F.upper(F.regexp_extract(rest, r"(?i)\bUSAGE\s*\(([^)]*)\)", 1)), F.lit(r"(\*INPUT|\*OUTPUT|\*UPDATE|\*DELETE)"), F.lit(1)))
-    only = F.lower(F.ltrim(F.lit("*"), F.get(ways, F.lit(0))))
+    only = F.lower(F.ltrim(F.get(ways, F.lit(0)), F.lit("*")))
     way = F.when(F.size(ways) == 0, "input").when((F.size(ways) > 1) | (only == "update"), "update").otherwise(only)
     free_file = F.upper(F.regexp_extract("stmt", r"(?i)^DCL-F\s+([A-Z0-9#$@_]+)", 1))
     named = dcl.select("program", "seq", free_file.alias("file"), way.alias("usage"), F.coalesce(_external(rest), free_file).alias("extname"), _keyword("RENAME", rest).alias("rename_rec"), F.lit("dclf").alias("declared_via"), F.lit(False).alias("program_described"))
-    files = fixed.unionByName(named)
+    files = checkpoint(fixed.unionByName(named))
     known = files.select("program", F.col("file").alias("_file")).distinct()
     sole = files.groupBy("program").agg(F.when(F.count_distinct("file") == 1, F.first("file")).alias("_sole"))
 
@@ -104,9 +105,9 @@ def parse_rpg(lines: DataFrame) -> dict[str, DataFrame]:
     calc = code.where("form = 'C'").select("program", *MEMBER, "seq", _by_generation((17, 27), (11, 25)).alias("f1"), F.split_part(F.split_part(F.coalesce(_by_generation((27, 32), (25, 35)), F.lit("")), F.lit(" "), F.lit(1)), F.lit("("), F.lit(1)).alias("opcode"), _by_generation((32, 42), (35, 49)).alias("f2"), _by_generation((42, 48), (49, 63)).alias("res"))
     free_op = free.where(~F.col("stmt").rlike(r"(?i)^DCL-")).select("program", *MEMBER, "seq", F.upper(F.regexp_extract("stmt", r"(?i)^([A-Z][A-Z0-9-]*)\b", 1)).alias("opcode"), "stmt")
     after = F.trim(F.regexp_replace("stmt", r"(?i)^[A-Z][A-Z0-9-]*(?:\([A-Z]*\))?", ""))
-    free_io = free_op.select("program", *MEMBER, "seq", "opcode", F.upper(F.regexp_replace(F.split_part(F.rtrim(F.lit(";"), after), F.lit(" "), F.lit(1)), "[();]", "")).alias("target"))
+    free_io = free_op.select("program", *MEMBER, "seq", "opcode", F.upper(F.regexp_replace(F.split_part(F.rtrim(after, F.lit(";")), F.lit(" "), F.lit(1)), "[();]", "")).alias("target"))
     io = calc.select("program", *MEMBER, "seq", "opcode", F.split_part(F.coalesce("f2", F.lit("")), F.lit(" "), F.lit(1)).alias("target")).unionByName(free_io).where(F.col("opcode").isin(*READS, *WRITES))
-    io = io.join(known, (io["program"] == known["program"]) & (F.col("target") == F.col("_file")), "left").drop(known["program"]).join(sole, "program", "left").withColumn("file", F.coalesce("_file", "_sole")).where("file IS NOT NULL")
+    io = io.join(known.withColumn("target", F.col("_file")), ["program", "target"], "left").join(sole, "program", "left").withColumn("file", F.coalesce("_file", "_sole")).where("file IS NOT NULL")
     ops = io.select("program", F.row_number().over(W.partitionBy("program").orderBy("seq")).alias("seq"), "opcode", "file", F.when(F.col("opcode").isin(*READS), "read").otherwise("write").alias("direction"))
 
     f1, f2 = _word(F.col("f1")), _word(F.col("f2"))
