@@ -1,9 +1,9 @@
 """Connected components over an edge table, by contraction in the engine.
 
-Each round hooks every node to its smallest neighbour, follows that pointer once more, and replaces the
-edges by those between the pointers' ends. A local minimum absorbs all its neighbours, so the number of
-nodes that still have edges at least halves; the rounds are logarithmic. Minima and distinct edges are
-pre-aggregated before every shuffle, and a hub is only ever a join key, which the engine can split.
+Each round hooks every node to its smallest neighbour, follows the pointers to their ends by doubling,
+and replaces the edges by those between different ends. Only local minima are left after a round, so
+stars and chains are gone after one. Minima and distinct edges are pre-aggregated before every shuffle,
+and a hub is only ever a join key, which the engine can split.
 """
 
 from __future__ import annotations
@@ -26,9 +26,13 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     while not links.isEmpty():
         both = links.union(links.select("v", "u"))
         hook = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("to"))
-        hook = checkpoint(hook)
-        on = hook.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        jump = checkpoint(hook.join(on, "to").select("node", F.col("far").alias("to")))  # every pointer's end has edges too
+        jump = checkpoint(hook)
+        while True:  # every pointer's end has edges too, so it has a pointer
+            on = jump.select(F.col("node").alias("to"), F.col("to").alias("far"))
+            step = checkpoint(jump.join(on, "to").select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+            jump = step.select("node", "to")
+            if step.where("moved").isEmpty():
+                break
         left, right = jump.select(F.col("node").alias("u"), F.col("to").alias("pu")), jump.select(F.col("node").alias("v"), F.col("to").alias("pv"))
         moved = links.join(left, "u").join(right, "v").where("pu <> pv")
         links = checkpoint(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
