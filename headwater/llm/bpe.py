@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame
 
 from .common import chunks, map_texts
 
-#: The splitting rule of the vocabulary; the second form is for lower-case ASCII text.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: The splitting rule of the vocabulary; the other forms are for texts below U+0100 and for lower-case ASCII ones.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+"
+SPLIT_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 WORD_END = "\0"  # stands for the word-end suffix inside this module; no byte character is like it
@@ -42,6 +43,23 @@ NEVER = 1 << 60
 CACHE_WORDS = 400_000
 
 
+#: Fixed value: the code points with the White_Space property.
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@functools.cache
+def splitter() -> re.Pattern:
+    """The splitting rule with letters and numbers by this Python's character database."""
+
+    def ranges(kind: str) -> str:
+        inside = [unicodedata.category(chr(c))[0] == kind for c in range(0x110000)]
+        starts = [c for c in range(0x110000) if inside[c] and not (c and inside[c - 1])]
+        ends = [c for c in range(0x110000) if inside[c] and not (c < 0x10FFFF and inside[c + 1])]
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+    return re.compile(SPLIT.format(letters=ranges("L"), numbers=ranges("N"), spaces=SPACES))
+
+
 @functools.cache
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte: itself, or the next one from U+0100 on."""
@@ -135,7 +153,12 @@ class PrefixCoder:
         """Normalised words of a text without special tokens."""
         if text.isascii():
             return SPLIT_ASCII.findall(text.lower())
-        return SPLIT.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())  # case by character, not by place
+        plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # case by character, not by place
+        try:
+            plain.encode("latin-1")
+        except UnicodeEncodeError:
+            return splitter().findall(plain)
+        return SPLIT_LATIN.findall(plain)
 
     def coded(self, word: str) -> tuple[bytes, bytes]:
         """The ids, little-endian, and the decoded text of a split word."""
