@@ -56,7 +56,7 @@ def test_full_and_targeted_extraction_agree(spark, tmp_path):
     for how in ("full", "targeted"):
         store = Store(spark, str(tmp_path / how))
         extractor = extract.Extractor(spark, host.RecordedSession(responses()), estate.CONFIG, store)
-        getattr(extractor, how)() if how == "full" else extractor.targeted(rounds=3)
+        getattr(extractor, how)() if how == "full" else extractor.targeted(rounds=2)
         found[how] = {tuple(r) for r in store.read("raw_systables").select("table_name").collect()}
         assert store.read("raw_source_members").where("member = 'RPT001'").count() == 6
         if how == "full":
