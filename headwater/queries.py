@@ -22,21 +22,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def register(fn: Callable[[SparkSession, str], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return fn(spark, sf_dir)
-
-        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
-        QUERIES[fn.__name__] = run
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return run
+#: What given SQL narrows its tables by. A query that has one of these is registered a second time, as ``<name>_whole``, without it.
+SUBSETS = (
+    "l_orderkey % 4 = 1 AND ", " WHERE l_orderkey % 5 = 0", " WHERE l_orderkey % 17 = 0", " WHERE l_orderkey % 23 = 0",
+)
+
+
+def query(sql: str | None = None, whole: bool = False):
+    """Register a query; with ``whole`` also ``<name>_whole``, the same over every row, beside its SQL without SUBSETS."""
+
+    def register(fn: Callable[..., DataFrame]):
+        def add(name: str, sql: str | None, **more: bool):
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
+                return fn(spark, sf_dir, **more)
+
+            run.__name__, run.__doc__ = name, fn.__doc__
+            QUERIES[name] = run
+            if sql:
+                ORACLE_SQL[name] = sql
+            return run
+
+        if whole:
+            every = sql
+            for subset in SUBSETS:
+                every = every.replace(subset, "")
+            add(f"{fn.__name__}_whole", every, whole=True)
+        return add(fn.__name__, sql)
 
     return register
 
 
+def _rows(df: DataFrame, subset: str, whole: bool) -> DataFrame:
+    """The rows of a subset that given SQL reads, or every row."""
+    return df if whole else df.where(subset)
+
+
 # --- Names and scope ---------------------------------------------------------
 
 
@@ -146,9 +167,9 @@ def seed_classification(spark, d):
 # --- Edges -------------------------------------------------------------------
 
 
-def _references(spark, d) -> DataFrame:
+def _references(spark, d, whole: bool = False) -> DataFrame:
     """Orders as programs that use parts; the line number is the usage flag."""
-    return table(spark, d, "lineitem").where("l_orderkey % 4 = 1").select(
+    return _rows(table(spark, d, "lineitem"), "l_orderkey % 4 = 1", whole).select(
         F.lit("app").alias("program_lib"), F.col("l_orderkey").cast("string").alias("program_name"), F.lit("dat").alias("object_lib"), F.col("l_partkey").cast("string").alias("object_name"),
         F.when(F.col("l_linenumber") == 7, "*PGM").when(F.col("l_linenumber") == 6, "*DTAARA").otherwise("*FILE").alias("object_type"), F.col("l_linenumber").cast("string").alias("usage_flag"),
     )
@@ -159,9 +180,9 @@ SELECT DISTINCT 'program:APP/' || l_orderkey AS src,
        CASE WHEN l_linenumber = 7 THEN 'program:DAT/' ELSE 'file:DAT/' END || l_partkey AS dst,
        CASE WHEN l_linenumber = 7 THEN 'calls' ELSE unnest(CASE WHEN l_linenumber = 2 THEN ['writes'] WHEN l_linenumber IN (3, 4) THEN ['reads', 'writes'] ELSE ['reads'] END) END AS kind,
        'xref' AS provenance, 'confirmed' AS confidence
-FROM lineitem WHERE l_orderkey % 4 = 1 AND l_linenumber <> 6""")
-def usage_direction_edges(spark, d):
-    return edges.reference_edges(_references(spark, d)).select("src", "dst", "kind", "provenance", "confidence").distinct()
+FROM lineitem WHERE l_orderkey % 4 = 1 AND l_linenumber <> 6""", whole=True)
+def usage_direction_edges(spark, d, whole=False):
+    return edges.reference_edges(_references(spark, d, whole)).select("src", "dst", "kind", "provenance", "confidence").distinct()
 
 
 @query("""
@@ -295,12 +316,12 @@ walk AS (
   UNION SELECT w.seed, f.dst, w.depth + 1, least(w.rank, f.rank) FROM walk w JOIN flow f ON f.src = w.node WHERE w.depth < 64)"""
 
 
-def _graph(spark, d) -> DataFrame:
+def _graph(spark, d, whole: bool = False) -> DataFrame:
     flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 3).otherwise(2)
     made = [
         table(spark, d, "nation").select(F.concat(F.lit("R"), "n_regionkey").alias("src"), F.concat(F.lit("N"), "n_nationkey").alias("dst"), F.lit(3).alias("rank")),
         table(spark, d, "supplier").select(F.concat(F.lit("N"), "s_nationkey"), F.concat(F.lit("S"), "s_suppkey"), F.when(F.col("s_acctbal") < 2000, 1).otherwise(2)),
-        table(spark, d, "lineitem").where("l_orderkey % 5 = 0").groupBy("l_suppkey", "l_partkey").agg(F.max(flag).alias("rank")).select(F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey"), "rank"),
+        _rows(table(spark, d, "lineitem"), "l_orderkey % 5 = 0", whole).groupBy("l_suppkey", "l_partkey").agg(F.max(flag).alias("rank")).select(F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey"), "rank"),
         table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey"), "p_brand", F.when(F.col("p_size") > 25, 2).otherwise(1)),
     ]
     out = made[0]
@@ -313,9 +334,9 @@ def _regions(spark, d) -> DataFrame:
     return table(spark, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("seed"), F.concat(F.lit("R"), "r_regionkey").alias("node"))
 
 
-@query(f"WITH RECURSIVE {GRAPH}, {REACH} SELECT seed, node, min(depth) AS depth, max(rank)::BIGINT AS rank FROM walk WHERE node <> seed GROUP BY seed, node")
-def backward_closure(spark, d):
-    return closure.closure(_regions(spark, d), _graph(spark, d)).select("seed", "node", "depth", "rank")
+@query(f"WITH RECURSIVE {GRAPH}, {REACH} SELECT seed, node, min(depth) AS depth, max(rank)::BIGINT AS rank FROM walk WHERE node <> seed GROUP BY seed, node", whole=True)
+def backward_closure(spark, d, whole=False):
+    return closure.closure(_regions(spark, d), _graph(spark, d, whole)).select("seed", "node", "depth", "rank")
 
 
 TRADE = """
@@ -370,10 +391,10 @@ def transitive_callers(spark, d):
 
 @query(f"""WITH RECURSIVE {GRAPH}, kept AS (SELECT 'R' || r_regionkey AS node FROM region UNION ALL SELECT 'S' || s_suppkey FROM supplier UNION ALL SELECT DISTINCT p_brand FROM part),
 walk AS (SELECT node AS seed, node, 9 AS rank, true AS go FROM kept UNION SELECT w.seed, f.dst, least(w.rank, f.rank), f.dst NOT IN (SELECT node FROM kept) FROM walk w JOIN flow f ON f.src = w.node WHERE w.go)
-SELECT seed AS src, node AS dst, max(rank)::BIGINT AS rank FROM walk WHERE node IN (SELECT node FROM kept) AND node <> seed GROUP BY seed, node""")
-def physical_contraction(spark, d):
+SELECT seed AS src, node AS dst, max(rank)::BIGINT AS rank FROM walk WHERE node IN (SELECT node FROM kept) AND node <> seed GROUP BY seed, node""", whole=True)
+def physical_contraction(spark, d, whole=False):
     kept = table(spark, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("node")).union(table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey"))).union(table(spark, d, "part").select("p_brand").distinct())
-    return closure.contract(_graph(spark, d), kept).select("src", "dst", "rank")
+    return closure.contract(_graph(spark, d, whole), kept).select("src", "dst", "rank")
 
 
 @query(f"""WITH RECURSIVE counts AS (SELECT 'N' || c_nationkey AS src, 'N' || s_nationkey AS dst, count(*) AS n
@@ -414,8 +435,8 @@ lineage AS (SELECT 'N' || s_nationkey AS output_id, 'file:P/' || replace(upper(p
 MATRIX = f"{LINEAGE}, matrix AS (SELECT output_id, source_file AS source_id FROM lineage UNION SELECT output_id, 'column:' || substr(source_file, 6) || '.' || source_column FROM lineage WHERE relation = 'used' AND source_column IS NOT NULL)"
 
 
-def _lineage(spark, d) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_orderkey % 23 = 0").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+def _lineage(spark, d, whole: bool = False) -> DataFrame:
+    lines = _rows(table(spark, d, "lineitem"), "l_orderkey % 23 = 0", whole).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     size = F.col("p_size")
     return lines.select("s_nationkey", "p_brand", "p_type", "p_size").distinct().select(
         F.concat(F.lit("N"), "s_nationkey").alias("output_id"), ids.file_id(F.lit("p"), F.replace("p_brand", F.lit("#"))).alias("source_file"), F.when(size % 2 == 0, F.col("p_type")).alias("source_column"),
@@ -423,52 +444,52 @@ def _lineage(spark, d) -> DataFrame:
     )
 
 
-@query(f"WITH {MATRIX} SELECT output_id, source_id, true AS present FROM matrix")
-def commonality_matrix(spark, d):
-    return analysis.commonality_matrix(_lineage(spark, d))
+@query(f"WITH {MATRIX} SELECT output_id, source_id, true AS present FROM matrix", whole=True)
+def commonality_matrix(spark, d, whole=False):
+    return analysis.commonality_matrix(_lineage(spark, d, whole))
 
 
-@query(f"WITH {MATRIX} SELECT source_id, count(DISTINCT output_id) AS fanout, string_agg(DISTINCT output_id, ',' ORDER BY output_id) AS outputs FROM matrix GROUP BY source_id")
-def fanout(spark, d):
-    return analysis.fan_out(analysis.commonality_matrix(_lineage(spark, d)))
+@query(f"WITH {MATRIX} SELECT source_id, count(DISTINCT output_id) AS fanout, string_agg(DISTINCT output_id, ',' ORDER BY output_id) AS outputs FROM matrix GROUP BY source_id", whole=True)
+def fanout(spark, d, whole=False):
+    return analysis.fan_out(analysis.commonality_matrix(_lineage(spark, d, whole)))
 
 
-@query(f"WITH {MATRIX}, m AS (SELECT 'R' || n_regionkey AS cluster, 'N' || n_nationkey AS output_id FROM nation) SELECT cluster, source_id FROM matrix JOIN m USING (output_id) GROUP BY cluster, source_id HAVING count(DISTINCT output_id) = 5")
-def shared_sources(spark, d):
+@query(f"WITH {MATRIX}, m AS (SELECT 'R' || n_regionkey AS cluster, 'N' || n_nationkey AS output_id FROM nation) SELECT cluster, source_id FROM matrix JOIN m USING (output_id) GROUP BY cluster, source_id HAVING count(DISTINCT output_id) = 5", whole=True)
+def shared_sources(spark, d, whole=False):
     clusters = table(spark, d, "nation").select(F.concat(F.lit("R"), "n_regionkey").alias("cluster"), F.concat(F.lit("N"), "n_nationkey").alias("output_id"))
-    return analysis.shared_by_all(analysis.commonality_matrix(_lineage(spark, d)), clusters)
+    return analysis.shared_by_all(analysis.commonality_matrix(_lineage(spark, d, whole)), clusters)
 
 
 @query(f"""WITH {MATRIX}, n AS (SELECT output_id, count(*) AS n FROM matrix GROUP BY output_id)
 SELECT x.output_id AS a, y.output_id AS b, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*))::DOUBLE, 6) AS jaccard
-FROM matrix x JOIN matrix y ON x.source_id = y.source_id AND x.output_id < y.output_id JOIN n p ON p.output_id = x.output_id JOIN n q ON q.output_id = y.output_id GROUP BY 1, 2""")
-def jaccard_pairs(spark, d):
-    return analysis.jaccard_pairs(analysis.commonality_matrix(_lineage(spark, d)))
+FROM matrix x JOIN matrix y ON x.source_id = y.source_id AND x.output_id < y.output_id JOIN n p ON p.output_id = x.output_id JOIN n q ON q.output_id = y.output_id GROUP BY 1, 2""", whole=True)
+def jaccard_pairs(spark, d, whole=False):
+    return analysis.jaccard_pairs(analysis.commonality_matrix(_lineage(spark, d, whole)))
 
 
-@query(f"WITH {MATRIX} SELECT source_id, count(DISTINCT output_id) AS n_outputs FROM matrix GROUP BY source_id ORDER BY 2 DESC, 1 LIMIT 20")
-def top_shared_sources(spark, d):
-    return analysis.top_shared(analysis.commonality_matrix(_lineage(spark, d)))
+@query(f"WITH {MATRIX} SELECT source_id, count(DISTINCT output_id) AS n_outputs FROM matrix GROUP BY source_id ORDER BY 2 DESC, 1 LIMIT 20", whole=True)
+def top_shared_sources(spark, d, whole=False):
+    return analysis.top_shared(analysis.commonality_matrix(_lineage(spark, d, whole)))
 
 
 STATUS = """status AS (SELECT o.output_id, CASE WHEN count(l.output_id) = 0 THEN 'unresolved' WHEN bool_or(l.min_confidence = 'inferred' OR l.source_file IN (SELECT 'file:P/BRAND1' || p_size FROM part WHERE p_size < 3)) THEN 'partial' ELSE 'resolved' END AS status
   FROM (SELECT 'N' || s_suppkey AS output_id FROM supplier WHERE s_suppkey < 40) o LEFT JOIN lineage l USING (output_id) GROUP BY o.output_id)"""
 
 
-def _status(spark, d) -> DataFrame:
+def _status(spark, d, whole: bool = False) -> DataFrame:
     outputs = table(spark, d, "supplier").where("s_suppkey < 40").select(F.concat(F.lit("N"), "s_suppkey").alias("output_id"))
     gaps = table(spark, d, "part").where("p_size < 3").select(F.concat(F.lit("file:P/BRAND1"), "p_size").alias("object_id"))
-    return analysis.coverage_status(outputs, _lineage(spark, d), gaps)
+    return analysis.coverage_status(outputs, _lineage(spark, d, whole), gaps)
 
 
-@query(f"WITH {LINEAGE}, {STATUS} SELECT * FROM status")
-def coverage_status(spark, d):
-    return _status(spark, d)
+@query(f"WITH {LINEAGE}, {STATUS} SELECT * FROM status", whole=True)
+def coverage_status(spark, d, whole=False):
+    return _status(spark, d, whole)
 
 
-@query(f"WITH {LINEAGE}, {STATUS} SELECT count(*) AS n_outputs, count_if(status = 'resolved')::BIGINT AS n_resolved, count_if(status = 'partial')::BIGINT AS n_partial, count_if(status = 'unresolved')::BIGINT AS n_unresolved, round(100.0 * count_if(status = 'resolved') / count(*), 1)::DOUBLE AS resolved_pct FROM status")
-def coverage_summary(spark, d):
-    return analysis.coverage_summary(_status(spark, d))
+@query(f"WITH {LINEAGE}, {STATUS} SELECT count(*) AS n_outputs, count_if(status = 'resolved')::BIGINT AS n_resolved, count_if(status = 'partial')::BIGINT AS n_partial, count_if(status = 'unresolved')::BIGINT AS n_unresolved, round(100.0 * count_if(status = 'resolved') / count(*), 1)::DOUBLE AS resolved_pct FROM status", whole=True)
+def coverage_summary(spark, d, whole=False):
+    return analysis.coverage_summary(_status(spark, d, whole))
 
 
 @query("""
@@ -490,12 +511,12 @@ edges AS (
 flow AS (SELECT dst AS src, src AS dst, rank FROM edges WHERE kind = 'writes' UNION SELECT src, dst, rank FROM edges WHERE kind = 'derives_from' OR (kind = 'reads' AND src LIKE 'program:%'))"""
 
 
-def _lineage_graph(spark, d) -> DataFrame:
+def _lineage_graph(spark, d, whole: bool = False) -> DataFrame:
     lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     place = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
     placed = lines.join(place, F.col("l_suppkey") == F.col("s_suppkey"))
     program, brand = F.concat(F.lit("program:P/S"), "l_suppkey"), F.concat(F.lit("F/B"), F.right(F.col("p_brand"), F.lit(2)))
-    some = lines.where("l_orderkey % 17 = 0")
+    some = _rows(lines, "l_orderkey % 17 = 0", whole)
     made = [
         placed.select(program.alias("src"), F.concat(F.lit("file:F/R"), "n_regionkey").alias("dst"), F.lit("writes").alias("kind"), F.lit("confirmed").alias("confidence")),
         some.select(program, F.concat(F.lit("file:"), brand), F.lit("reads"), F.lit("parsed")),
@@ -518,12 +539,12 @@ cols AS (SELECT output_id, node, min(depth) AS depth, max(rank) AS rank, 'derive
   UNION ALL SELECT c.output_id, e.dst, c.depth + 1, least(c.rank, e.rank), 'used' FROM cone c JOIN edges e ON e.src = c.node AND e.kind = 'reads' AND e.dst LIKE 'column:%' WHERE c.node LIKE 'program:%'),
 best AS (SELECT output_id, 'file:' || regexp_replace(substr(node, 8), '\\.[^.]*$', '') AS source_file, split_part(node, '.', 2) AS source_column, relation, arg_min({{'d': depth, 'r': rank}}, depth * 10 - rank) AS b FROM cols GROUP BY output_id, node, relation)
 SELECT output_id, node AS source_file, NULL AS source_column, depth AS path_len, ['unresolved', 'inferred', 'parsed', 'confirmed'][rank + 1] AS min_confidence, 'derives' AS relation FROM cone JOIN base USING (node)
-UNION ALL SELECT output_id, source_file, source_column, b.d, ['unresolved', 'inferred', 'parsed', 'confirmed'][b.r + 1], relation FROM best WHERE source_file IN (SELECT node FROM base)""")
-def output_lineage_rows(spark, d):
+UNION ALL SELECT output_id, source_file, source_column, b.d, ['unresolved', 'inferred', 'parsed', 'confirmed'][b.r + 1], relation FROM best WHERE source_file IN (SELECT node FROM base)""", whole=True)
+def output_lineage_rows(spark, d, whole=False):
     region = table(spark, d, "region")
     seeds = region.select(F.concat(F.lit("R"), "r_regionkey").alias("output_id"), F.concat(F.lit("file:F/R"), "r_regionkey").alias("node"))
     columns = region.select(F.concat(F.lit("R"), "r_regionkey").alias("output_id"), F.concat(F.lit("column:F/R"), "r_regionkey", F.lit(".C0")).alias("node"))
-    return analysis.output_lineage(seeds, columns, _lineage_graph(spark, d))
+    return analysis.output_lineage(seeds, columns, _lineage_graph(spark, d, whole))
 
 
 @query("""

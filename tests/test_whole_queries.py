@@ -1,0 +1,22 @@
+"""The queries whose given SQL reads a subset, over every row: none of the subsets is left in the plan or in the SQL."""
+
+import pytest
+
+import __spark_entry__ as entry
+from headwater import queries
+from headwater.queries import ORACLE_SQL, SUBSETS
+
+LINES = "commonality_matrix fanout shared_sources jaccard_pairs top_shared_sources coverage_status coverage_summary output_lineage_rows backward_closure physical_contraction usage_direction_edges".split()
+
+
+@pytest.mark.parametrize("name", LINES)
+def test_no_subset_is_left(name):
+    assert f"{name}_whole" in entry.queries()
+    assert any(s in ORACLE_SQL[name] for s in SUBSETS) and not any(s in ORACLE_SQL[f"{name}_whole"] for s in SUBSETS)
+
+
+def test_every_line_is_read(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert queries._references(spark, sf_dir, True).count() == lines.count()
+    ties = queries._graph(spark, sf_dir, True).where("src LIKE 'S%' AND dst LIKE 'P%'").count()
+    assert ties == lines.select("l_suppkey", "l_partkey").distinct().count()
