@@ -25,6 +25,7 @@ ORACLE_SQL: dict[str, str] = {}
 #: What given SQL narrows its tables by. A query that has one of these is registered a second time, as ``<name>_whole``, without it.
 SUBSETS = (
     "l_orderkey % 4 = 1 AND ", " WHERE l_orderkey % 5 = 0", " WHERE l_orderkey % 17 = 0", " WHERE l_orderkey % 23 = 0",
+    " WHERE c_custkey <= 20", " WHERE c_custkey <= 12", " WHERE n_nationkey < 6", " WHERE n_nationkey < 3", " WHERE p_partkey % 10 = 0", " WHERE o_orderkey % 50 = 1", " WHERE s_suppkey < 40",
 )
 
 
@@ -82,9 +83,9 @@ def catalog_object_set(spark, d):
 @query(f"""
 SELECT n.name, h.lib AS found_lib, coalesce(h.n > 1, false) AS ambiguous
 FROM (SELECT DISTINCT upper(p_type) AS name FROM part UNION SELECT upper(c_name) FROM customer WHERE c_custkey <= 20) n
-LEFT JOIN (SELECT o.name, arg_min(o.lib, l.place) AS lib, count(DISTINCT o.lib) AS n FROM {OBJECTS} o JOIN {LIBLIST} ON o.lib = l.lib GROUP BY o.name) h USING (name)""")
-def liblist_first_match(spark, d):
-    names = _objects(spark, d).select("name").union(table(spark, d, "customer").where("c_custkey <= 20").select(F.upper("c_name").alias("name"))).distinct()
+LEFT JOIN (SELECT o.name, arg_min(o.lib, l.place) AS lib, count(DISTINCT o.lib) AS n FROM {OBJECTS} o JOIN {LIBLIST} ON o.lib = l.lib GROUP BY o.name) h USING (name)""", whole=True)
+def liblist_first_match(spark, d, whole=False):
+    names = _objects(spark, d).select("name").union(_rows(table(spark, d, "customer"), "c_custkey <= 20", whole).select(F.upper("c_name").alias("name"))).distinct()
     return resolve.first_in_library_list(names, resolve.catalog_objects(_objects(spark, d)), _library_list(spark))
 
 
@@ -353,9 +354,9 @@ def _trade(spark, d) -> DataFrame:
 @query(f"""WITH RECURSIVE {TRADE}, walk AS (
   SELECT 'N' || n_nationkey AS seed, 'N' || n_nationkey AS node, 0 AS depth, 9::BIGINT AS rank FROM nation WHERE n_nationkey < 6
   UNION SELECT w.seed, t.dst, w.depth + 1, least(w.rank, t.rank) FROM walk w JOIN trade t ON t.src = w.node WHERE w.depth < 64)
-SELECT seed, node, min(depth) AS depth, max(rank) AS rank FROM walk WHERE node <> seed GROUP BY seed, node""")
-def closure_cyclic(spark, d):
-    seeds = table(spark, d, "nation").where("n_nationkey < 6").select(F.concat(F.lit("N"), "n_nationkey").alias("seed"), F.concat(F.lit("N"), "n_nationkey").alias("node"))
+SELECT seed, node, min(depth) AS depth, max(rank) AS rank FROM walk WHERE node <> seed GROUP BY seed, node""", whole=True)
+def closure_cyclic(spark, d, whole=False):
+    seeds = _rows(table(spark, d, "nation"), "n_nationkey < 6", whole).select(F.concat(F.lit("N"), "n_nationkey").alias("seed"), F.concat(F.lit("N"), "n_nationkey").alias("node"))
     return closure.closure(seeds, _trade(spark, d)).select("seed", "node", "depth", "rank")
 
 
@@ -374,19 +375,19 @@ CHAIN = "SELECT 'P' || p_partkey AS src, p_brand AS dst FROM part WHERE p_size <
 
 
 @query(f"""WITH RECURSIVE e AS ({CHAIN}), walk AS (SELECT 'P' || p_partkey AS seed, 'P' || p_partkey AS node FROM part WHERE p_partkey % 10 = 0 UNION SELECT w.seed, e.dst FROM walk w JOIN e ON e.src = w.node)
-SELECT seed, node FROM walk WHERE node NOT IN (SELECT src FROM e)""")
-def flatten_logical(spark, d):
+SELECT seed, node FROM walk WHERE node NOT IN (SELECT src FROM e)""", whole=True)
+def flatten_logical(spark, d, whole=False):
     part = table(spark, d, "part")
     flow = part.where("p_size < 40").select(F.concat(F.lit("P"), "p_partkey").alias("src"), F.col("p_brand").alias("dst")).union(part.where("p_size % 10 = 3").select("p_brand", "p_type")).distinct().withColumn("rank", F.lit(1))
-    return closure.sinks(part.where("p_partkey % 10 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("seed"), F.concat(F.lit("P"), "p_partkey").alias("node")), flow)
+    return closure.sinks(_rows(part, "p_partkey % 10 = 0", whole).select(F.concat(F.lit("P"), "p_partkey").alias("seed"), F.concat(F.lit("P"), "p_partkey").alias("node")), flow)
 
 
 @query("""WITH RECURSIVE calls AS (SELECT c_custkey AS src, 1 + c_custkey // 3 AS dst FROM customer),
 walk AS (SELECT c_custkey AS seed, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey <= 12 UNION SELECT w.seed, c.src, w.depth + 1 FROM walk w JOIN calls c ON c.dst = w.node WHERE w.depth < 64)
-SELECT seed, node, min(depth) AS depth FROM walk WHERE node <> seed GROUP BY seed, node""")
-def transitive_callers(spark, d):
+SELECT seed, node, min(depth) AS depth FROM walk WHERE node <> seed GROUP BY seed, node""", whole=True)
+def transitive_callers(spark, d, whole=False):
     c = table(spark, d, "customer")
-    return closure.transitive_callers(c.where("c_custkey <= 12").select(F.col("c_custkey").alias("seed"), F.col("c_custkey").alias("node")), c.select(F.col("c_custkey").alias("src"), F.expr("1 + c_custkey div 3").alias("dst")))
+    return closure.transitive_callers(_rows(c, "c_custkey <= 12", whole).select(F.col("c_custkey").alias("seed"), F.col("c_custkey").alias("node")), c.select(F.col("c_custkey").alias("src"), F.expr("1 + c_custkey div 3").alias("dst")))
 
 
 @query(f"""WITH RECURSIVE {GRAPH}, kept AS (SELECT 'R' || r_regionkey AS node FROM region UNION ALL SELECT 'S' || s_suppkey FROM supplier UNION ALL SELECT DISTINCT p_brand FROM part),
@@ -400,22 +401,22 @@ def physical_contraction(spark, d, whole=False):
 @query(f"""WITH RECURSIVE counts AS (SELECT 'N' || c_nationkey AS src, 'N' || s_nationkey AS dst, count(*) AS n
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey < s_nationkey AND c_nationkey + 5 > s_nationkey GROUP BY ALL),
 walk AS (SELECT 'N' || n_nationkey AS seed, 'N' || n_nationkey AS node, 1099511627776::BIGINT AS n FROM nation WHERE n_nationkey < 3 UNION SELECT w.seed, c.dst, least(w.n, c.n) FROM walk w JOIN counts c ON c.src = w.node)
-SELECT seed, node, max(n) AS bottleneck FROM walk WHERE node <> seed GROUP BY seed, node""")
-def evidence_bottleneck(spark, d):
+SELECT seed, node, max(n) AS bottleneck FROM walk WHERE node <> seed GROUP BY seed, node""", whole=True)
+def evidence_bottleneck(spark, d, whole=False):
     joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     counts = joined.where("c_nationkey < s_nationkey AND c_nationkey + 5 > s_nationkey").groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("rank"))
     flow = counts.select(F.concat(F.lit("N"), "c_nationkey").alias("src"), F.concat(F.lit("N"), "s_nationkey").alias("dst"), "rank")
-    seeds = table(spark, d, "nation").where("n_nationkey < 3").select(F.concat(F.lit("N"), "n_nationkey").alias("seed"), F.concat(F.lit("N"), "n_nationkey").alias("node"))
+    seeds = _rows(table(spark, d, "nation"), "n_nationkey < 3", whole).select(F.concat(F.lit("N"), "n_nationkey").alias("seed"), F.concat(F.lit("N"), "n_nationkey").alias("node"))
     return closure.closure(seeds, flow).select("seed", "node", F.col("rank").alias("bottleneck"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT o_orderkey AS src, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey // 2 ELSE o_orderkey - 4 END AS dst FROM orders WHERE o_orderkey > 8),
 walk AS (SELECT o_orderkey AS seed, o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey % 50 = 1 UNION SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 8)
-SELECT seed, node, min(depth) AS depth FROM walk WHERE node <> seed GROUP BY seed, node""")
-def move_chain(spark, d):
+SELECT seed, node, min(depth) AS depth FROM walk WHERE node <> seed GROUP BY seed, node""", whole=True)
+def move_chain(spark, d, whole=False):
     o = table(spark, d, "orders")
     flow = o.where("o_orderkey > 8").select(F.col("o_orderkey").alias("src"), F.expr("CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey div 2 ELSE o_orderkey - 4 END").alias("dst"), F.lit(1).alias("rank"))
-    seeds = o.where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("seed"), F.col("o_orderkey").alias("node"))
+    seeds = _rows(o, "o_orderkey % 50 = 1", whole).select(F.col("o_orderkey").alias("seed"), F.col("o_orderkey").alias("node"))
     return closure.closure(seeds, flow, max_depth=8).select("seed", "node", "depth")
 
 
@@ -477,7 +478,7 @@ STATUS = """status AS (SELECT o.output_id, CASE WHEN count(l.output_id) = 0 THEN
 
 
 def _status(spark, d, whole: bool = False) -> DataFrame:
-    outputs = table(spark, d, "supplier").where("s_suppkey < 40").select(F.concat(F.lit("N"), "s_suppkey").alias("output_id"))
+    outputs = _rows(table(spark, d, "supplier"), "s_suppkey < 40", whole).select(F.concat(F.lit("N"), "s_suppkey").alias("output_id"))
     gaps = table(spark, d, "part").where("p_size < 3").select(F.concat(F.lit("file:P/BRAND1"), "p_size").alias("object_id"))
     return analysis.coverage_status(outputs, _lineage(spark, d, whole), gaps)
 

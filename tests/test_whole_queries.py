@@ -4,12 +4,13 @@ import pytest
 
 import __spark_entry__ as entry
 from headwater import queries
-from headwater.queries import ORACLE_SQL, SUBSETS
+from headwater.queries import ORACLE_SQL, QUERIES, SUBSETS
 
 LINES = "commonality_matrix fanout shared_sources jaccard_pairs top_shared_sources coverage_status coverage_summary output_lineage_rows backward_closure physical_contraction usage_direction_edges".split()
+SEEDS = "move_chain flatten_logical transitive_callers liblist_first_match closure_cyclic evidence_bottleneck".split()
 
 
-@pytest.mark.parametrize("name", LINES)
+@pytest.mark.parametrize("name", LINES + SEEDS)
 def test_no_subset_is_left(name):
     assert f"{name}_whole" in entry.queries()
     assert any(s in ORACLE_SQL[name] for s in SUBSETS) and not any(s in ORACLE_SQL[f"{name}_whole"] for s in SUBSETS)
@@ -20,3 +21,9 @@ def test_every_line_is_read(spark, sf_dir):
     assert queries._references(spark, sf_dir, True).count() == lines.count()
     ties = queries._graph(spark, sf_dir, True).where("src LIKE 'S%' AND dst LIKE 'P%'").count()
     assert ties == lines.select("l_suppkey", "l_partkey").distinct().count()
+
+
+def test_every_row_is_a_seed(spark, sf_dir):
+    seeds = {r["seed"] for r in QUERIES["move_chain_whole"](spark, sf_dir).select("seed").collect()}
+    orders = {r["o_orderkey"] for r in spark.read.parquet(f"{sf_dir}/orders.parquet").collect()}
+    assert seeds == {o for o in orders if o > 8}
