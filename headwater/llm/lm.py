@@ -5,11 +5,15 @@ wanted kind (by default the documents labelled as of good quality), the backgrou
 texts. A text's score is its loss a token under the target model less that under the background model;
 lower is more like the target.
 
-Counts cover every text. They are summed in each task, spilled as rows whenever the task's table is
-full, and summed again in the engine, so what is gathered grows with the input. The models are pruned by
-relative frequency, which bounds what is broadcast at any input size: at most ``1 / LEAST_WORD`` words
-and ``1 / LEAST_PAIR`` pairs in each model can be that frequent. A rarer word is the unknown word, a
-rarer pair backs off to its second word.
+``score_whole``, which the query uses, keeps every word and every pair. Texts are dealt into chunks of
+bounded size; a chunk counts its words and pairs, the engine sums them by key, and the sums go back to
+the chunks that hold the key, unless it is of one chunk only, so no task or driver holds a model. Keys are 64-bit hashes of a word or of
+two. A chunk has a key once, so no word is a large group. Here the start of a text is counted as often as there are
+texts.
+
+``train`` and ``score`` are for a model that is broadcast, pruned by relative frequency: at most
+``1 / LEAST_WORD`` words and ``1 / LEAST_PAIR`` pairs in each model can be that frequent. A rarer word is
+the unknown word, a rarer pair backs off to its second word.
 
 P(w | v) = (c(v, w) + K * P(w)) / (c(v) + K), with c(v, w) = 0 if pruned, and
 P(w) = (c(w) + 1) / (N + V). Every text starts after the unknown word. A text's own counts are taken out
@@ -22,13 +26,15 @@ Texts are scored whole, one at a time.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, written
@@ -38,6 +44,9 @@ LEAST_WORD, LEAST_PAIR = 1e-5, 1e-6
 STRENGTH = 2.0
 FLUSH_WORDS, FLUSH_PAIRS = 400_000, 2_000_000
 UNKNOWN = 0
+#: A chunk is 2 ** CHUNK_ROWS rows of fewer than LONG characters, or 2 ** LONG_ROWS longer ones, within one task's.
+CHUNK_ROWS, LONG_ROWS, LONG = 12, 5, 16_384
+FLUSH_CHARS = 48_000_000
 
 
 def tokens_of(text: str) -> list[str]:
@@ -197,7 +206,111 @@ def score(flagged: DataFrame, model: DifferenceModel, id_col: str = "doc_id", te
     return map_texts(flagged, id_col, text_col, run, "id long, n_tokens long, target_loss double, background_loss double, score double", target_col).withColumnRenamed("id", id_col)
 
 
+def in_chunks(flagged: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows written once, with the number of their chunk."""
+    placed = flagged.withColumn("_at", F.monotonically_increasing_id())
+    row, task = F.col("_at").bitwiseAND((1 << 33) - 1), F.shiftright("_at", 33)
+    block = F.when(F.length(text_col) >= LONG, F.shiftright(row, LONG_ROWS) * 2 + 1).otherwise(F.shiftright(row, CHUNK_ROWS) * 2)
+    return written(placed.withColumn("chunk", block * (1 << 24) + task).drop("_at"))
+
+
+class Encoded:
+    """Texts' words by numbers of their own, from 1; each text starts after number 0."""
+
+    def __init__(self, texts: list[str]):
+        index = defaultdict(count(1).__next__)
+        ids = [[index[w] for w in tokens_of(t)] for t in texts]
+        self.lengths = np.array([len(i) for i in ids], np.int64)
+        self.doc = np.repeat(np.arange(len(ids)), self.lengths)
+        self.second = np.fromiter((w for i in ids for w in i), np.int64, int(self.lengths.sum()))
+        self.first = np.concatenate([[0], self.second])[:-1].astype(np.int64)
+        self.first[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = 0
+        self.keys = np.array([0, *(xxhash.xxh64_intdigest(w) for w in index)], np.uint64)
+        self.kinds, self.place = np.unique(self.first << 32 | self.second, return_inverse=True)
+
+    def pair_keys(self) -> np.ndarray:
+        return self.keys[self.kinds >> 32] * np.uint64(0x9E3779B97F4A7C15) + self.keys[self.kinds & 0xFFFFFFFF] * np.uint64(0xC2B2AE3D27D4EB4F)
+
+    def counts(self, wanted: np.ndarray) -> list[np.ndarray]:
+        """Key, count, count in target texts and whether it is a word: of the start (number 0), the words and the pairs."""
+        out = []
+        for weight in (np.ones(len(wanted)), wanted.astype(float)):
+            words = np.bincount(self.second, weight[self.doc], len(self.keys))
+            words[0] = weight[self.lengths > 0].sum()
+            out.append(np.concatenate([words, np.bincount(self.place, weight[self.doc], len(self.kinds))]).astype(np.int64))
+        is_word = np.arange(len(out[0])) < len(self.keys)
+        is_word[0] = False
+        return [np.concatenate([self.keys, self.pair_keys()]).view(np.int64), *out, is_word]
+
+    def losses(self, words: np.ndarray, pairs: np.ndarray, own: np.ndarray, total: int, size: int) -> np.ndarray:
+        """Each text's loss a token. words, pairs: counts by number; own: 1 where the text is in the counts, and is taken out."""
+        wide, many = len(self.keys), len(self.kinds)
+        kinds, times = np.unique(self.doc * many + self.place, return_counts=True)
+        doc, pair = kinds // many, kinds % many
+        held, held_times = np.unique(self.doc * wide + self.second, return_counts=True)
+        first, second = self.kinds[pair] >> 32, self.kinds[pair] & 0xFFFFFFFF
+        at = np.minimum(np.searchsorted(held, doc * wide + first), len(held) - 1)
+        before = np.where(first == 0, 1, np.where(held[at] == doc * wide + first, held_times[at], 0))
+        single = (words[second] - own[doc] * held_times[np.searchsorted(held, doc * wide + second)] + 1) / (total - own[doc] * self.lengths[doc] + size)
+        loss = -np.log((pairs[pair] - own[doc] * times + STRENGTH * single) / (words[first] - own[doc] * before + STRENGTH))
+        return np.bincount(doc, loss * times, len(self.lengths)) / np.maximum(self.lengths, 1)
+
+
+def chunk_counts(chunked: DataFrame, text_col: str = "text", target_col: str = "target") -> DataFrame:
+    """(chunk, key, n, n_target, is_word); a chunk that two tasks read has its keys from both."""
+    names = ["chunk", "key", "n", "n_target", "is_word"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chars = defaultdict(lambda: ([], [])), 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for chunk, (texts, wanted) in held.items():
+                columns = Encoded(texts).counts(np.array(wanted, bool))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), chunk, np.int64)), *map(pa.array, columns)], names)
+
+        for part, texts, wanted in chunks(batches):
+            for chunk, text, own in zip(part, texts, wanted, strict=True):
+                held[chunk][0].append(text)
+                held[chunk][1].append(bool(own))
+                chars += len(text)
+            if chars > FLUSH_CHARS:
+                yield from out()
+                held.clear()
+                chars = 0
+        yield from out()
+
+    return map_texts(chunked, "chunk", text_col, run, "chunk long, key long, n long, n_target long, is_word boolean", target_col)
+
+
+def score_whole(flagged: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target") -> DataFrame:
+    """What ``score`` returns, under models of every word and every pair."""
+    chunked = in_chunks(flagged.select(id_col, text_col, target_col), text_col)
+    over = Window.partitionBy("key")
+    sums = [F.sum(c).over(over).alias(c) for c in ("n", "n_target")]
+    summed = chunk_counts(chunked, text_col, target_col).select("chunk", "key", "is_word", *sums, (F.count("*").over(over) > 1).alias("shared"))
+    known = written(summed.where("shared OR is_word"))  # a key of one chunk alone has that chunk's own counts
+    words = known.where("is_word").groupBy("key").agg(F.max("n").alias("n"), F.max("n_target").alias("n_target"))
+    kinds, *totals = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, wanted = [t or "" for t in left[text_col].to_pylist()], np.array([bool(w) for w in left[target_col].to_pylist()], bool)
+        made, losses = Encoded(texts), [np.zeros(len(texts))] * 2
+        if len(made.second):
+            keys, every, target, _ = made.counts(wanted)
+            shared, first = np.unique(right["key"].to_numpy(), return_index=True)
+            if len(shared):
+                at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
+                every, target = (np.where(shared[at] == keys, right[c].to_numpy()[first[at]], own) for c, own in (("n", every), ("n_target", target)))
+            wide, own = len(made.keys), (wanted.astype(int), np.ones(len(texts), int))
+            losses = [made.losses(c[:wide], c[wide:], o, total, kinds + 1) for c, o, total in zip((target, every), own, totals[::-1], strict=True)]
+        empty = made.lengths == 0
+        columns = [pa.array(x, mask=empty) for x in (*losses, losses[0] - losses[1])]
+        return pa.table([left[id_col].cast(pa.int64()), pa.array(made.lengths), *columns], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"])
+
+    sides = chunked.groupBy("chunk").cogroup(known.where("shared").select("chunk", "key", "n", "n_target").groupBy("chunk"))
+    return sides.applyInArrow(run, f"`{id_col}` long, n_tokens long, target_loss double, background_loss double, score double")
+
+
 def op6_cross_entropy_difference(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    flagged = written(flag_target(docs, labels))  # counted twice and scored once: joined and shuffled once
-    return score(flagged, train(flagged))
+    return score_whole(flag_target(docs, labels))

@@ -1,0 +1,49 @@
+"""The query's models keep every word and every pair, however rare."""
+
+import math
+from collections import Counter
+
+import pytest
+
+from headwater.llm import lm
+
+
+def brute(rows):
+    """(id, text, in target): losses by id under models of every word and pair, a text's own counts taken out."""
+    coded = {i: [None, *(t or "").lower().split()] for i, t, _ in rows}
+    vocabulary = {w for c in coded.values() for w in c[1:]}
+    out = {i: [len(c) - 1] for i, c in coded.items()}
+    for k in (1, 0):
+        single, duo = Counter(), Counter()
+        for i, _, own in rows:
+            if (own or not k) and len(coded[i]) > 1:
+                single.update(coded[i])
+                duo.update(zip(coded[i], coded[i][1:], strict=False))
+        total = sum(n for w, n in single.items() if w is not None)
+        for i, _, own in rows:
+            pairs, gone = Counter(zip(coded[i], coded[i][1:], strict=False)), 1 if own or not k else 0
+            mine, loss = Counter(coded[i]), 0.0
+            for (a, b), n in pairs.items():
+                p = (single[b] - gone * mine[b] + 1) / (total - gone * (len(coded[i]) - 1) + len(vocabulary) + 1)
+                loss -= n * math.log((duo[a, b] - gone * n + lm.STRENGTH * p) / (single[a] - gone * mine[a] + lm.STRENGTH))
+            out[i].append(loss / max(1, len(coded[i]) - 1))
+    return out
+
+
+@pytest.mark.parametrize("rows_a_chunk", [0, 1, 11])
+def test_query_equals_brute_force_with_rare_words(spark, tmp_path, monkeypatch, rows_a_chunk):
+    monkeypatch.setattr(lm, "CHUNK_ROWS", rows_a_chunk)
+    texts = ["a b c d " * 60_000, "the rare cat sat on the mat", "the rare cat sat twice", "the dog", None, "", "the rare cat sat on the mat", "x x x a b"]
+    marked = {1, 2, 4, 6}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in marked], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r["doc_id"]: r for r in lm.op6_cross_entropy_difference(spark, str(tmp_path)).collect()}
+    want = brute([(i, t, i in marked) for i, t in enumerate(texts)])
+    assert found.keys() == want.keys()
+    for i, (n, target, background) in want.items():
+        assert found[i]["n_tokens"] == n
+        if n:
+            assert found[i]["target_loss"] == pytest.approx(target, abs=1e-9) and found[i]["background_loss"] == pytest.approx(background, abs=1e-9)
+            assert found[i]["score"] == pytest.approx(target - background, abs=1e-9)
+        else:
+            assert found[i]["score"] is None
