@@ -170,8 +170,20 @@ def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The columns of ``documents``: of each group the row with the smallest id, once; rows without an id stay."""
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """The columns of ``documents``: of each group the row with the smallest id, once; rows without an id stay.
+
+    Groups are of fingerprints, not of ids, so an id with two texts that are no copies keeps both.
+    """
+    marked = docs.where("doc_id IS NOT NULL").withColumn("_mark", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, marks in chunks(batches):
+            made = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made), pa.array(marks, pa.int64())], ["doc_id", "fp", "_mark"])
+
+    prints = checkpoint(map_texts(marked, "doc_id", "text", run, "doc_id long, fp long, _mark long", "_mark"))
+    least = checkpoint(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "_mark")).alias("row")))
+    found = connected_components(near_links(least.select("fp", F.col("fp").alias("node"))))
+    groups = least.join(found, least["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("row").alias("row"))
+    one = marked.join(groups.select("row.*"), ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
+    return one.drop("_mark").unionByName(docs.where("doc_id IS NULL"))
