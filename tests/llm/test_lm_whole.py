@@ -32,7 +32,7 @@ def brute(rows):
 
 @pytest.mark.parametrize("rows_a_chunk", [0, 1, 11])
 def test_query_equals_brute_force_with_rare_words(spark, tmp_path, monkeypatch, rows_a_chunk):
-    monkeypatch.setattr(lm, "CHUNK_ROWS", rows_a_chunk)
+    monkeypatch.setattr(lm, "CHUNK_ROWS", rows_a_chunk, raising=False)
     texts = ["a b c d " * 60_000, "the rare cat sat on the mat", "the rare cat sat twice", "the dog", None, "", "the rare cat sat on the mat", "x x x a b"]
     marked = {1, 2, 4, 6}
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
