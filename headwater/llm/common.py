@@ -4,31 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Code points of text that one step of a Python operator holds decoded at a time.
-CHUNK_CHARS = 4_000_000
+#: Bytes of text that one step of a Python operator holds decoded at a time, but for one longer text.
+CHUNK_BYTES = 4_000_000
 
 #: Code points that separate words in every contract: space, \t, \n, \v, \f and \r.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Bounds of a classifier's sample: bytes of its longest text, and bytes of text of each label.
+SAMPLE_LONGEST, SAMPLE_BYTES = 1 << 20, 64 << 20
 
-def chunks(batches: Iterator[pa.RecordBatch], text_at: int = 1) -> Iterator[list[list]]:
-    """Columns of the batches as Python lists, in runs of bounded text; a null text reads as empty."""
+
+def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows whose text is within the budget; a longer text is a run of its own.
+
+    The cut is made from the lengths that the batch holds, before anything is decoded.
+    """
     for batch in batches:
-        rows, chars, start = batch.num_rows, 0, 0
-        columns = [c.to_pylist() for c in batch.columns]
-        texts = columns[text_at] = [t or "" for t in columns[text_at]]
-        for i in range(rows):
-            chars += len(texts[i])
-            if chars >= CHUNK_CHARS or i == rows - 1:
-                yield [c[start : i + 1] for c in columns]
-                start, chars = i + 1, 0
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(ends):
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text_at: int = 1) -> Iterator[list[list]]:
+    """Columns of the slices as Python lists; a null text reads as empty."""
+    for part in slices(batches, text_at):
+        columns = [c.to_pylist() for c in part.columns]
+        columns[text_at] = [t or "" for t in columns[text_at]]
+        yield columns
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable, schema: str, *extra: str) -> DataFrame:
@@ -42,22 +60,23 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """A bounded, deterministic sample of labelled texts for fitting: at most ``per_class`` rows of each label.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", longest: int = SAMPLE_LONGEST, budget: int = SAMPLE_BYTES
+) -> list[tuple[str, int]]:
+    """A bounded, deterministic sample of labelled texts for fitting.
 
-    Rows are taken in the order of a hash of their id, never from the held-out fifth. The sampled ids
-    (at most ``2 * per_class`` of them) are the broadcast side. Order: by label, then hash.
+    At most ``per_class`` rows and ``budget`` bytes of text of each label come to the driver, no text of over
+    ``longest`` bytes among them. Rows are taken in the order of a hash of their id, never from the held-out
+    fifth; a repeated id is one row, with the least of its texts, and a repeated label is its greatest. The
+    sampled ids (at most ``2 * per_class`` of them) are the broadcast side. Order: by label, then hash.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out("_id"))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_o", F.xxhash64("_id"))
     picked = known.where("_y = 0").orderBy("_o", "_id").limit(per_class).union(known.where("_y = 1").orderBy("_o", "_id").limit(per_class))
-    rows = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-        .join(F.broadcast(picked), "_id")
-        .where(F.col("_t").isNotNull())
-        .select("_y", "_o", "_t")
-        .collect()
-    )
+    short = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull() & (F.octet_length("_t") <= longest))
+    single = short.join(F.broadcast(picked), "_id").groupBy("_id", "_y", "_o").agg(F.min("_t").alias("_t"))
+    upto = F.sum(F.octet_length("_t")).over(W.partitionBy("_y").orderBy("_o", "_id").rowsBetween(W.unboundedPreceding, 0))
+    rows = single.withColumn("_upto", upto).where(F.col("_upto") <= budget).select("_y", "_o", "_t").collect()
     return [(r["_t"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_y"], r["_o"], r["_t"]))]
 
 

@@ -4,7 +4,9 @@ Kinds ``assign``, ``access`` and ``hex`` are the base kinds. ``forge``, ``regist
 token formats that carry their own checksum, so a look-alike whose checksum is wrong is not reported.
 
 A null or empty text has no spans. A repeated row gives its spans again, row for row. A text of any length
-is scanned whole: every step is linear and the largest state is one text.
+is scanned whole: every step is linear and the largest state is one text. Spans that start together are
+ordered by kind. A null id stays null, an empty table gives an empty result, and extra columns are never read;
+redaction keeps the columns of ``documents``, a null text null.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_texts
+from .common import chunks, map_texts, slices
 
 #: What an assignment's name contains, and how keys and tokens start (lower case).
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -160,7 +162,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     automaton = _automaton()
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(1).to_pylist()
         clean = [None if t is None else redact(t, find_secrets(t, automaton)) for t in texts]
         arrays = [batch.column(0), pa.array(clean, pa.string()), *batch.columns[2:4]]
