@@ -10,8 +10,9 @@
 4. Pieces take the planned slots by rank within length.
 
 A null or empty text is the single end token. A text longer than the capacity is cut from its end, so
-every piece but the first is full. Repeated rows are packed each for itself. Any number of long texts is
-fine: the largest state is one text's tokens.
+every piece but the first is full. Repeated rows are packed each for itself, equal lengths take slots in
+the order of task and row. Any number of long texts is fine: the largest state is one text's tokens. A
+null id stays null. An empty table has no pieces. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -52,15 +53,36 @@ def encoder(path: str) -> tiktoken.Encoding:
 
 SPECIAL_SPLIT = re.compile("|".join(map(re.escape, SPECIAL)))
 
+#: Fixed value: the code points with the White_Space property.
+WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 1 << 16
+BLANKS = re.compile(f"[{WHITE_SPACE}]{{{LONG_RUN},}}")
+
+
+def ordinary(coder: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text without special tokens; long blank runs, which the coder's pattern can't take, are cut out.
+
+    By the rule of the vocabulary a blank run is one piece, but for its last character where a word follows.
+    """
+    if len(text) < LONG_RUN:
+        return coder.encode_ordinary(text)
+    ids, at = [], 0
+    for m in BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        ids += coder.encode_ordinary(text[at : m.start()])
+        ids += coder._encode_single_piece(text[m.start() : end])
+        at = end
+    return ids + coder.encode_ordinary(text[at:])
+
 
 def encode(coder: tiktoken.Encoding, text: str) -> list[int]:
     if "<|" not in text or not SPECIAL_SPLIT.search(text):
-        return coder.encode_ordinary(text)
+        return ordinary(coder, text)
     ids, at = [], 0
     for m in SPECIAL_SPLIT.finditer(text):
-        ids += [*coder.encode_ordinary(text[at : m.start()]), SPECIAL[m[0]]]
+        ids += [*ordinary(coder, text[at : m.start()]), SPECIAL[m[0]]]
         at = m.end()
-    return ids + coder.encode_ordinary(text[at:])
+    return ids + ordinary(coder, text[at:])
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -59,6 +59,12 @@ def test_encoding_equals_the_library(text):
     assert P.encode(coder, text) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "\xa0" * 1_000_000, "x" + " " * 65_536 + "<|endoftext|>" + "\t" * 65_537 + " q", " " * 65_535 + "\x1c" + " " * 65_536 + "z", "a" * 300_000])
+def test_long_runs_equal_the_library(text):
+    coder = P.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert P.encode(coder, text) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
 def check(rows, texts, capacity):
     library = Tokenizer.from_file(PATH)
     library.no_truncation()
@@ -96,3 +102,10 @@ def test_awkward_rows(awkward, nothing):
     check(rows, texts, 64)
     assert [r["length"] for r in rows if r["doc_id"] == 1] == [1]
     assert P.pack(nothing).isEmpty()
+    clash = awkward.selectExpr("*", "lang AS id", "n_chars AS length", "source AS part", "1 AS nth")
+    check(P.pack(clash, capacity=64).collect(), texts, 64)
+
+
+def test_a_million_blanks_are_packed(docs_of):
+    texts = {1: "a" + " " * 1_000_000 + "b", 2: "c"}
+    check(P.pack(docs_of(texts.items())).collect(), texts, P.CAPACITY)
