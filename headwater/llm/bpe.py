@@ -10,8 +10,10 @@ Two tokens are compatible if no merge would have crossed their border while thei
 Merges are applied in order of rank, so the symbols that touch the border, each from the rank that makes
 it to the rank that uses it up, decide that alone.
 
-A null or empty text has no ids and decodes to the empty text. Texts are encoded whole, row by row;
-repeated words are looked up in a bounded table that is emptied when full. Repeated rows each get theirs.
+A null or empty text has no ids and decodes to the empty text. Texts of any length are encoded whole, row
+by row; repeated words are looked up in a bounded table that is emptied when full. Repeated rows each get
+theirs, of tokens that end at one place only one passes, a null id stays null, an empty table gives an
+empty result, and extra columns are never read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ import functools
 import hashlib
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from pathlib import Path
@@ -30,6 +31,9 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex
+from tokenizers.normalizers import NFC, Lowercase, Sequence
+from tokenizers.pre_tokenizers import Split
 
 from .common import chunks, map_texts
 
@@ -40,7 +44,12 @@ SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", r
 
 WORD_END = "\0"  # stands for the word-end suffix inside this module; no byte character is like it
 NEVER = 1 << 60
-CACHE_WORDS = 400_000
+#: Bounds of what a coder keeps between texts: words, the code points of one of them, and pair tests.
+CACHE_WORDS, CACHE_WORD, CACHE_PAIRS = 400_000, 64, 4_000_000
+
+#: The vocabulary's normaliser but for blanks, which never reach a word. Character tables differ between versions of
+#: Unicode, so letters, numbers, case and composition are the library's.
+NORMAL = Sequence([NFC(), Lowercase()])
 
 
 #: Fixed value: the code points with the White_Space property.
@@ -49,15 +58,14 @@ SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 @functools.cache
 def splitter() -> re.Pattern:
-    """The splitting rule with letters and numbers by this Python's character database."""
+    """The splitting rule with letters and numbers by the library's own character tables."""
+    every = "".join(chr(c) for c in range(0x40000) if not 0xD800 <= c < 0xE000)  # no letter or number stands beyond
 
     def ranges(kind: str) -> str:
-        inside = [unicodedata.category(chr(c))[0] == kind for c in range(0x110000)]
-        starts = [c for c in range(0x110000) if inside[c] and not (c and inside[c - 1])]
-        ends = [c for c in range(0x110000) if inside[c] and not (c < 0x10FFFF and inside[c + 1])]
-        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+        found = Split(Regex(f"{kind}+"), "removed", invert=True).pre_tokenize_str(every)
+        return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run, _ in found)
 
-    return re.compile(SPLIT.format(letters=ranges("L"), numbers=ranges("N"), spaces=SPACES))
+    return re.compile(SPLIT.format(letters=ranges(r"\p{L}"), numbers=ranges(r"\p{N}"), spaces=SPACES))
 
 
 @functools.cache
@@ -135,6 +143,8 @@ class PrefixCoder:
             if before >= 0:
                 fit = fits.get((before, token))
                 if fit is None:
+                    if len(fits) >= CACHE_PAIRS:
+                        fits.clear()
                     fit = fits[before, token] = self.apart(before, token)
                 if fit:
                     last[end + 1], length[end + 1] = token, n
@@ -153,12 +163,11 @@ class PrefixCoder:
         """Normalised words of a text without special tokens."""
         if text.isascii():
             return SPLIT_ASCII.findall(text.lower())
-        plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # case by character, not by place
         try:
-            plain.encode("latin-1")
+            text.encode("latin-1")
         except UnicodeEncodeError:
-            return splitter().findall(plain)
-        return SPLIT_LATIN.findall(plain)
+            return splitter().findall(NORMAL.normalize_str(text))
+        return SPLIT_LATIN.findall(text.lower())
 
     def coded(self, word: str) -> tuple[bytes, bytes]:
         """The ids, little-endian, and the decoded text of a split word."""
@@ -177,7 +186,9 @@ class PrefixCoder:
                     if pair is None:
                         if len(known) >= CACHE_WORDS:
                             known.clear()
-                        pair = known[word] = self.coded(word)
+                        pair = self.coded(word)
+                        if len(word) <= CACHE_WORD:
+                            known[word] = pair
                     found[k] = pair
         return found
 
