@@ -1,23 +1,32 @@
 """SimHash fingerprints and near-duplicate groups by tiled exact comparison.
 
-Distinct fingerprints are dealt into tiles by their population count, with a hash salt where a count
-has more than one tile's worth. Two fingerprints within the radius have population counts within the
-radius, so only tile pairs that close are compared; each is one numpy exclusive-or and bit count per
-block. Inside a pair, blocks ordered by the population count of the upper half are skipped the same way.
-A tile pair returns a spanning forest of its links, at most one row for each fingerprint in it, so a
-group of near copies never becomes all its pairs. Components are then joined up in the engine.
+Distinct fingerprints are dealt into tiles by their population count: small counts share a tile, and a
+count with more than one tile's worth is split by a hash. Two fingerprints within the radius have
+population counts within the radius, so tile pairs further apart are skipped; each other one is numpy
+exclusive-or and bit counts, block by block. Inside a pair, blocks ordered by the population count of the
+first half are skipped the same way, and a fingerprint's last words are compared only where its first
+ones leave room. A tile pair returns a least spanning forest of its links, fewer rows than it has
+fingerprints, so a group of near copies never becomes all its pairs. Components are joined up in the engine.
 
 The comparison is exact and therefore still quadratic in the number of *distinct* fingerprints, divided
 by what the population counts exclude. Memory of a task is two tiles and one block, at any input size.
 
-A null text counts as empty; an empty text (no words) has fingerprint zero and links like any other.
-Equal fingerprints are one group before any comparison. A null id keeps its row; it names no group and
-takes the component of its fingerprint. Repeated rows keep their number.
+The query's fingerprints have 64 bits of all 3-word shingles, and link at 3 bits. ``keep_one``, for the
+pipeline, takes 256 bits of the distinct 5-word shingles and confirms the links that it finds by the sets
+themselves, at a similarity of 0.8 or more.
+
+A null text counts as empty; an empty text (no words) has fingerprint zero and links like any other, and
+a text of fewer words than a shingle is one shingle. Equal fingerprints are one group before any
+comparison. A null id keeps its row and names no group: it takes the smallest id of its group, null where
+the group has none, and its links count. Repeated rows keep their number. Very long texts are hashed in
+pieces of bounded size. An empty table gives an empty result. Extra columns are never read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -26,49 +35,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, ship
-from .common import chunks, map_texts
+from .common import chunks, map_texts, slices
 from .components import connected_components
 
-BITS = 64
+LANE = 64
 SEED = 42
+STEP = 1 << 15
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """The unsigned 64-bit SimHash of the text's word shingles, repeats included."""
+def shingles(text: str, width: int) -> Iterable[bytes]:
+    """Shingles of the words, repeats included; the whole sequence where there are fewer words; none for none."""
     words = text.encode().lower().split()  # bytes: A-Z only, and exactly the six ASCII separators
-    if not words:
-        return 0
-    count = max(1, len(words) - width + 1)
-    grams = zip(*(words[i : i + count] for i in range(width)), strict=True) if len(words) >= width else [words]
-    digest, joined = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((digest(joined(g), SEED) for g in grams), np.uint64, count)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, count, 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > count, bitorder="little").tobytes(), "little")
-
-
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long, one row for each input row."""
+    if len(words) < width:
+        return [b" ".join(words)] if words else []
+    return map(b" ".join, zip(*(islice(words, i, None) for i in range(width)), strict=False))
+
+
+def fingerprint(text: str, width: int = 3, lanes: int = 1, repeats: bool = True) -> bytes:
+    """The SimHash of 64 bits a lane, big-endian; repeats: a shingle counts as often as it occurs."""
+    grams = iter(shingles(text, width) if repeats else set(shingles(text, width)))
+    digest, count, ones = xxhash.xxh64_intdigest, 0, np.zeros((lanes, LANE), np.int64)
+    while part := list(islice(grams, STEP)):
+        count += len(part)
+        for lane in range(lanes):
+            hashes = np.fromiter((digest(g, SEED + lane) for g in part), ">u8", len(part))
+            ones[lane] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > count).tobytes()
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, lanes: int = 1, repeats: bool = True, *keep: str) -> DataFrame:
+    """(id, fp binary, the kept columns), one row for each input row."""
+    fields = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(["id long", "fp binary", *(f"`{c}` {fields[c]}" for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
-            made = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made)], ["id", "fp"])
+        for ids, texts, *kept in chunks(batches):
+            made = pa.array([fingerprint(t, width, lanes, repeats) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), made, *map(pa.array, kept)], ["id", "fp", *keep])
 
-    return map_texts(df, id_col, text_col, run, "id long, fp long")
+    return map_texts(df, id_col, text_col, run, schema, *keep)
 
 
-def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the sets of i[k] and j[k] in place; root[x] is always the smallest member of x's set."""
-    while len(i):
-        a, b = root[i], root[j]
+def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Join the sets of i[k] and j[k] in place, root[x] being the least of x's set; the places k that joined two sets."""
+    left, joined = np.arange(len(i)), []
+    while True:
+        a, b = root[i[left]], root[j[left]]
         apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        if not len(i):
-            return
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        left, a, b = left[apart], a[apart], b[apart]
+        if not len(left):
+            return np.concatenate([np.zeros(0, np.int64), *joined])
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((low, high))
+        ends, at = np.unique(high[order], return_index=True)  # each root but the least hooks to one lower root
+        chosen = order[at]
+        root[ends] = low[chosen]
+        joined.append(left[chosen])
         while True:
             nearer = root[root]
             if np.array_equal(nearer, root):
@@ -76,13 +98,47 @@ def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = nearer
 
 
-def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int, block: int = 1024) -> np.ndarray:
-    """root of each fingerprint of left and then right; links within left where right is None."""
+def forest(size: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray, spread: int = 1) -> np.ndarray:
+    """Places of the links that make a spanning forest, the nearest pairs first; then one of what is left, ``spread`` in all."""
+    left, kept = np.arange(len(i)), [np.zeros(0, np.int64)]
+    for _ in range(spread):
+        root, taken = np.arange(size), np.zeros(len(i), bool)
+        for bits in np.unique(apart[left]):
+            own = left[apart[left] == bits]
+            taken[own[unite(root, i[own], j[own])]] = True
+        kept.append(np.flatnonzero(taken))
+        left = left[~taken[left]]
+    return np.concatenate(kept)
+
+
+def bits_of(prints: np.ndarray) -> np.ndarray:
+    """Set bits of each fingerprint of (rows, lanes)."""
+    return np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
+
+
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, spread: int = 1, block: int = 512, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): ``spread`` least spanning forests of the links of two tiles, (rows, lanes) each; within left where right is None.
+
+    i and j count left's rows and then right's. Links beyond ``most`` are reduced to their forests as they come.
+    """
     every = left if right is None else np.concatenate([left, right])
-    root = np.arange(len(every))
-    high = np.bitwise_count(every >> np.uint64(32)).astype(np.int64)
+    lanes = every.shape[1]
+    high = bits_of(every[:, : lanes // 2] if lanes > 1 else every >> np.uint64(LANE // 2))
     first = np.argsort(high[: len(left)], kind="stable")
     second = first if right is None else np.argsort(high[len(left) :], kind="stable") + len(left)
+    columns = np.ascontiguousarray(every.T)
+    # lanes to compare at once: as many as leave unrelated pairs beyond the radius
+    early = next((k for k in range(1, lanes) if 32 * k - 12 * k**0.5 > radius), lanes)
+    kind = np.uint8 if early < 4 else np.uint16
+    apart, bits, total = np.empty((block, block), np.uint64), np.empty((block, block), np.uint8), np.empty((block, block), kind)
+    found, waiting = [np.zeros(0, np.int64)] * 3, []
+
+    def reduce() -> list[np.ndarray]:
+        i, j, d = (np.concatenate([f, *w]) for f, w in zip(found, zip(*waiting, strict=True), strict=True)) if waiting else found
+        kept = forest(len(every), i, j, d, spread)
+        waiting.clear()
+        return [i[kept], j[kept], d[kept]]
+
     for s in range(0, len(first), block):
         a = first[s : s + block]
         for t in range(s if right is None else 0, len(second), block):
@@ -91,49 +147,83 @@ def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int, block:
                 break
             if high[a[0]] - high[b[-1]] > radius:
                 continue
-            i, j = np.nonzero(np.bitwise_count(every[a][:, None] ^ every[b][None, :]) <= radius)
-            unite(root, a[i], b[j])
-    return root
-
-
-def near_links(nodes: DataFrame, radius: int = 3, tile: int = 8192) -> DataFrame:
-    """(u, v): a spanning forest of the links between distinct fingerprints, from every tile pair.
-
-    ``nodes``: (fp, node), each fp once. ``tile`` is the aimed number of fingerprints in a tile.
+            own = np.s_[: len(a), : len(b)]
+            for lane in range(early):
+                np.bitwise_xor(columns[lane][a][:, None], columns[lane][b][None, :], out=apart[own])
+                if lane:
+                    np.bitwise_count(apart[own], out=bits[own])
+                    total[own] += bits[own]
+                else:
+                    np.bitwise_count(apart[own], out=total[own])
+            i, j = np.divmod(np.flatnonzero(total[own] <= radius), len(b))
+            i, j = a[i], b[j]
+            d = bits_of(every[i] ^ every[j])
+            near = (d <= radius) & ((i < j) if right is None and s == t else True)
+            if near.any():
+                waiting.append((i[near], j[near], d[near]))
+                if sum(len(w[0]) for w in waiting) > most:
+                    found = reduce()
+    i, j, _ = reduce()
+    return i, j
+
+
+def tiles(sizes: dict[int, int], bits: int, tile: int) -> list[tuple[int, int, int]]:
+    """(first tile, number of tiles, group) of each population count: neighbours share a tile while they fit into one."""
+    out, number, group, room = [], 0, -1, 0
+    for p in range(bits + 1):
+        n = sizes.get(p, 0)
+        if n > tile:
+            group, room = group + 1, 0
+            out.append((number, -(-n // tile), group))
+            number += -(-n // tile)
+        else:
+            if n > room or group < 0 or (out and out[-1][1] > 1):
+                group, room = group + 1, tile
+                number += 1
+            room -= n
+            out.append((number - 1, 1, group))
+    return out
+
+
+def near_links(nodes: DataFrame, radius: int = 3, tile: int = 32_768, lanes: int = 1, spread: int = 1) -> DataFrame:
+    """(u, v): links between distinct fingerprints, ``spread`` least spanning forests of every tile pair's.
+
+    ``nodes``: (fp), each once. ``tile`` is the aimed number of fingerprints in a tile.
     """
     spark = nodes.sparkSession
     ship(spark)
-    nodes = nodes.withColumn("pop", F.bit_count("fp"))
-    sizes = dict(nodes.groupBy("pop").count().collect())  # at most 65 rows
-    slices = [-(-sizes.get(p, 0) // tile) for p in range(BITS + 1)]
-    first = np.concatenate([[0], np.cumsum(slices)]).tolist()  # a tile's number: first[pop] + salt
-    salts, starts = F.array(*map(F.lit, slices)), F.array(*map(F.lit, first))
-    own = nodes.withColumn("tile", (F.get(starts, F.col("pop")) + F.pmod(F.xxhash64("fp"), F.get(salts, F.col("pop")).cast("long"))).cast("long"))
-    low = F.get(starts, F.greatest(F.col("pop") - radius, F.lit(0)))
-    high = F.get(starts, F.least(F.col("pop") + radius + 1, F.lit(BITS + 1)))
-    dealt = own.withColumn("other", F.explode(F.sequence(low.cast("long"), high.cast("long") - 1)))
-    dealt = dealt.select(
-        F.least("tile", "other").alias("a"),
-        F.greatest("tile", "other").alias("b"),
-        (F.col("tile") > F.col("other")).alias("second"),
-        "fp",
-        "node",
-    )
+    bits = LANE * lanes
+    words = [F.conv(F.substring(F.hex("fp"), 16 * k + 1, 16), 16, -10).cast("long") for k in range(lanes)]
+    nodes = nodes.select("fp", sum(map(F.bit_count, words), F.lit(0)).cast("int").alias("pop"))
+    sizes = dict(nodes.groupBy("pop").count().collect())  # at most bits + 1 rows
+    placed = tiles(sizes, bits, tile)
+    low_of = {}  # the least and the greatest population count of a tile's group
+    for p, (_, _, group) in enumerate(placed):
+        low_of.setdefault(group, [p, p])[1] = p
+    first = [n for n, _, _ in placed]
+    spans = []  # of each population count: the tiles within reach of any count of its group
+    for _, _, group in placed:
+        least, most = low_of[group]
+        a, b = max(least - radius, 0), min(most + radius, bits)
+        spans.append((first[a], first[b] + placed[b][1] - 1))
+    at = lambda values: F.get(F.array(*map(F.lit, values)), F.col("pop")).cast("long")
+    own = nodes.withColumn("tile", at(first) + F.pmod(F.xxhash64("fp"), at([n for _, n, _ in placed])))
+    dealt = own.withColumn("other", F.explode(F.sequence(at([a for a, _ in spans]), at([b for _, b in spans]))))
+    dealt = dealt.select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).alias("second"), "fp")
     # pairs go round the partitions in turn: a's number times the widest reach, plus b's distance from it
-    reach = max((first[min(p + radius, BITS) + 1] - first[p] for p in range(BITS + 1)), default=1) or 1
+    reach = max(b - a + 1 for a, b in spans)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartitionById(parts, F.pmod(F.col("a") * reach + F.col("b") - F.col("a"), F.lit(parts)).cast("int"))
-    dealt = dealt.sortWithinPartitions("a", "b", "second", "node")
+    dealt = dealt.sortWithinPartitions("a", "b", "second", "fp")
 
     def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
-        fp = table["fp"].to_numpy().view(np.uint64)
-        node, second = table["node"].to_numpy(), table["second"].to_numpy()
-        cut = int((~second).sum())
+        held_fps = table["fp"].to_pylist()
+        prints = np.frombuffer(b"".join(held_fps), ">u8").astype(np.uint64).reshape(-1, lanes)
+        cut = len(table) - int(table["second"].to_numpy().sum())
         same = table["a"][0] == table["b"][0]
-        root = tile_forest(fp[:cut], None if same else fp[cut:], radius)
-        kept = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.array(node[root[kept]])], ["u", "v"])
+        i, j = tile_links(prints[:cut], None if same else prints[cut:], radius, spread)
+        return pa.RecordBatch.from_arrays([pa.array([held_fps[k] for k in ends.tolist()], pa.binary()) for ends in (i, j)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -151,39 +241,75 @@ def near_links(nodes: DataFrame, radius: int = 3, tile: int = 8192) -> DataFrame
         if held:
             yield compare(held)
 
-    kind = nodes.schema["node"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"u {kind}, v {kind}")
+    return dealt.mapInArrow(run, "u binary, v binary")
+
 
+def grouped(nodes: DataFrame, links: DataFrame, value: str) -> DataFrame:
+    """(fp, least): the least value of each fingerprint's group. nodes: (fp, value), each fp once; links: (u, v)."""
+    found = connected_components(links).withColumnRenamed("node", "fp")
+    rooted = checkpoint(nodes.join(found, "fp", "left").select("fp", value, F.coalesce("component", "fp").alias("root")))
+    return rooted.join(rooted.groupBy("root").agg(F.min(value).alias("least")), "root").select("fp", "least")
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, tile: int = 8192) -> DataFrame:
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, tile: int = 32_768, lanes: int = 1, repeats: bool = True) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most ``radius`` bits."""
-    prints = checkpoint(fingerprints(df, id_col, text_col, width))
+    prints = checkpoint(fingerprints(df, id_col, text_col, width, lanes, repeats))
     nodes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("node")))
-    found = connected_components(near_links(nodes.where("node IS NOT NULL"), radius, tile))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    classes = grouped(nodes, near_links(nodes, radius, tile, lanes), "node").select("fp", F.col("least").alias("component"))
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def radius_of(similarity: float, bits: int, slack: float = 3.0) -> int:
+    """The differing bits that two sets of this similarity are expected to have, and ``slack`` standard deviations.
+
+    Sets of equal size and similarity s have the cosine 2s / (1 + s), and a bit differs with the angle's share of pi.
+    """
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return round(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The columns of ``documents``: of each group the row with the smallest id, once; rows without an id stay.
+def similar_enough(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links (u, v) whose texts' sets of distinct shingles have at least that similarity. texts: (fp, text).
 
-    Groups are of fingerprints, not of ids, so an id with two texts that are no copies keeps both.
+    Only texts with a link are carried, each once for each of its links in the forest.
     """
-    marked = docs.where("doc_id IS NOT NULL").withColumn("_mark", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, marks in chunks(batches):
-            made = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made), pa.array(marks, pa.int64())], ["doc_id", "fp", "_mark"])
-
-    prints = checkpoint(map_texts(marked, "doc_id", "text", run, "doc_id long, fp long, _mark long", "_mark"))
-    least = checkpoint(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "_mark")).alias("row")))
-    found = connected_components(near_links(least.select("fp", F.col("fp").alias("node"))))
-    groups = least.join(found, least["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("row").alias("row"))
-    one = marked.join(groups.select("row.*"), ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
-    return one.drop("_mark").unionByName(docs.where("doc_id IS NULL"))
+        for part in slices(batches, 2):
+            a, b = ([set(shingles(t or "", width)) for t in part.column(c).to_pylist()] for c in (2, 3))
+            true = [len(x & y) >= similarity * len(x | y) - 1e-9 for x, y in zip(a, b, strict=True)]
+            yield part.select(["u", "v"]).filter(pa.array(true))
+
+    ends = links.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    held = checkpoint(texts.join(ends, "fp", "left_semi"))
+    left, right = held.select(F.col("fp").alias("u"), F.col("text").alias("a")), held.select(F.col("fp").alias("v"), F.col("text").alias("b"))
+    return links.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = 4, tile: int = 32_768, spread: int = 4) -> DataFrame:
+    """The columns of ``docs``: of each group the row with the smallest id, once; rows without an id stay.
+
+    Two texts are linked if their sets of distinct shingles have the similarity: the fingerprints of the
+    candidates differ by at most ``radius_of``, and the shingles themselves decide. Candidates are ``spread`` least
+    spanning forests, link by link apart, of all pairs within the radius, so a group of near copies has only that
+    many times its texts. A link is lost only where each forest joins its ends by nearer candidates that fail.
+
+    Groups are of fingerprints, not of ids, so an id with two texts that are no near copies keeps both. Of equal
+    ids in one group the row whose hash over all columns is least stays, so the choice is the same in every run.
+    """
+    marked = docs.where(F.col(id_col).isNotNull()).withColumn("_mark", F.xxhash64(*(x for c in docs.columns for x in (F.col(c).isNull(), F.col(c)))))
+    prints = checkpoint(fingerprints(marked, id_col, text_col, width, lanes, False, "_mark"))
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min(F.struct("id", "_mark")).alias("row")))
+    links = checkpoint(near_links(nodes, radius_of(similarity, LANE * lanes), tile, lanes, spread).distinct())
+    linked = nodes.join(links.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "row.*")
+    own = marked.select(F.col(id_col).cast("long").alias("id"), "_mark", F.col(text_col).alias("text")).join(linked, ["id", "_mark"])
+    texts = own.groupBy("fp").agg(F.min("text").alias("text"))
+    groups = grouped(nodes, similar_enough(links, texts, width, similarity), "row")
+    kept = groups.select("least.*").distinct().withColumnRenamed("id", id_col)
+    one = marked.join(kept, [id_col, "_mark"], "left_semi").dropDuplicates([id_col, "_mark"])
+    return one.drop("_mark").unionByName(docs.where(F.col(id_col).isNull()))

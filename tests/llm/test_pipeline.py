@@ -2,8 +2,9 @@
 
 import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
+from test_simhash import similar_classes
 
-from headwater.llm import compression, secrets, simhash, toxicity
+from headwater.llm import compression, secrets, toxicity
 
 
 def test_stages_are_what_they_say(spark):
@@ -31,21 +32,8 @@ def test_stages_are_what_they_say(spark):
     assert texts(steps["quality"]).keys() == kept
 
     rows = texts(steps["quality"])
-    prints = {i: simhash.fingerprint(t or "") for i, t in rows.items()}
-    home = {i: i for i in rows}
-
-    def find(x):
-        while home[x] != x:
-            x = home[x]
-        return x
-
-    ids = sorted(rows)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
-                x, y = find(a), find(b)
-                home[max(x, y)] = min(x, y)
-    assert texts(steps["near_dedup"]).keys() == {find(i) for i in ids}
+    kept, home = texts(steps["near_dedup"]).keys(), similar_classes({i: t or "" for i, t in rows.items()})
+    assert kept == set(home.values())
 
     rows, automaton = texts(steps["near_dedup"]), secrets._automaton()
     assert texts(steps["secrets"]) == {i: secrets.redact(t, secrets.find_secrets(t, automaton)) for i, t in rows.items()}
