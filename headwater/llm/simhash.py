@@ -185,7 +185,7 @@ def tiles(sizes: dict[int, int], bits: int, tile: int) -> list[tuple[int, int, i
     return out
 
 
-def near_links(nodes: DataFrame, radius: int = 3, tile: int = 32_768, lanes: int = 1, spread: int = 1) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = 3, tile: int = 65_536, lanes: int = 1, spread: int = 1) -> DataFrame:
     """(u, v): links between distinct fingerprints, ``spread`` least spanning forests of every tile pair's.
 
     ``nodes``: (fp), each once. ``tile`` is the aimed number of fingerprints in a tile.
@@ -251,7 +251,7 @@ def grouped(nodes: DataFrame, links: DataFrame, value: str) -> DataFrame:
     return rooted.join(rooted.groupBy("root").agg(F.min(value).alias("least")), "root").select("fp", "least")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, tile: int = 32_768, lanes: int = 1, repeats: bool = True) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, tile: int = 65_536, lanes: int = 1, repeats: bool = True) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most ``radius`` bits."""
     prints = checkpoint(fingerprints(df, id_col, text_col, width, lanes, repeats))
     nodes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("node")))
@@ -291,7 +291,7 @@ def similar_enough(links: DataFrame, texts: DataFrame, width: int, similarity: f
     return links.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = 4, tile: int = 32_768, spread: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = 4, tile: int = 65_536, spread: int = 4) -> DataFrame:
     """The columns of ``docs``: of each group the row with the smallest id, once; rows without an id stay.
 
     Two texts are linked if their sets of distinct shingles have the similarity: the fingerprints of the
