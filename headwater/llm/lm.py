@@ -5,242 +5,91 @@ wanted kind (by default the documents labelled as of good quality), the backgrou
 texts. A text's score is its loss a token under the target model less that under the background model;
 lower is more like the target.
 
-``score_whole``, which the query uses, keeps every word and every pair. Texts are dealt into chunks of
-bounded size; a chunk counts its words and pairs, the engine sums them by key, and the sums go back to
-the chunks that hold the key, unless it is of one chunk only, so no task or driver holds a model. Keys are 64-bit hashes of a word or of
-two. A chunk has a key once, so no word is a large group. Here the start of a text is counted as often as there are
-texts.
-
-``train`` and ``score`` are for a model that is broadcast, pruned by relative frequency: at most
-``1 / LEAST_WORD`` words and ``1 / LEAST_PAIR`` pairs in each model can be that frequent. A rarer word is
-the unknown word, a rarer pair backs off to its second word.
-
-P(w | v) = (c(v, w) + K * P(w)) / (c(v) + K), with c(v, w) = 0 if pruned, and
-P(w) = (c(w) + 1) / (N + V). Every text starts after the unknown word. A text's own counts are taken out
-of each model that holds them before it is scored, so a labelled text gains nothing from its label.
+P(w | v) = (c(v, w) + K * P(w)) / (c(v) + K) and P(w) = (c(w) + 1) / (N + V). A text with words is read as
+a border, its words and a border again, and every symbol but the first is predicted, so the border is a
+symbol of the vocabulary, each symbol has as many successors as occurrences, and the probabilities of
+what follows any symbol sum to 1. A text's own counts are taken out of each model that holds them before
+it is scored, so a labelled text gains nothing from its label.
+
+Every word and every pair of all texts counts, however rare. Texts are dealt into chunks of bounded size.
+A chunk counts its words and pairs and sends the sorted keys, 64-bit hashes of a word or of two, to the
+ranges of keys; a range adds up what all chunks sent and sends the sums back in the order that they came.
+No task or driver holds a model: a chunk holds its own keys, and a range what was sent to it. The number
+of ranges grows with the text. A chunk sends a key once, so no word is a large group.
 
 A null or empty text, or one without words, has no tokens, and null losses and score. Without any target
-text the target model is the smoothed uniform one. Repeated rows count again and each get their row.
-Texts are scored whole, one at a time.
+text the target model is the smoothed uniform one. Repeated rows count again and each get their row; ties
+need no order. A text of over ``LEVELS``' last length is a chunk of its own, and is scored whole. A null id
+stays null and is never a target. An empty table gives an empty result. Extra columns are never read.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import defaultdict
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, written
-from .common import chunks, map_texts
+from ..session import ship, written
 
-LEAST_WORD, LEAST_PAIR = 1e-5, 1e-6
 STRENGTH = 2.0
-FLUSH_WORDS, FLUSH_PAIRS = 400_000, 2_000_000
-UNKNOWN = 0
-#: A chunk is 2 ** CHUNK_ROWS rows of fewer than LONG characters, or 2 ** LONG_ROWS longer ones, within one task's.
-CHUNK_ROWS, LONG_ROWS, LONG = 12, 5, 16_384
-FLUSH_CHARS = 48_000_000
+#: (length, rows): a chunk holds 2 ** rows texts of one task that are under the length, so 16M code points at most.
+LEVELS = ((1 << 12, 12), (1 << 14, 10), (1 << 18, 6))
+#: Code points of text for each range of keys.
+RANGE_CHARS = 8_000_000
+BORDER = 0
 
 
 def tokens_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def word_counts(df: DataFrame, id_col: str, text_col: str, target_col: str) -> DataFrame:
-    """(word, n, n_target) over all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, target = Counter(), Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([target[w] for w in every], pa.int64())], ["word", "n", "n_target"])
-
-        for _, texts, wanted in chunks(batches):
-            for text, own in zip(texts, wanted, strict=True):
-                words = tokens_of(text)
-                every.update(words)
-                if own:
-                    target.update(words)
-            if len(every) > FLUSH_WORDS:
-                yield out()
-                every.clear()
-                target.clear()
-        if every:
-            yield out()
-
-    made = map_texts(df, id_col, text_col, run, "word string, n long, n_target long", target_col)
-    return made.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def coded_pairs(ids: list[int]) -> np.ndarray:
-    """first * 2**32 + second of each word and the one before it; the first word follows the unknown one."""
-    codes = np.array([UNKNOWN, *ids], np.int64)
-    return codes[:-1] << 32 | codes[1:]
-
-
-def pair_counts(df: DataFrame, index: dict[str, int], id_col: str, text_col: str, target_col: str) -> DataFrame:
-    """(pair, n, n_target) over all texts, by the vocabulary's numbers."""
-    held = df.sparkSession.sparkContext.broadcast(index)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, waiting, sizes = held.value.get, [], 0
-        pairs, counts = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-
-        def gather() -> None:
-            nonlocal pairs, counts, waiting, sizes
-            found = np.concatenate([pairs, *(w for w, _ in waiting)])
-            weight = np.concatenate([counts, *(np.tile([1, own], (len(w), 1)) for w, own in waiting)])
-            pairs, place = np.unique(found, return_inverse=True)
-            counts = np.column_stack([np.bincount(place, weight[:, k], len(pairs)).astype(np.int64) for k in (0, 1)])
-            waiting, sizes = [], 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts[:, 0]), pa.array(counts[:, 1])], ["pair", "n", "n_target"])
-
-        for _, texts, wanted in chunks(batches):
-            for text, own in zip(texts, wanted, strict=True):
-                words = tokens_of(text)
-                if words:
-                    waiting.append((coded_pairs([get(w, UNKNOWN) for w in words]), int(bool(own))))
-                    sizes += len(words)
-            if sizes > FLUSH_PAIRS // 2:
-                gather()
-                if len(pairs) > FLUSH_PAIRS:
-                    yield out()
-                    pairs, counts = pairs[:0], counts[:0]
-        gather()
-        if len(pairs):
-            yield out()
-
-    made = map_texts(df, id_col, text_col, run, "pair long, n long, n_target long", target_col)
-    return made.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-@dataclass
-class BigramModel:
-    """Log probabilities' ingredients of one model over the shared vocabulary."""
-
-    words: np.ndarray  # counts by number
-    pairs: np.ndarray  # sorted codes
-    counts: np.ndarray
-
-    def losses(self, coded: np.ndarray, counted: bool) -> np.ndarray:
-        """The loss in nats of the second word of each of a text's pairs; counted: the text is in the counts, and is taken out."""
-        own = int(counted)
-        kinds, place, times = np.unique(coded, return_inverse=True, return_counts=True)
-        first, second = kinds >> 32, kinds & 0xFFFFFFFF
-        words, word_place = np.unique(second, return_inverse=True)
-        word_times = np.bincount(word_place, times).astype(np.int64)
-        total = self.words.sum() - own * len(coded)
-        single = (self.words[second] - own * word_times[word_place] + 1) / (total + len(self.words))
-        before = np.searchsorted(words, first)
-        before[before == len(words)] = 0
-        history = self.words[first] - own * np.where(words[before] == first, word_times[before], 0)
-        at = np.searchsorted(self.pairs, kinds)
-        at[at == len(self.pairs)] = 0
-        found = np.where(self.pairs[at] == kinds, self.counts[at] - own * times, 0) if len(self.pairs) else np.zeros(len(kinds))
-        return -np.log((found + STRENGTH * single) / (history + STRENGTH))[place]
-
-
-@dataclass
-class DifferenceModel:
-    index: dict[str, int]
-    target: BigramModel
-    background: BigramModel
-
-    def score(self, text: str, in_target: bool) -> tuple[int, float | None, float | None, float | None]:
-        """Tokens, target loss and background loss a token, and their difference."""
-        words = tokens_of(text)
-        if not words:
-            return 0, None, None, None
-        get = self.index.get
-        coded = coded_pairs([get(w, UNKNOWN) for w in words])
-        a, b = float(self.target.losses(coded, in_target).mean()), float(self.background.losses(coded, True).mean())
-        return len(words), a, b, a - b
-
-
-def flag_target(docs: DataFrame, labels: DataFrame, label: str = "quality", value: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """The texts with a column ``target``: whether their label has the value.
-
-    The labels grow with the texts, so the join is by sorting at every size and never by a broadcast.
-    """
-    known = labels.where(F.col(label) == value).select(F.col(id_col).alias(id_col)).distinct().withColumn("target", F.lit(True))
-    return docs.select(id_col, "text").join(known.hint("merge"), id_col, "left").select(id_col, "text", F.coalesce("target", F.lit(False)).alias("target"))
-
-
-def train(flagged: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target", least_word: float = LEAST_WORD, least_pair: float = LEAST_PAIR) -> DifferenceModel:
-    """Count and prune both models. Words and pairs stay if frequent enough in either model's texts."""
-    words = checkpoint(word_counts(flagged, id_col, text_col, target_col))
-    total, total_target = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    frequent = (F.col("n") >= least_word * total) | ((F.col("n_target") >= least_word * total_target) & (F.col("n_target") > 0))
-    kept = sorted((r["word"], r["n"], r["n_target"]) for r in words.where(frequent).toLocalIterator())
-    index = {w: i for i, (w, _, _) in enumerate(kept, 1)}
-    counts = np.array([(0, 0), *((n, t) for _, n, t in kept)], np.float64)
-    counts[UNKNOWN] = total - counts[:, 0].sum(), total_target - counts[:, 1].sum()
-    pairs = pair_counts(flagged, index, id_col, text_col, target_col)
-    frequent = (F.col("n") >= least_pair * total) | ((F.col("n_target") >= least_pair * total_target) & (F.col("n_target") > 0))
-    table = pairs.where(frequent).orderBy("pair").toArrow()
-    codes, n, t = (table[c].to_numpy() for c in ("pair", "n", "n_target"))
-    seen = t > 0
-    return DifferenceModel(index, BigramModel(counts[:, 1], codes[seen], t[seen].astype(float)), BigramModel(counts[:, 0], codes, n.astype(float)))
-
-
-def score(flagged: DataFrame, model: DifferenceModel, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target") -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, score), one row for each row of what the model counted."""
-    held = flagged.sparkSession.sparkContext.broadcast(model)
-    names = ["id", "n_tokens", "target_loss", "background_loss", "score"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        for ids, texts, wanted in chunks(batches):
-            columns = zip(*map(own.score, texts, wanted), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, [pa.int64(), *[pa.float64()] * 3], strict=True))], names)
-
-    return map_texts(flagged, id_col, text_col, run, "id long, n_tokens long, target_loss double, background_loss double, score double", target_col).withColumnRenamed("id", id_col)
-
-
-def in_chunks(flagged: DataFrame, text_col: str = "text") -> DataFrame:
+def flag_target(docs: DataFrame, labels: DataFrame, label: str = "quality", value: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The texts with a column ``target``: whether their label has the value."""
+    known = labels.where(F.col(label) == value).select(id_col).distinct().withColumn("target", F.lit(True))
+    return docs.select(id_col, F.col(text_col).alias("text")).join(known, id_col, "left").select(id_col, "text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
+def in_chunks(flagged: DataFrame, text_col: str) -> DataFrame:
     """The rows written once, with the number of their chunk."""
     placed = flagged.withColumn("_at", F.monotonically_increasing_id())
     row, task = F.col("_at").bitwiseAND((1 << 33) - 1), F.shiftright("_at", 33)
-    block = F.when(F.length(text_col) >= LONG, F.shiftright(row, LONG_ROWS) * 2 + 1).otherwise(F.shiftright(row, CHUNK_ROWS) * 2)
+    size, block = F.coalesce(F.length(text_col), F.lit(0)), None
+    for level, (length, rows) in enumerate(LEVELS):
+        own = F.shiftright(row, rows) * (len(LEVELS) + 1) + level
+        block = F.when(size < length, own) if block is None else block.when(size < length, own)
+    block = block.otherwise(row * (len(LEVELS) + 1) + len(LEVELS))
     return written(placed.withColumn("chunk", block * (1 << 24) + task).drop("_at"))
 
 
 class Encoded:
-    """Texts' words by numbers of their own, from 1; each text starts after number 0."""
+    """Texts' words by numbers of their own, from 1; number 0 is the border before and after a text."""
 
     def __init__(self, texts: list[str]):
         index = defaultdict(count(1).__next__)
         ids = [[index[w] for w in tokens_of(t)] for t in texts]
         self.lengths = np.array([len(i) for i in ids], np.int64)
-        self.doc = np.repeat(np.arange(len(ids)), self.lengths)
-        self.second = np.fromiter((w for i in ids for w in i), np.int64, int(self.lengths.sum()))
-        self.first = np.concatenate([[0], self.second])[:-1].astype(np.int64)
-        self.first[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = 0
+        self.predicted = self.lengths + (self.lengths > 0)
+        self.doc = np.repeat(np.arange(len(ids)), self.predicted)
+        self.second = np.fromiter((w for i in ids if i for w in (*i, BORDER)), np.int64, int(self.predicted.sum()))
+        first = np.concatenate([[BORDER], self.second])[:-1]
         self.keys = np.array([0, *(xxhash.xxh64_intdigest(w) for w in index)], np.uint64)
-        self.kinds, self.place = np.unique(self.first << 32 | self.second, return_inverse=True)
+        self.kinds, self.place = np.unique(first << 32 | self.second, return_inverse=True)
 
     def pair_keys(self) -> np.ndarray:
         return self.keys[self.kinds >> 32] * np.uint64(0x9E3779B97F4A7C15) + self.keys[self.kinds & 0xFFFFFFFF] * np.uint64(0xC2B2AE3D27D4EB4F)
 
-    def counts(self, wanted: np.ndarray) -> list[np.ndarray]:
-        """Key, count, count in target texts and whether it is a word: of the start (number 0), the words and the pairs."""
+    def counts(self, wanted: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(keys, counts, counts in target texts) of the words and of the pairs."""
+        weight = wanted.astype(float)[self.doc]
         out = []
-        for weight in (np.ones(len(wanted)), wanted.astype(float)):
-            words = np.bincount(self.second, weight[self.doc], len(self.keys))
-            words[0] = weight[self.lengths > 0].sum()
-            out.append(np.concatenate([words, np.bincount(self.place, weight[self.doc], len(self.kinds))]).astype(np.int64))
-        is_word = np.arange(len(out[0])) < len(self.keys)
-        is_word[0] = False
-        return [np.concatenate([self.keys, self.pair_keys()]).view(np.int64), *out, is_word]
+        for keys, place in ((self.keys, self.second), (self.pair_keys(), self.place)):
+            out.append((keys, np.bincount(place, minlength=len(keys)), np.bincount(place, weight, len(keys)).astype(np.int64)))
+        return out
 
     def losses(self, words: np.ndarray, pairs: np.ndarray, own: np.ndarray, total: int, size: int) -> np.ndarray:
         """Each text's loss a token. words, pairs: counts by number; own: 1 where the text is in the counts, and is taken out."""
@@ -249,68 +98,112 @@ class Encoded:
         doc, pair = kinds // many, kinds % many
         held, held_times = np.unique(self.doc * wide + self.second, return_counts=True)
         first, second = self.kinds[pair] >> 32, self.kinds[pair] & 0xFFFFFFFF
-        at = np.minimum(np.searchsorted(held, doc * wide + first), len(held) - 1)
-        before = np.where(first == 0, 1, np.where(held[at] == doc * wide + first, held_times[at], 0))
-        single = (words[second] - own[doc] * held_times[np.searchsorted(held, doc * wide + second)] + 1) / (total - own[doc] * self.lengths[doc] + size)
-        loss = -np.log((pairs[pair] - own[doc] * times + STRENGTH * single) / (words[first] - own[doc] * before + STRENGTH))
-        return np.bincount(doc, loss * times, len(self.lengths)) / np.maximum(self.lengths, 1)
+        mine = lambda symbol: own[doc] * held_times[np.searchsorted(held, doc * wide + symbol)]
+        single = (words[second] - mine(second) + 1) / (total - own[doc] * self.predicted[doc] + size)
+        loss = -np.log((pairs[pair] - own[doc] * times + STRENGTH * single) / (words[first] - mine(first) + STRENGTH))
+        return np.bincount(doc, loss * times, len(self.lengths)) / np.maximum(self.predicted, 1)
+
 
+def by_bytes(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones and so on, so that small numbers compress to little."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
-def chunk_counts(chunked: DataFrame, text_col: str = "text", target_col: str = "target") -> DataFrame:
-    """(chunk, key, n, n_target, is_word); a chunk that two tasks read has its keys from both."""
-    names = ["chunk", "key", "n", "n_target", "is_word"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, chars = defaultdict(lambda: ([], [])), 0
+def from_bytes(raw: bytes, kind: str, size: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, size).T).view(kind).ravel()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for chunk, (texts, wanted) in held.items():
-                columns = Encoded(texts).counts(np.array(wanted, bool))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), chunk, np.int64)), *map(pa.array, columns)], names)
 
-        for part, texts, wanted in chunks(batches):
-            for chunk, text, own in zip(part, texts, wanted, strict=True):
-                held[chunk][0].append(text)
-                held[chunk][1].append(bool(own))
-                chars += len(text)
-            if chars > FLUSH_CHARS:
-                yield from out()
-                held.clear()
-                chars = 0
-        yield from out()
+def texts_of(table: pa.Table, text_col: str, target_col: str) -> tuple[list[str], np.ndarray]:
+    return [t or "" for t in table[text_col].to_pylist()], np.array([bool(w) for w in table[target_col].to_pylist()], bool)
 
-    return map_texts(chunked, "chunk", text_col, run, "chunk long, key long, n long, n_target long, is_word boolean", target_col)
 
+def sent_counts(chunked: DataFrame, ranges: int, text_col: str, target_col: str) -> DataFrame:
+    """(part, chunk, kind, size, sent): each chunk's keys and counts of one range; kind 0 words, 1 pairs."""
+    names = ["part", "chunk", "kind", "size", "sent"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
-def score_whole(flagged: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target") -> DataFrame:
-    """What ``score`` returns, under models of every word and every pair."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        texts, wanted = texts_of(table, text_col, target_col)
+        made, rows = Encoded(texts), []
+        for kind, (keys, n, target) in enumerate(made.counts(wanted) if len(made.second) else ()):
+            order = np.argsort(keys)
+            keys, n, target = keys[order], n[order], target[order]
+            part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            cuts = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(keys)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                gaps = np.diff(keys[s:e], prepend=np.uint64(0))
+                sent = by_bytes(gaps) + by_bytes(n[s:e].astype(np.uint32)) + by_bytes(target[s:e].astype(np.uint32))
+                rows.append((int(part[s]), key[0].as_py(), kind, e - s, sent))
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return chunked.groupBy("chunk").applyInArrow(run, "part long, chunk long, kind int, size int, sent binary")
+
+
+def summed_counts(sent: DataFrame) -> DataFrame:
+    """(chunk, part, kind, size, sums): the sums of the keys that a chunk sent, in the order that it sent them.
+
+    A row without a chunk has the range's number of words and its sums of both counts instead.
+    """
+    names = ["chunk", "part", "kind", "size", "sums", "words", "n", "n_target"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 3]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        part, rows = key[0].as_py(), []
+        chunk, kind, size = (table[c].to_numpy() for c in ("chunk", "kind", "size"))
+        for one in (0, 1):
+            own = np.flatnonzero(kind == one).tolist()
+            if not own:
+                continue
+            sizes = size[own]
+            held = [table["sent"][k].as_py() for k in own]
+            keys = np.concatenate([np.cumsum(from_bytes(r[: 8 * m], "<u8", m)) for r, m in zip(held, sizes, strict=True)])
+            distinct, place = np.unique(keys, return_inverse=True)
+            sums = []
+            for at in (8, 12):
+                weight = np.concatenate([from_bytes(r[at * m : (at + 4) * m], "<u4", m) for r, m in zip(held, sizes, strict=True)])
+                sums.append(np.bincount(place, weight, len(distinct)).astype(np.int64))
+            ends = np.cumsum(sizes)
+            for k, s, e in zip(own, ends - sizes, ends, strict=True):
+                rows.append((int(chunk[k]), part, one, int(e - s), b"".join(by_bytes(x[place[s:e]]) for x in sums), None, None, None))
+            if one == 0:
+                rows.append((None, part, one, 0, None, len(distinct), *(int(x.sum()) for x in sums)))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return sent.groupBy("part").applyInArrow(run, "chunk long, part long, kind int, size int, sums binary, words long, n long, n_target long")
+
+
+def score(flagged: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target") -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss, score), one row for each row; tokens are words, losses count the closing border too."""
+    ship(flagged.sparkSession)
     chunked = in_chunks(flagged.select(id_col, text_col, target_col), text_col)
-    over = Window.partitionBy("key")
-    sums = [F.sum(c).over(over).alias(c) for c in ("n", "n_target")]
-    summed = chunk_counts(chunked, text_col, target_col).select("chunk", "key", "is_word", *sums, (F.count("*").over(over) > 1).alias("shared"))
-    known = written(summed.where("shared OR is_word"))  # a key of one chunk alone has that chunk's own counts
-    words = known.where("is_word").groupBy("key").agg(F.max("n").alias("n"), F.max("n_target").alias("n_target"))
-    kinds, *totals = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    chars = chunked.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
+    known = written(summed_counts(sent_counts(chunked, 1 + chars // RANGE_CHARS, text_col, target_col)))
+    size, *totals = known.where("chunk IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "n", "n_target"))).first()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, wanted = [t or "" for t in left[text_col].to_pylist()], np.array([bool(w) for w in left[target_col].to_pylist()], bool)
+        texts, wanted = texts_of(left, text_col, target_col)
         made, losses = Encoded(texts), [np.zeros(len(texts))] * 2
         if len(made.second):
-            keys, every, target, _ = made.counts(wanted)
-            shared, first = np.unique(right["key"].to_numpy(), return_index=True)
-            if len(shared):
-                at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
-                every, target = (np.where(shared[at] == keys, right[c].to_numpy()[first[at]], own) for c, own in (("n", every), ("n_target", target)))
-            wide, own = len(made.keys), (wanted.astype(int), np.ones(len(texts), int))
-            losses = [made.losses(c[:wide], c[wide:], o, total, kinds + 1) for c, o, total in zip((target, every), own, totals[::-1], strict=True)]
+            right = right.sort_by([("kind", "ascending"), ("part", "ascending")])
+            kind, sizes, held = right["kind"].to_numpy(), right["size"].to_numpy(), right["sums"].to_pylist()
+            every, target = [], []
+            for one, keys in enumerate((made.keys, made.pair_keys())):
+                own = np.flatnonzero(kind == one).tolist()
+                order = np.argsort(keys)
+                for out, at in ((every, 0), (target, 8)):
+                    counts = np.empty(len(keys), np.int64)
+                    counts[order] = np.concatenate([from_bytes(held[k][at * sizes[k] : (at + 8) * sizes[k]], "<i8", sizes[k]) for k in own])
+                    out.append(counts)
+            losses = [made.losses(*c, o, total, size) for c, o, total in zip((target, every), (wanted.astype(int), np.ones(len(texts), int)), totals[::-1], strict=True)]
         empty = made.lengths == 0
         columns = [pa.array(x, mask=empty) for x in (*losses, losses[0] - losses[1])]
         return pa.table([left[id_col].cast(pa.int64()), pa.array(made.lengths), *columns], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"])
 
-    sides = chunked.groupBy("chunk").cogroup(known.where("shared").select("chunk", "key", "n", "n_target").groupBy("chunk"))
+    sides = chunked.groupBy("chunk").cogroup(known.where("chunk IS NOT NULL").select("chunk", "part", "kind", "size", "sums").groupBy("chunk"))
     return sides.applyInArrow(run, f"`{id_col}` long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op6_cross_entropy_difference(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return score_whole(flag_target(docs, labels))
+    return score(flag_target(docs, labels))

@@ -1,70 +1,89 @@
-"""Both models against counts and losses worked out with plain dictionaries."""
+"""Both models against probabilities worked out with plain dictionaries, which must sum to 1."""
 
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from headwater.llm import lm
 
+EDGE = object()
 
-def brute(rows, least_word, least_pair):
-    """rows: (id, text, in target). Losses by id."""
-    words = {i: (t or "").lower().split() for i, t, _ in rows}
-    single, total = [Counter(), Counter()], [0, 0]
-    for i, _, own in rows:
-        for k in (0, 1) if own else (0,):
-            single[k].update(words[i])
-    total = [sum(c.values()) for c in single]
-    known = {w for w in single[0] if single[0][w] >= least_word * total[0] or 0 < single[1][w] >= least_word * total[1]}
-    code = lambda i: [w if w in known else None for w in words[i]]
-    uni, duo = [Counter(), Counter()], [Counter(), Counter()]
-    for i, _, own in rows:
-        c = code(i)
-        for k in (0, 1) if own else (0,):
-            uni[k].update(c)
-            duo[k].update(zip([None, *c], c, strict=False))
-    kept = {p for p in duo[0] if duo[0][p] >= least_pair * total[0] or 0 < duo[1][p] >= least_pair * total[1]}
+
+def symbols(text):
+    words = (text or "").lower().split()
+    return [EDGE, *words, EDGE] if words else []
+
+
+class Plain:
+    """P(w | v) over a table of texts, by its definition."""
+
+    def __init__(self, texts, vocabulary):
+        self.vocabulary = vocabulary
+        self.pairs = Counter(p for t in texts for p in zip(symbols(t), symbols(t)[1:], strict=False))
+        self.after, self.before = Counter(), Counter()
+        for (v, w), n in self.pairs.items():
+            self.before[v] += n
+            self.after[w] += n
+        self.total = sum(self.after.values())
+
+    def chance(self, v, w):
+        single = (self.after[w] + 1) / (self.total + len(self.vocabulary))
+        return (self.pairs[v, w] + lm.STRENGTH * single) / (self.before[v] + lm.STRENGTH)
+
+
+def brute(rows):
+    """(id, text, in target): tokens and losses by id, each text scored by models of the other texts."""
+    vocabulary = {s for _, t, _ in rows for s in symbols(t)}
     out = {}
-    for i, _, own in rows:
-        c = code(i)
-        if not c:
-            out[i] = (0, None, None)
-            continue
-        mine, pairs, loss = Counter(c), list(zip([None, *c], c, strict=False)), [0.0, 0.0]
-        for k in (0, 1):
-            left = 1 if k == 0 or own else 0
-            for a, b in pairs:
-                p = (uni[k][b] - left * mine[b] + 1) / (total[k] - left * len(c) + len(known) + 1)
-                n = duo[k][a, b] - left * Counter(pairs)[a, b] if (a, b) in kept else 0
-                loss[k] -= math.log((n + lm.STRENGTH * p) / (uni[k][a] - left * mine[a] + lm.STRENGTH))
-        out[i] = (len(c), loss[1] / len(c), loss[0] / len(c))
+    for k, (i, text, _) in enumerate(rows):
+        own = symbols(text)
+        losses = []
+        for kind in (1, 0):
+            model = Plain([t for j, (_, t, marked) in enumerate(rows) if j != k and (marked or not kind)], vocabulary)
+            for v in vocabulary:
+                assert abs(sum(model.chance(v, w) for w in vocabulary) - 1) < 1e-9
+            losses.append(-sum(math.log(model.chance(v, w)) for v, w in zip(own, own[1:], strict=False)) / max(1, len(own) - 1))
+        out[i] = (max(0, len(own) - 2), *losses)
     return out
 
 
-@pytest.mark.parametrize(("least_word", "least_pair"), [(0.0, 0.0), (0.03, 0.02)])
-def test_equals_brute_force(spark, least_word, least_pair):
-    rows = [(1, "the cat sat on the mat", True), (2, "the dog sat on the cat the end", False), (3, None, True), (4, "", False), (5, "zebra zebra zebra", False), (6, "the cat sat on the mat", True), (7, "on the mat the cat", False)]
-    flagged = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
-    model = lm.train(flagged, least_word=least_word, least_pair=least_pair)
-    want = brute(rows, least_word, least_pair)
-    for r in lm.score(flagged, model).collect():
-        n, a, b = want[r["doc_id"]]
-        assert r["n_tokens"] == n
+ROWS = ["the rare cat sat on the mat", "the rare cat sat twice", "the dog", None, "", "the rare cat sat on the mat", "x x x a b", "a b", "a b", "a b"]
+
+
+def holds(found, want):
+    assert found.keys() == want.keys()
+    for i, (n, target, background) in want.items():
+        assert found[i]["n_tokens"] == n
         if n:
-            assert r["target_loss"] == pytest.approx(a, abs=1e-9) and r["background_loss"] == pytest.approx(b, abs=1e-9) and r["score"] == pytest.approx(a - b, abs=1e-9)
+            assert found[i]["target_loss"] == pytest.approx(target, abs=1e-9) and found[i]["background_loss"] == pytest.approx(background, abs=1e-9)
+            assert found[i]["score"] == pytest.approx(target - background, abs=1e-9) and found[i]["target_loss"] > 0 < found[i]["background_loss"]
         else:
-            assert r["score"] is None
+            assert found[i]["score"] is None
+
 
+@pytest.mark.parametrize(("rows_a_chunk", "range_chars"), [(0, 5), (1, 8_000_000), (11, 20)])
+def test_query_equals_brute_force(spark, tmp_path, monkeypatch, rows_a_chunk, range_chars):
+    monkeypatch.setattr(lm, "LEVELS", ((1 << 18, rows_a_chunk),))
+    monkeypatch.setattr(lm, "RANGE_CHARS", range_chars)
+    marked = {0, 1, 3, 5, 8}
+    spark.createDataFrame(list(enumerate(ROWS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in marked], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r["doc_id"]: r for r in lm.op6_cross_entropy_difference(spark, str(tmp_path)).collect()}
+    holds(found, brute([(i, t, i in marked) for i, t in enumerate(ROWS)]))
 
-def test_flushed_counts_add_up(spark, monkeypatch):
-    rows = [(i, f"w{i % 7} w{i % 3} w{i % 5} x", i % 2 == 0) for i in range(60)]
+
+def test_without_a_target(spark):
+    rows = [(i, t, False) for i, t in enumerate(ROWS)]
     flagged = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
-    counts = {r["word"]: (r["n"], r["n_target"]) for r in lm.word_counts(flagged, "doc_id", "text", "target").collect()}
-    assert counts["x"] == (60, 30)
-    index = {w: i for i, w in enumerate(sorted(counts), 1)}
-    pairs = lm.pair_counts(flagged, index, "doc_id", "text", "target").collect()
-    assert sum(r["n"] for r in pairs) == 240 and sum(r["n_target"] for r in pairs) == 120
+    holds({r["doc_id"]: r for r in lm.score(flagged).collect()}, brute(rows))
+
+
+def test_bytes_come_back():
+    for kind in ("<u8", "<u4", "<i8"):
+        values = np.arange(7).astype(kind) ** 5
+        assert lm.from_bytes(lm.by_bytes(values), kind, 7).tolist() == values.tolist()
 
 
 def test_query_prefers_good_text(spark):
@@ -77,9 +96,9 @@ def test_query_prefers_good_text(spark):
 
 def test_awkward_and_empty(spark, awkward, nothing):
     labels = spark.createDataFrame([(5, 1), (5, 1), (8, 0)], "doc_id long, quality int")
-    flagged = lm.flag_target(awkward, labels)
+    clash = awkward.selectExpr("*", "true AS target", "n_chars AS chunk", "lang AS part")
+    flagged = lm.flag_target(clash, labels)
     assert flagged.count() == 11
-    found = lm.score(flagged, lm.train(flagged)).collect()
-    assert len(found) == 11 and all(math.isfinite(r["score"]) for r in found if r["n_tokens"])
-    none = lm.flag_target(nothing, labels.where("false"))
-    assert lm.score(none, lm.train(none)).isEmpty()
+    found = lm.score(flagged).collect()
+    assert len(found) == 11 and all(math.isfinite(r["score"]) for r in found if r["n_tokens"]) and sum(r["doc_id"] is None for r in found) == 1
+    assert lm.score(lm.flag_target(nothing, labels.where("false"))).isEmpty()
