@@ -4,14 +4,18 @@
 2. The lexicon keeps terms found in ``LEAST_SHARE`` to ``MOST_SHARE`` of the documents. It may be
    broadcast: frequencies sum to the distinct terms of all texts, so it holds at most the mean number of
    distinct terms in a text, divided by ``LEAST_SHARE``, however many texts there are.
-3. A text's distinct lexicon terms, by a hash of the term, go through ``SUBSETS`` random subsets of the
-   lexicon. Each subset's terms give one part of the fingerprint. A part is a sum of the terms' mixed
-   hashes, which is the same in any order and so equals a hash of the sorted list. Subsets are of several
-   densities, so that long and short texts both have parts with only a few terms, which survive edits.
+3. A text's distinct lexicon terms are sorted, and those in each of ``SUBSETS`` random subsets of the
+   lexicon, and in the whole of it, are hashed in that order: one part of the fingerprint each. Subsets are
+   of several densities, so that long and short texts both have parts with only a few terms, which survive
+   edits.
 4. The likeness of two fingerprints is the share of equal parts among those that either text fills.
 
-A text with no term in any subset is fingerprinted by all its terms, and one without any term by its letters,
-so equal texts always agree. A null text counts as empty. Repeated rows each get their row.
+A text without a lexicon term is fingerprinted by all its terms, and one without any term by its letters,
+so equal texts always agree. A null text counts as empty. Repeated rows each get their row. The next
+document is the next row by id; equal ids are ordered by a hash of the text and then the text, null ids
+stand first and are ordered so too, and the first row follows the last. A range of rows is one task's, with
+as many ranges to an id as its share of the rows needs; a text of any length is one row. An empty table
+gives an empty result. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -78,25 +84,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Matcher:
-    """Fingerprints against one lexicon."""
+    """Fingerprints against one lexicon; the last subset is all of it."""
 
     def __init__(self, terms: list[str], subsets: int = SUBSETS):
         self.code = {t: xxhash.xxh64_intdigest(t) for t in terms}
-        self.seeds = mix(np.arange(1, subsets + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        density = np.array([DENSITIES[k % len(DENSITIES)] for k in range(subsets)])
+        self.seeds = mix(np.arange(1, subsets + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        density = np.array([*(DENSITIES[k % len(DENSITIES)] for k in range(subsets)), 1.0])
         self.least = (density * 2.0**32).astype(np.uint64)
 
     def parts(self, terms: set[str], text: str) -> np.ndarray:
         """The fingerprint's parts, 0 where a subset holds none of the terms."""
-        get = self.code.get
-        codes = [c for c in map(get, terms) if c is not None]
-        drawn = mix(np.array(codes, np.uint64)[:, None] ^ self.seeds)
-        inside = (drawn >> np.uint64(32)) < self.least
-        if not inside.any():  # nothing in the band: all terms, or else the text itself, fill every part
-            whole = xxhash.xxh64_intdigest(" ".join(sorted(terms)) if terms else "\0" + text)
+        code, digest = self.code, xxhash.xxh64_intdigest
+        codes = np.array([code[t] for t in sorted(t for t in terms if t in code)], np.uint64)
+        if not len(codes):  # nothing in the band: all terms, or else the text itself, fill every part
+            whole = digest(" ".join(sorted(terms)) if terms else "\0" + text)
             return mix(np.uint64(whole) ^ self.seeds) | np.uint64(1)
-        sums = np.where(inside, mix(drawn), np.uint64(0)).sum(axis=0, dtype=np.uint64)
-        return np.where(inside.any(axis=0), mix(sums) | np.uint64(1), np.uint64(0))
+        inside = mix(codes[:, None] ^ self.seeds) >> np.uint64(32) < self.least
+        _, at = np.nonzero(inside.T)  # subset by subset, its terms in order
+        held, ends = codes[at].tobytes(), (8 * np.cumsum(inside.sum(axis=0))).tolist()
+        return np.array([digest(held[s:e]) | 1 if e > s else 0 for s, e in zip([0, *ends], ends, strict=False)], np.uint64)
 
     def fingerprint(self, text: str) -> np.ndarray:
         return self.parts(set(terms_of(text)), text)
@@ -128,74 +134,78 @@ def edited_terms(text: str, after: str) -> tuple[set[str], set[str], str]:
     return common | set(terms_of(tail)), common | set(terms_of(other)), text[:start] + other
 
 
+def count_upto(values: list[int], of: Column) -> Column:
+    """How many of the sorted values are at most ``of``: among every so many of them, then among those between."""
+    step = max(1, isqrt(len(values)))
+    upto = lambda some: F.size(F.filter(some, lambda c: c <= of))
+    array = lambda some: F.array(*(F.lit(v).cast("long") for v in some)) if some else F.array().cast("array<bigint>")
+    blocks = upto(array(values[step - 1 :: step]))
+    return blocks * step + upto(F.slice(array(values), blocks * step + 1, F.lit(step)))
+
+
+def buckets(ids: DataFrame, parts: int) -> Column:
+    """The range of a row (id, h), by id and then by h: about ``parts`` ranges, several for an id with a large share."""
+    total, known = ids.agg(F.count("*"), F.count("id")).first()
+    marks = Counter(int(c) for c in ids.approxQuantile("id", [i / parts for i in range(parts)], 0.1 / parts)[1:])
+    shares = dict(marks)
+    for c, n in marks.items():
+        if n > 1:
+            shares.setdefault(c + 1, 1)  # the ranges of this id hold no other
+    cuts = sorted(shares)
+    slices = [max(1, -(-(total - known) * parts // max(total, 1))), 1, *(shares[c] for c in cuts)]
+    first = [sum(slices[:k]) for k in range(len(slices))]
+    place = F.when(F.col("id").isNull(), 0).otherwise(1 + count_upto(cuts, F.col("id")))
+    at = lambda values: F.get(F.array(*map(F.lit, values)), place).cast("long")
+    return at(first) + F.shiftright((F.shiftright("h", 33) + (1 << 30)) * at(slices), 31)
+
+
 def fingerprint_with_next(df: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", subsets: int = SUBSETS) -> DataFrame:
     """Fingerprints of texts and of their edited forms, in the order of id.
 
-    Rows are dealt into ranges of ids of about equal size; the first row of each range is also sent to the
-    range before it (that of the first to the last), so every row meets its successor in one pass over
-    sorted rows. Equal ids are ordered by text; a null id stands before all others.
+    Rows are dealt into ranges of about equal size; the first row of each range is also sent to the range
+    before it (that of the first to the last), so every row meets its successor in one pass over sorted rows.
     """
     spark = df.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ids = df.select(F.col(id_col).cast("long").alias("id"))
-    cuts = sorted({int(c) for c in ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts)})
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.coalesce("id", F.lit(-(1 << 63)))))
-    heads = dict(ids.groupBy(bucket.alias("b")).agg(F.min("id")).collect())
-    filled = sorted(b for b, head in heads.items() if head is not None)
-    before = {b: filled[i - 1] for i, b in enumerate(filled)}  # the first one's is the last
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    own = rows.withColumn("bucket", buckets(df.select(F.col(id_col).cast("long").alias("id")), parts))
+    heads = {r["bucket"]: r["head"] for r in own.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("head")).collect()}  # a row for each range
+    filled = sorted(heads)
+    before = dict(zip(filled, [*filled[-1:], *filled[:-1]], strict=True))
     width = max(filled, default=0) + 1
-    head_ids = F.array(*[F.lit(heads.get(b)).cast("long") for b in range(width)])
-    targets = F.array(*[F.lit(before.get(b, 0)) for b in range(width)])
-    own = rows.withColumn("bucket", bucket)
-    ahead = own.where(F.col("id") == F.get(head_ids, F.col("bucket"))).select(F.get(targets, F.col("bucket")).alias("bucket"), F.lit(1).alias("ahead"), "id", "text")
-    dealt = own.select("bucket", F.lit(0).alias("ahead"), "id", "text").union(ahead)
-    ordered = dealt.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket", "ahead", F.asc_nulls_first("id"), "text")
+    of = lambda values: F.get(F.array(*(F.lit(v).cast("long") for v in values)), F.col("bucket"))
+    head_id, head_h = (of([heads[b][c] if b in heads else None for b in range(width)]) for c in ("id", "h"))
+    ahead = own.where(F.col("id").eqNullSafe(head_id) & (F.col("h") == head_h)).withColumn("bucket", of([before.get(b) for b in range(width)]))
+    ahead = ahead.groupBy("bucket").agg(F.min(F.struct("id", "h", "text")).alias("head")).select("bucket", F.lit(1).alias("ahead"), "head.*")
+    dealt = own.select("bucket", F.lit(0).alias("ahead"), "id", "h", "text").union(ahead)
+    ordered = dealt.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket", "ahead", F.asc_nulls_first("id"), "h", "text")
     held = spark.sparkContext.broadcast(terms)
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
+    def results(matcher: Matcher, given: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        waiting, last = None, None  # the row whose successor comes next; the one before it, with its parts
+        for columns in chunks(given, 2):
+            for ahead, doc, text in zip(*columns, strict=True):
+                if waiting is not None:
+                    terms_own, terms_edited, edited = edited_terms(waiting[1], text)
+                    own_parts, edited_parts = matcher.parts(terms_own, waiting[1]), matcher.parts(terms_edited, edited)
+                    if last is not None:
+                        yield [*last[0], likeness(last[1], own_parts)]
+                    digest = hashlib.sha256(edited.encode()).hexdigest()
+                    last = [waiting[0], len(waiting[1]), digest, shown(own_parts), shown(edited_parts), likeness(own_parts, edited_parts)], own_parts
+                    if ahead:
+                        yield [*last[0], likeness(own_parts, matcher.fingerprint(text))]
+                        last = None
+                waiting = None if ahead else (doc, text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(held.value, subsets)
-        waiting, made = None, []
-
-        def batch() -> pa.RecordBatch:
-            columns = zip(*made, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-        def finish(after: str, near_next: float | None) -> None:
-            """Add the waiting row; where its successor is the next row, near_next comes with that row's parts."""
-            _, doc, text = waiting
-            terms_own, terms_edited, edited = edited_terms(text, after)
-            own_parts, edited_parts = matcher.parts(terms_own, text), matcher.parts(terms_edited, edited)
-            made.append([doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), shown(own_parts), shown(edited_parts), likeness(own_parts, edited_parts), near_next])
-            if len(made) > 1 and made[-2][6] is None:
-                made[-2][6] = likeness(last[0], own_parts)
-            last[0] = own_parts
-
-        last: list = [None]
-        closed = None  # the bucket whose successor row has been seen
-        for b, ahead, ids_, texts in ((b, a, i, t) for cols in chunks(batches, 3) for b, a, i, t in zip(*cols, strict=True)):
-            if ahead and closed == b:
-                continue
-            if waiting is not None:
-                if waiting[0] == b:
-                    finish(texts, likeness(matcher.fingerprint(waiting[2]), matcher.fingerprint(texts)) if ahead else None)
-                else:  # no successor row: only where no id is known
-                    finish(waiting[2], 1.0)
-            waiting = None if ahead else (b, ids_, texts)
-            closed = b if ahead else closed
-            if len(made) > 512:
-                keep = made.pop()
-                yield batch()
-                made[:] = [keep]
-        if waiting is not None:
-            finish(waiting[2], 1.0)
-        if made:
-            yield batch()
-
-    out = ordered.mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        found = results(Matcher(held.value, subsets), batches)
+        while made := list(islice(found, 512)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names)
+
+    out = ordered.select("ahead", "id", "text").mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("id", id_col)
 
 
