@@ -1,14 +1,19 @@
 """Quality by compression: zstandard dictionaries of good and of bad text, and their calibrated difference.
 
-Labelled texts are dealt in two: one part fills a dictionary for each label, the other calibrates. A
-text is cut into blocks of equal size, so that the dictionaries matter as much at the end of a long text
-as at its start, and every block is compressed with both. The normalised difference of the summed sizes,
-with the size that the text has of its own, goes through a logistic curve to give the score.
-
-Fitting uses at most ``per_class`` labelled texts of each label (2,000 by default) and nothing but their
-text. Scoring reads every text whole in one pass; what is broadcast is two dictionaries of
-``DICTIONARY_BYTES`` each. A null or empty text scores the calibrated share of good texts. If one label
-is missing from the sample, every text scores the share of good ones (0.5 with no labels at all).
+The labelled texts of each kind fill a dictionary. A text is cut into blocks of equal size, so that the
+dictionaries matter as much at the end of a long text as at its start, and every block is compressed with
+both. The normalised difference of the summed sizes is what tells good from bad; a logistic curve over it,
+and over how much text it was measured on, makes it a score. The curve is fitted on differences of texts
+that were in neither dictionary: each of ``FOLDS`` parts of the sample is measured with dictionaries of the
+others.
+
+Fitting uses at most ``per_class`` labelled texts of each label (2,000 by default; at most 1 MB each and
+64 MB in all) and nothing but their text. Dictionaries take pieces from anywhere in them, in a fixed random
+order, up to ``DICTIONARY_BYTES``. Scoring reads every text whole in one pass; what is broadcast is the two
+dictionaries. A null or empty text scores the share of good texts. With fewer than ``FOLDS`` distinct texts
+of a label in the sample there is nothing to fit, and every text scores that share (0.5 with no labels at
+all). Repeated rows each get their row, ties need no order, a text of any length is one row, a null id stays
+null, an empty table gives an empty result, and extra columns are never read.
 """
 
 from __future__ import annotations
@@ -24,11 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_texts, held_out, labelled_sample, map_texts
+from .common import distinct_texts, held_out, labelled_sample, map_texts, slices
 
-BLOCK = 4096
-DICTIONARY_BYTES = 112 << 10
-LEVEL = 3
+BLOCK = PIECE = 1024
+DICTIONARY_BYTES = 1 << 20
+LEVEL = 12
+FOLDS = 4
+FULL_LENGTH = 1000  # bytes from which on a difference counts in full
 PER_CLASS = 2000
 THRESHOLD = 0.3
 
@@ -49,29 +56,27 @@ def blocks(raw: bytes) -> list[bytes]:
 
 @functools.lru_cache(maxsize=4)
 def _compressors(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
-    plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
     made = []
     for content in (good, bad):
-        held = zstandard.ZstdCompressionDict(content)
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         held.precompute_compress(level=LEVEL)
         made.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_dict_id=False))
-    return [*made, plain]
+    return made
 
 
-def features(text: str, good: bytes, bad: bytes) -> list[float]:
-    """The normalised difference, and the log of the best and of the own compression ratio."""
+def difference(text: str, good: bytes, bad: bytes) -> tuple[float, int]:
+    """The normalised difference of the compressed sizes, greater for good text, and the text's bytes."""
     raw = text.encode()
-    if not raw:
-        return [0.0, 0.0, 0.0, 0.0]
     parts = blocks(raw)
-    by_good, by_bad, alone = (sum(len(c.compress(p)) for p in parts) for c in _compressors(good, bad))
-    difference = (by_bad - by_good) / (by_bad + by_good)
-    return [difference, difference * min(1.0, len(raw) / 400), float(np.log(min(by_good, by_bad) / len(raw))), float(np.log(alone / len(raw)))]
+    by_good, by_bad = (sum(len(c.compress(p)) for p in parts) for c in _compressors(good, bad))
+    return (by_bad - by_good) / (by_bad + by_good), len(raw)
 
 
-def expand(x: np.ndarray) -> np.ndarray:
-    """A constant, the features, and their squares about typical values."""
-    return np.column_stack([np.ones(len(x)), x[:, 0] * 10, x[:, 1] * 10, x[:, 2], x[:, 3], (x[:, 2] + 1) ** 2, (x[:, 3] + 1) ** 2])
+def expand(measured: list[tuple[float, int]]) -> np.ndarray:
+    """A constant, the difference, and how much text there is with the difference's share of that."""
+    found = np.array(measured, float)
+    d, share = found[:, 0] * 10, np.minimum(found[:, 1] / FULL_LENGTH, 1)
+    return np.column_stack([np.ones(len(d)), d, d * share, share])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -89,15 +94,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _dictionary(texts: list[str], seed: int) -> bytes:
-    """Raw dictionary content: pieces from all over the texts, as many as fit, in a fixed random order."""
-    pieces = [p for t in texts for p in blocks(t.encode())]
-    cut = [p[:512] for p in pieces] + [p[len(p) // 2 : len(p) // 2 + 512] for p in pieces]
-    random.Random(seed).shuffle(cut)
+    """Raw dictionary content: pieces of the texts in a fixed random order, as many as fit."""
+    pieces = [raw[s : s + PIECE] for raw in map(str.encode, texts) for s in range(0, len(raw), PIECE)]
+    random.Random(seed).shuffle(pieces)
     out = bytearray()
-    for piece in cut:
-        if len(out) + len(piece) > DICTIONARY_BYTES:
-            break
-        out += piece
+    for piece in pieces:
+        if len(out) + len(piece) <= DICTIONARY_BYTES:
+            out += piece
     return bytes(out)
 
 
@@ -105,25 +108,28 @@ def fit(sample: list[tuple[str, int]], good_share: float | None = None) -> Compr
     """A model from (text, label) rows in a fixed order; ``good_share`` is the share of label 1 to calibrate for."""
     by = {y: distinct_texts([t for t, label in sample if label == y and t]) for y in (0, 1)}
     share = good_share if good_share is not None else (sum(y for _, y in sample) / len(sample) if sample else 0.5)
-    if min(len(by[0]), len(by[1])) < 2:
+    if min(map(len, by.values())) < FOLDS:
         return CompressionModel(b"", b"", (), share)
-    good, bad = _dictionary(by[1][::2], 1), _dictionary(by[0][::2], 2)
-    rows = [(t, y) for y in (0, 1) for t in by[y][1::2]]
-    x = expand(np.array([features(t, good, bad) for t, _ in rows]))
-    y = np.array([y for _, y in rows], float)
-    weights = logistic(x, y)
+    measured, labels = [], []
+    for k in range(FOLDS):
+        good, bad = (_dictionary([t for i, t in enumerate(by[y]) if i % FOLDS != k], y) for y in (1, 0))
+        for y in (0, 1):
+            own = by[y][k::FOLDS]
+            measured += [difference(t, good, bad) for t in own]
+            labels += [y] * len(own)
+    y = np.array(labels, float)
+    weights = logistic(expand(measured), y, 0.1)
     odds = lambda p: np.log(max(p, 1e-3) / max(1 - p, 1e-3))
     weights[0] += odds(share) - odds(y.mean())  # the sample's classes are not as frequent as the corpus's
-    return CompressionModel(good, bad, tuple(map(float, weights)), share)
+    return CompressionModel(_dictionary(by[1], 1), _dictionary(by[0], 0), tuple(map(float, weights)), share)
 
 
 def score_texts(texts: list[str], model: CompressionModel) -> np.ndarray:
     out = np.full(len(texts), model.prior)
-    if model.weights:
-        full = [i for i, t in enumerate(texts) if t]
-        if full:
-            x = expand(np.array([features(texts[i], model.good, model.bad) for i in full]))
-            out[full] = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
+    full = [i for i, t in enumerate(texts) if t] if model.weights else []
+    if full:
+        x = expand([difference(texts[i], model.good, model.bad) for i in full])
+        out[full] = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
     return out
 
 
@@ -141,7 +147,7 @@ def score(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_c
     schema = ", ".join(f"`{c}` {fields[c]}" for c in (id_col, *keep)) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             kept = [batch.column(0), *(batch.column(2 + i) if c != text_col else batch.column(1) for i, c in enumerate(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(score_texts(texts, held.value))], [id_col, *keep, "score"])

@@ -3,6 +3,8 @@
 import zlib
 
 import numpy as np
+import pytest
+import zstandard
 from conftest_words import documents
 
 from headwater.llm import compression as C
@@ -16,7 +18,7 @@ def test_held_out_accuracy():
 
 
 def test_blocks_cover_the_text():
-    for n in (1, 4095, 4096, 4097, 50_001):
+    for n in (1, 1023, 1024, 1025, 50_001):
         raw = bytes(range(256)) * (n // 256 + 1)
         parts = C.blocks(raw[:n])
         assert b"".join(parts) == raw[:n] and max(map(len, parts)) <= C.BLOCK
@@ -42,10 +44,41 @@ def test_awkward_rows(awkward, nothing):
     assert C.score(nothing, model).isEmpty()
 
 
-def test_query_on_its_held_out_fifth(spark):
-    d = "/root/testdata/sf0.01"
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
-    rows = C.op7_compression_quality(spark, d).collect()
-    assert len(rows) == 1000 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= C.THRESHOLD) for r in rows)
-    held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
-    assert np.mean([a == b for a, b in held]) >= 0.9
+def test_the_difference_by_hand():
+    good, bad = b"the quick brown fox jumps over the lazy dog " * 9, b"@@ buy now!! 100% free $$ click here ## " * 9
+    text = "the quick brown fox jumps over the dog " * 60
+    sizes = []
+    for content in (good, bad):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw, n = text.encode(), -(-len(text) // C.BLOCK)
+        sizes.append(sum(len(zstandard.ZstdCompressor(level=C.LEVEL, dict_data=held, write_content_size=False, write_dict_id=False).compress(raw[len(raw) * i // n : len(raw) * (i + 1) // n])) for i in range(n)))
+    d, size = C.difference(text, good, bad)
+    assert size == len(text) and abs(d - (sizes[1] - sizes[0]) / sum(sizes)) < 0.02 and d > 0 > C.difference("click here, buy 100% free $$ now!! ## " * 20, good, bad)[0]
+
+
+def test_a_dictionary_takes_from_everywhere(monkeypatch):
+    monkeypatch.setattr(C, "DICTIONARY_BYTES", 64_000)
+    texts = [f"{k:07d} " * 4000 for k in range(40)]
+    held = C._dictionary(texts, 1).decode()
+    assert len({w for w in held.split() if len(w) == 7}) > 25 and 63_000 < len(held) <= 64_000
+
+
+def area(scores, labels):
+    """The chance that a good text scores above a bad one."""
+    good, bad = scores[labels == 1], scores[labels == 0]
+    return np.mean([(good > b).mean() + (good == b).mean() / 2 for b in bad])
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_query_on_its_held_out_fifth(spark, sf):
+    d = f"/root/testdata/{sf}"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = {r["doc_id"]: r for r in C.op7_compression_quality(spark, d).collect()}
+    assert len(rows) == docs.count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= C.THRESHOLD) for r in rows.values())
+    held = [(r["text"], r["quality"], rows[r["doc_id"]]) for r in docs.join(labels, "doc_id").where("quality IN (0, 1)").collect() if r["text"] and rows[r["doc_id"]]["held_out"]]
+    y = np.array([label for _, label, _ in held])
+    model = C.fit_labels(docs, labels)
+    alone = np.array([C.difference(t, model.good, model.bad)[0] for t, _, _ in held])
+    assert area(alone, y) >= 0.9 and area(np.array([r["score"] for *_, r in held]), y) >= 0.95
+    assert np.mean([r["predicted"] == label for _, label, r in held]) >= 0.95 and not [t for t, label, r in held if label and not r["predicted"]][1:]
