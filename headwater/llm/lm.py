@@ -11,15 +11,16 @@ symbol of the vocabulary, each symbol has as many successors as occurrences, and
 what follows any symbol sum to 1. A text's own counts are taken out of each model that holds them before
 it is scored, so a labelled text gains nothing from its label.
 
-Every word and every pair of all texts counts, however rare. Texts are dealt into chunks of bounded size.
-A chunk counts its words and pairs and sends the sorted keys, 64-bit hashes of a word or of two, to the
-ranges of keys; a range adds up what all chunks sent and sends the sums back in the order that they came.
-No task or driver holds a model: a chunk holds its own keys, and a range what was sent to it. The number
-of ranges grows with the text. A chunk sends a key once, so no word is a large group.
+Every word and every pair of all texts counts, however rare. Texts are dealt by a hash into as many chunks
+as there is text for. A chunk counts its words and pairs and sends the sorted keys, 64-bit hashes of a word
+or of two, to the ranges of keys; a range adds up what all chunks sent and sends the sums back in the order
+that they came. No task or driver holds a model: a chunk holds its own keys, and a range what was sent to
+it. A chunk sends a key once, so no word is a large group, and a row's chunk follows from its id and text,
+so it is the same in every run of a task and copies under different ids are dealt apart.
 
 A null or empty text, or one without words, has no tokens, and null losses and score. Without any target
 text the target model is the smoothed uniform one. Repeated rows count again and each get their row; ties
-need no order. A text of over ``LEVELS``' last length is a chunk of its own, and is scored whole. A null id
+need no order. A text of ``LONG`` code points or more is a chunk of its own, and is scored whole. A null id
 stays null and is never a target. An empty table gives an empty result. Extra columns are never read.
 """
 
@@ -30,40 +31,27 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, written
+from ..session import checkpoint, ship, written
 
 STRENGTH = 2.0
-#: (length, rows): a chunk holds 2 ** rows texts of one task that are under the length, so 16M code points at most.
-LEVELS = ((1 << 12, 12), (1 << 14, 10), (1 << 18, 6))
-#: Code points of text for each range of keys.
-RANGE_CHARS = 8_000_000
+#: Code points of text for each chunk and for each range of keys, and in a text that is a chunk alone.
+CHUNK_CHARS, RANGE_CHARS, LONG = 8_000_000, 8_000_000, 1 << 18
 BORDER = 0
+WORDS, PAIRS, TARGET = 0, 1, 2
 
 
 def tokens_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def flag_target(docs: DataFrame, labels: DataFrame, label: str = "quality", value: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The texts with a column ``target``: whether their label has the value."""
-    known = labels.where(F.col(label) == value).select(id_col).distinct().withColumn("target", F.lit(True))
-    return docs.select(id_col, F.col(text_col).alias("text")).join(known, id_col, "left").select(id_col, "text", F.coalesce("target", F.lit(False)).alias("target"))
-
-
-def in_chunks(flagged: DataFrame, text_col: str) -> DataFrame:
-    """The rows written once, with the number of their chunk."""
-    placed = flagged.withColumn("_at", F.monotonically_increasing_id())
-    row, task = F.col("_at").bitwiseAND((1 << 33) - 1), F.shiftright("_at", 33)
-    size, block = F.coalesce(F.length(text_col), F.lit(0)), None
-    for level, (length, rows) in enumerate(LEVELS):
-        own = F.shiftright(row, rows) * (len(LEVELS) + 1) + level
-        block = F.when(size < length, own) if block is None else block.when(size < length, own)
-    block = block.otherwise(row * (len(LEVELS) + 1) + len(LEVELS))
-    return written(placed.withColumn("chunk", block * (1 << 24) + task).drop("_at"))
+def target_ids(labels: DataFrame, label: str = "quality", value: int = 1, id_col: str = "doc_id") -> DataFrame:
+    """The ids whose label has the value, each once."""
+    return labels.where((F.col(label) == value) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
 
 
 class Encoded:
@@ -113,17 +101,25 @@ def from_bytes(raw: bytes, kind: str, size: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, size).T).view(kind).ravel()
 
 
-def texts_of(table: pa.Table, text_col: str, target_col: str) -> tuple[list[str], np.ndarray]:
-    return [t or "" for t in table[text_col].to_pylist()], np.array([bool(w) for w in table[target_col].to_pylist()], bool)
+def texts_of(texts: pa.Table, told: pa.Table) -> tuple[list[str], np.ndarray]:
+    """A chunk's texts, and which of them are targets."""
+    known = set(told.filter(pc.equal(told["kind"], TARGET))["part"].to_pylist())
+    return [t or "" for t in texts["text"].to_pylist()], np.array([i in known for i in texts["id"].to_pylist()], bool)
+
 
+def targets_by_chunk(chunked: DataFrame, targets: DataFrame) -> DataFrame:
+    """(chunk, part, kind, size, sums): the target ids of each chunk, as its part; only ids are shuffled."""
+    own = chunked.select("chunk", "id").join(targets, "id").distinct()
+    return own.select("chunk", F.col("id").alias("part"), F.lit(TARGET).alias("kind"), F.lit(0).alias("size"), F.lit(None).cast("binary").alias("sums"))
 
-def sent_counts(chunked: DataFrame, ranges: int, text_col: str, target_col: str) -> DataFrame:
-    """(part, chunk, kind, size, sent): each chunk's keys and counts of one range; kind 0 words, 1 pairs."""
+
+def sent_counts(chunked: DataFrame, targets: DataFrame, ranges: int) -> DataFrame:
+    """(part, chunk, kind, size, sent): each chunk's keys and counts of one range; kind WORDS or PAIRS."""
     names = ["part", "chunk", "kind", "size", "sent"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        texts, wanted = texts_of(table, text_col, target_col)
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, wanted = texts_of(left, right)
         made, rows = Encoded(texts), []
         for kind, (keys, n, target) in enumerate(made.counts(wanted) if len(made.second) else ()):
             order = np.argsort(keys)
@@ -137,7 +133,8 @@ def sent_counts(chunked: DataFrame, ranges: int, text_col: str, target_col: str)
         columns = zip(*rows, strict=True) if rows else [[]] * len(names)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return chunked.groupBy("chunk").applyInArrow(run, "part long, chunk long, kind int, size int, sent binary")
+    sides = chunked.groupBy("chunk").cogroup(targets.groupBy("chunk"))
+    return sides.applyInArrow(run, "part long, chunk long, kind int, size int, sent binary")
 
 
 def summed_counts(sent: DataFrame) -> DataFrame:
@@ -151,7 +148,7 @@ def summed_counts(sent: DataFrame) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         part, rows = key[0].as_py(), []
         chunk, kind, size = (table[c].to_numpy() for c in ("chunk", "kind", "size"))
-        for one in (0, 1):
+        for one in (WORDS, PAIRS):
             own = np.flatnonzero(kind == one).tolist()
             if not own:
                 continue
@@ -166,44 +163,53 @@ def summed_counts(sent: DataFrame) -> DataFrame:
             ends = np.cumsum(sizes)
             for k, s, e in zip(own, ends - sizes, ends, strict=True):
                 rows.append((int(chunk[k]), part, one, int(e - s), b"".join(by_bytes(x[place[s:e]]) for x in sums), None, None, None))
-            if one == 0:
+            if one == WORDS:
                 rows.append((None, part, one, 0, None, len(distinct), *(int(x.sum()) for x in sums)))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return sent.groupBy("part").applyInArrow(run, "chunk long, part long, kind int, size int, sums binary, words long, n long, n_target long")
 
 
-def score(flagged: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target") -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, score), one row for each row; tokens are words, losses count the closing border too."""
-    ship(flagged.sparkSession)
-    chunked = in_chunks(flagged.select(id_col, text_col, target_col), text_col)
-    chars = chunked.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
-    known = written(summed_counts(sent_counts(chunked, 1 + chars // RANGE_CHARS, text_col, target_col)))
-    size, *totals = known.where("chunk IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "n", "n_target"))).first()
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss, score), one row for each row; tokens are words, losses count the closing border too.
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, wanted = texts_of(left, text_col, target_col)
+    targets: (id) of the texts that the target model counts, each once.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size, mark = F.coalesce(F.length("text"), F.lit(0)), F.xxhash64("id", "text")
+    chars = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n_chunks, ranges = 1 + chars // CHUNK_CHARS, 1 + chars // RANGE_CHARS
+    alone = -1 - F.pmod(mark, F.lit((1 << 62) - 1))
+    chunked = rows.withColumn("chunk", F.when(size >= LONG, alone).otherwise(F.pmod(mark, F.lit(n_chunks))))
+    told = checkpoint(targets_by_chunk(chunked, targets))
+    known = written(summed_counts(sent_counts(chunked, told, ranges)))
+    kinds, *totals = known.where("chunk IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "n", "n_target"))).first()
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, wanted = texts_of(left, right)
         made, losses = Encoded(texts), [np.zeros(len(texts))] * 2
         if len(made.second):
             right = right.sort_by([("kind", "ascending"), ("part", "ascending")])
             kind, sizes, held = right["kind"].to_numpy(), right["size"].to_numpy(), right["sums"].to_pylist()
             every, target = [], []
-            for one, keys in enumerate((made.keys, made.pair_keys())):
+            for one, keys in ((WORDS, made.keys), (PAIRS, made.pair_keys())):
                 own = np.flatnonzero(kind == one).tolist()
                 order = np.argsort(keys)
                 for out, at in ((every, 0), (target, 8)):
                     counts = np.empty(len(keys), np.int64)
                     counts[order] = np.concatenate([from_bytes(held[k][at * sizes[k] : (at + 8) * sizes[k]], "<i8", sizes[k]) for k in own])
                     out.append(counts)
-            losses = [made.losses(*c, o, total, size) for c, o, total in zip((target, every), (wanted.astype(int), np.ones(len(texts), int)), totals[::-1], strict=True)]
+            losses = [made.losses(*c, o, total, kinds) for c, o, total in zip((target, every), (wanted.astype(int), np.ones(len(texts), int)), totals[::-1], strict=True)]
         empty = made.lengths == 0
         columns = [pa.array(x, mask=empty) for x in (*losses, losses[0] - losses[1])]
-        return pa.table([left[id_col].cast(pa.int64()), pa.array(made.lengths), *columns], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"])
+        return pa.table([left["id"], pa.array(made.lengths), *columns], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"])
 
-    sides = chunked.groupBy("chunk").cogroup(known.where("chunk IS NOT NULL").select("chunk", "part", "kind", "size", "sums").groupBy("chunk"))
+    every_told = told.unionByName(known.where("chunk IS NOT NULL").select("chunk", "part", "kind", "size", "sums"))
+    sides = chunked.groupBy("chunk").cogroup(every_told.groupBy("chunk"))
     return sides.applyInArrow(run, f"`{id_col}` long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op6_cross_entropy_difference(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return score(flag_target(docs, labels))
+    return score(docs, target_ids(labels))

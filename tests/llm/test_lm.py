@@ -63,10 +63,10 @@ def holds(found, want):
             assert found[i]["score"] is None
 
 
-@pytest.mark.parametrize(("rows_a_chunk", "range_chars"), [(0, 5), (1, 8_000_000), (11, 20)])
-def test_query_equals_brute_force(spark, tmp_path, monkeypatch, rows_a_chunk, range_chars):
-    monkeypatch.setattr(lm, "LEVELS", ((1 << 18, rows_a_chunk),))
-    monkeypatch.setattr(lm, "RANGE_CHARS", range_chars)
+@pytest.mark.parametrize(("chunk_chars", "range_chars", "long"), [(10, 5, 1000), (8_000_000, 8_000_000, 20), (60, 20, 25)])
+def test_query_equals_brute_force(spark, tmp_path, monkeypatch, chunk_chars, range_chars, long):
+    for name, value in (("CHUNK_CHARS", chunk_chars), ("RANGE_CHARS", range_chars), ("LONG", long)):
+        monkeypatch.setattr(lm, name, value)
     marked = {0, 1, 3, 5, 8}
     spark.createDataFrame(list(enumerate(ROWS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1) for i in marked], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -76,8 +76,9 @@ def test_query_equals_brute_force(spark, tmp_path, monkeypatch, rows_a_chunk, ra
 
 def test_without_a_target(spark):
     rows = [(i, t, False) for i, t in enumerate(ROWS)]
-    flagged = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
-    holds({r["doc_id"]: r for r in lm.score(flagged).collect()}, brute(rows))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    none = spark.createDataFrame([], "id long")
+    holds({r["doc_id"]: r for r in lm.score(docs, none).collect()}, brute(rows))
 
 
 def test_bytes_come_back():
@@ -95,10 +96,10 @@ def test_query_prefers_good_text(spark):
 
 
 def test_awkward_and_empty(spark, awkward, nothing):
-    labels = spark.createDataFrame([(5, 1), (5, 1), (8, 0)], "doc_id long, quality int")
-    clash = awkward.selectExpr("*", "true AS target", "n_chars AS chunk", "lang AS part")
-    flagged = lm.flag_target(clash, labels)
-    assert flagged.count() == 11
-    found = lm.score(flagged).collect()
+    labels = spark.createDataFrame([(5, 1), (5, 1), (8, 0), (None, 1)], "doc_id long, quality int")
+    targets = lm.target_ids(labels)
+    assert [r["id"] for r in targets.collect()] == [5]
+    clash = awkward.selectExpr("*", "true AS target", "n_chars AS chunk", "lang AS part", "source AS id")
+    found = lm.score(clash, targets).collect()
     assert len(found) == 11 and all(math.isfinite(r["score"]) for r in found if r["n_tokens"]) and sum(r["doc_id"] is None for r in found) == 1
-    assert lm.score(lm.flag_target(nothing, labels.where("false"))).isEmpty()
+    assert lm.score(nothing, targets).isEmpty()
