@@ -1,22 +1,27 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Inputs of a token. Word: its smoothed log odds between toxic and clean training texts, and how often it
-was seen. Characters: the same odds of its starts and four-letter pieces with word ends marked (greatest,
-mean), and a learned embedding of those pieces, so a new form of a known stem is recognised.
+Inputs of a token. Word: its smoothed log odds between toxic and clean training texts, and whether it was
+seen. Characters: the same odds of its start of three and of six letters, and the greatest and the mean of
+those of all its four-letter pieces, word ends marked, so a new form of a known stem is recognised; its
+length, and whether marks stand around it. All pieces of a word count, however long it is.
 
 Network. A gated recurrent unit runs over a window of words in each direction; attention over both
 states pools the window; a linear layer gives its logit. Windows of ``WINDOW`` words start every
 ``STRIDE`` words, so any phrase shorter than their overlap is whole in some window. All windows of a
 text are scored, and the text takes the greatest: one insult in a long text counts.
 
-Training is multiple-instance: a text's label belongs to its greatest window, chosen anew each epoch.
-It uses at most ``per_class`` labelled texts of each label (2,000 by default); in training, a text's
-odds come from the folds that it is not in, so the network never sees odds that its own texts produced. Nothing but
-the text is an input. The broadcast model is a few megabytes at most, bounded by the sample.
-
-A null or empty text, or one without words, scores as one padded window. With a label missing from the
-sample the score is the share of toxic labels (0 without any label). Repeated rows each get their row.
-Windows are scored in bounded batches, so a text of any length is scored whole.
+Training is multiple-instance: a text's label belongs to its greatest window, chosen anew each round. It
+takes ``STEPS`` steps whatever the sample's size, over at most ``per_class`` labelled texts of each label
+(2,000 by default; at most 1 MB each and 64 MB in all). A text's odds come from the folds that it is not
+in, so neither the network nor the curve that makes logits scores sees odds that a text itself produced.
+The curve weighs both labels the same: a half is where either is as likely. Nothing but the text is an
+input. The broadcast model is a few megabytes at most, bounded by the sample.
+
+A null or empty text, or one without words, scores as one padded window. With fewer than ``FOLDS`` distinct
+texts of a label in the sample there is nothing to train on, and every score is the share of toxic labels
+(0 without any label). Repeated rows each get their row, ties need no order, a null id stays null, an empty
+table gives an empty result, and extra columns are never read. Windows are scored in bounded batches, so a
+text of any length is scored whole.
 """
 
 from __future__ import annotations
@@ -33,10 +38,10 @@ from pyspark.sql import functions as F
 from .common import chunks, distinct_texts, held_out, labelled_sample, map_texts
 
 WINDOW, STRIDE = 32, 24
-HIDDEN, KEYS, EMBED, PIECES = 8, 8, 4, 12
-FEATURES = 6
+HIDDEN, KEYS = 8, 8
+FEATURES = 8
 FOLDS = 4
-LEAST_STEPS = 300
+STEPS, ROUNDS = 600, 5
 PER_CLASS = 2000
 BATCH_WINDOWS = 4096
 EDGE = ".,;:!?\"'()[]{}*$&%#|-_<>/\\"
@@ -57,12 +62,11 @@ class Vocabulary:
     """Log odds of words and of character pieces, from counts over training texts."""
 
     words: dict[str, float] = field(default_factory=dict)
-    pieces: dict[str, int] = field(default_factory=dict)  # places in `odds`, from 1 on
-    odds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
+    pieces: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, words: list[Counter], grams: list[Counter], numbering: dict[str, int] | None = None, least: int = 3) -> Vocabulary:
-        """From counts by label; numbering: the places of pieces, where another vocabulary gives them."""
+    def of(cls, words: list[Counter], grams: list[Counter], least: int = 3) -> Vocabulary:
+        """From counts by label."""
 
         def odds(counts: list[Counter]) -> dict[str, float]:
             total = [sum(c.values()) + 1 for c in counts]
@@ -73,29 +77,21 @@ class Vocabulary:
                     out[item] = float(np.log((a + 0.5) / total[1]) - np.log((b + 0.5) / total[0])) * (a + b) / (a + b + 4)
             return out
 
-        found = odds(grams)
-        pieces = numbering if numbering is not None else {g: i for i, g in enumerate(found, 1)}
-        return cls(odds(words), pieces, np.array([0, *(found.get(g, 0.0) for g in pieces)], np.float32))
+        return cls(odds(words), odds(grams))
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """FEATURES numbers and PIECES places (0 is none) of each word."""
+    def inputs(self, words: list[str]) -> np.ndarray:
+        """FEATURES numbers of each word."""
         get, seen, flat, sizes, own = self.pieces.get, self.words.get, [], [], []
         for word in words:
             bare = word.strip(EDGE)
-            found = [get(p, 0) for p in pieces_of(bare)]
+            found = [get(p, 0.0) for p in pieces_of(bare)]
             flat += found
             sizes.append(len(found))
             odds = seen(bare)
-            own.append((odds or 0.0, odds is None, len(bare), bare != word))
-        flat, sizes, own = np.array(flat, np.int64), np.array(sizes), np.array(own, np.float32)
+            own.append((odds or 0.0, odds is None, found[0], found[1], min(len(bare), 20) / 10, bare != word))
+        flat, sizes, own = np.array(flat, np.float32), np.array(sizes), np.array(own, np.float32)
         starts = np.cumsum(sizes) - sizes
-        odds = self.odds[flat]
-        values = np.column_stack([own[:, :2], np.maximum.reduceat(odds, starts), np.add.reduceat(odds, starts) / sizes, np.minimum(own[:, 2], 20) / 10, own[:, 3]])
-        place = np.arange(len(flat)) - np.repeat(starts, sizes)
-        rows = np.zeros((len(words), PIECES), np.int32)
-        kept = place < PIECES
-        rows[np.repeat(np.arange(len(words)), sizes)[kept], place[kept]] = flat[kept]
-        return values.astype(np.float32), rows
+        return np.column_stack([own[:, :4], np.maximum.reduceat(flat, starts), np.add.reduceat(flat, starts) / sizes, own[:, 4:]]).astype(np.float32)
 
 
 def counts_of(rows: list[tuple[str, int]]) -> tuple[list[Counter], list[Counter]]:
@@ -113,15 +109,15 @@ def counts_of(rows: list[tuple[str, int]]) -> tuple[list[Counter], list[Counter]
 class Tokens:
     """Places of words in a table of the network's input sums, which grows as words come."""
 
-    def __init__(self, most: int = 400_000):
-        self.most = most
+    def __init__(self, most: int = 400_000, most_chars: int = 16_000_000):
+        self.most, self.most_chars = most, most_chars
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.fresh: list[str] = []
         self.table = np.zeros((6 * HIDDEN, 1), np.float32)
-        self.filled = 0
+        self.filled = self.chars = 0
 
     def ids(self, words: list[str]) -> list[int]:
         index = self.index
@@ -134,6 +130,7 @@ class Tokens:
                     if at < 0:
                         at = index[word] = len(index)
                         self.fresh.append(word)
+                        self.chars += len(word)
                     out[k] = at
         return out
 
@@ -145,7 +142,7 @@ class Tokens:
                 grown = np.zeros((6 * HIDDEN, max(end, 2 * self.table.shape[1])), np.float32)
                 grown[:, : self.filled] = self.table[:, : self.filled]
                 self.table = grown
-            self.table[:, self.filled : end] = model.gates(*model.vocabulary.inputs(self.fresh))
+            self.table[:, self.filled : end] = model.gates(model.vocabulary.inputs(self.fresh))
             self.filled, self.fresh = end, []
 
 
@@ -161,13 +158,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def new_parameters(pieces: int, seed: int = 7) -> dict[str, np.ndarray]:
+def new_parameters(seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
-    size = FEATURES + EMBED
-    made = {
-        "E": normal(EMBED, pieces + 1, scale=0.05),
-        "W": normal(6 * HIDDEN, size, scale=size**-0.5),
+    return {
+        "W": normal(6 * HIDDEN, FEATURES, scale=FEATURES**-0.5),
         "b": np.zeros((6 * HIDDEN, 1), np.float32),
         "U": normal(2, 3 * HIDDEN, HIDDEN, scale=HIDDEN**-0.5),
         "A": normal(KEYS, 2 * HIDDEN, scale=(2 * HIDDEN) ** -0.5),
@@ -176,14 +171,6 @@ def new_parameters(pieces: int, seed: int = 7) -> dict[str, np.ndarray]:
         "u": normal(2 * HIDDEN, scale=(2 * HIDDEN) ** -0.5),
         "c": np.zeros(1, np.float32),
     }
-    made["E"][:, 0] = 0
-    return made
-
-
-def token_inputs(p: dict[str, np.ndarray], values: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(FEATURES + EMBED, tokens): the fixed features over the mean of the pieces' embeddings."""
-    used = np.maximum((rows > 0).sum(axis=1), 1)
-    return np.vstack([values.T, p["E"][:, rows].sum(axis=2) / used]).astype(p["E"].dtype)
 
 
 def run_network(p: dict[str, np.ndarray], gates: np.ndarray, ids: np.ndarray, keep: bool = False):
@@ -220,8 +207,8 @@ def run_network(p: dict[str, np.ndarray], gates: np.ndarray, ids: np.ndarray, ke
     return (logit, (mask, states, steps, keys, weight, pooled)) if keep else logit
 
 
-def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, rows: np.ndarray, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross entropy over windows and its gradients. inputs: (FEATURES + EMBED, tokens)."""
+def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross entropy over windows and its gradients. inputs: (FEATURES, tokens)."""
     gates = p["W"] @ inputs + p["b"]
     logit, (mask, states, steps, keys, weight, pooled) = run_network(p, gates, ids, keep=True)
     n, h = len(ids), HIDDEN
@@ -254,9 +241,6 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, rows: np.ndarray, id
             np.add.at(d_gates.T, at[t], np.pad(d_x.T, ((0, 0), (3 * h * d, 3 * h * (1 - d)))))
             d_state = d_state * (1 - m * (1 - z)) + p["U"][d].T @ d_y
     g["W"], g["b"] = d_gates @ inputs.T, d_gates.sum(axis=1, keepdims=True)
-    d_embed = (p["W"].T @ d_gates)[FEATURES:] / np.maximum((rows > 0).sum(axis=1), 1)
-    np.add.at(g["E"].T, rows.ravel(), np.repeat(d_embed.T, PIECES, axis=0))
-    g["E"][:, 0] = 0
     return loss, g
 
 
@@ -268,12 +252,9 @@ class ToxicityModel:
     shift: float
     prior: float
 
-    def gates(self, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Input sums of tokens, (6H, tokens), in bounded blocks."""
-        p, out = self.parameters, np.empty((6 * HIDDEN, len(values)), np.float32)
-        for s in range(0, len(values), 65536):
-            out[:, s : s + 65536] = p["W"] @ token_inputs(p, values[s : s + 65536], rows[s : s + 65536]) + p["b"]
-        return out
+    def gates(self, values: np.ndarray) -> np.ndarray:
+        """Input sums of tokens, (6H, tokens)."""
+        return (self.parameters["W"] @ values.T + self.parameters["b"]).astype(np.float32)
 
 
 def greatest(logits: np.ndarray, starts: list[int]) -> np.ndarray:
@@ -284,7 +265,7 @@ def score_texts(texts: list[str], model: ToxicityModel, tokens: Tokens) -> np.nd
     """Scores of whole texts. tokens: reused between calls of one task."""
     if not model.parameters or not texts:
         return np.full(len(texts), model.prior)
-    if len(tokens.index) > tokens.most:
+    if len(tokens.index) > tokens.most or tokens.chars > tokens.most_chars:
         tokens.clear()
     found = [windows_of(tokens.ids(split_words(t))) for t in texts]
     tokens.fill(model)
@@ -294,73 +275,80 @@ def score_texts(texts: list[str], model: ToxicityModel, tokens: Tokens) -> np.nd
     return sigmoid(np.clip(model.scale * greatest(logits, starts).astype(np.float64) + model.shift, -30, 30))
 
 
-def fit(sample: list[tuple[str, int]], toxic_share: float | None = None, epochs: int = 6, batch: int = 64, rate: float = 0.01) -> ToxicityModel:
-    """A model from (text, label) rows in a fixed order."""
-    share = toxic_share if toxic_share is not None else (sum(y for _, y in sample) / len(sample) if sample else 0.0)
-    by = {y: distinct_texts([t for t, label in sample if label == y]) for y in (0, 1)}
-    if min(len(by[0]), len(by[1])) < 4:
-        return ToxicityModel(Vocabulary(), {}, 1.0, 0.0, share)
-    folds = [[(t, y) for y in (0, 1) for t in by[y][k::FOLDS]] for k in range(FOLDS)]
-    counted = [counts_of(f) for f in folds]
-    total = tuple([sum((c[part][y] for c in counted), Counter()) for y in (0, 1)] for part in (0, 1))
-    vocabulary = Vocabulary.of(*total)
-    found, values, rows, labels = [], [], [], []
-    for fold, own in zip(folds, counted, strict=True):  # a text's odds come from the folds that it isn't in
+@dataclass
+class Sample:
+    """Windows of labelled texts, their words' inputs, and where each text's windows start."""
+
+    windows: np.ndarray
+    starts: np.ndarray
+    labels: np.ndarray
+    values: np.ndarray
+
+    def logits(self, model: ToxicityModel) -> np.ndarray:
+        gates = model.gates(self.values)
+        return np.concatenate([run_network(model.parameters, gates, self.windows[s : s + BATCH_WINDOWS]) for s in range(0, len(self.windows), BATCH_WINDOWS)])
+
+
+def read_sample(parts: list[tuple[list[tuple[str, int]], Vocabulary]]) -> Sample:
+    """(text, label) rows, each part read with its own vocabulary."""
+    found, values, labels = [], [], []
+    for rows, vocabulary in parts:
         tokens, shift = Tokens(), sum(map(len, values))
-        for text, y in fold:
+        for text, y in rows:
             ids = windows_of(tokens.ids(split_words(text)))
             found.append(np.where(ids >= 0, ids + shift, -1))
             labels.append(y)
-        others = ([total[part][y] - own[part][y] for y in (0, 1)] for part in (0, 1))
-        made = Vocabulary.of(*others, vocabulary.pieces).inputs(tokens.fresh or [""])
-        values.append(made[0])
-        rows.append(made[1])
-    labels = np.array(labels, np.float32)
-    starts = np.cumsum([0, *map(len, found)])[:-1]
-    ends = [*starts[1:].tolist(), sum(map(len, found))]
-    every = np.concatenate(found)
-    values, rows = np.concatenate(values), np.concatenate(rows)
-    p = new_parameters(len(vocabulary.pieces))
-    model = ToxicityModel(vocabulary, p, 1.0, 0.0, share)
-    rng = np.random.default_rng(11)
-    evidence = np.maximum(values[:, 0], 0) + np.maximum(values[:, 2], 0)
-    logits = np.where(every >= 0, evidence[np.maximum(every, 0)], 0).max(axis=1)
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
-    step = 0
-    epochs = max(epochs, -(-LEAST_STEPS * batch // (len(labels) + int((labels == 0).sum()))))  # a small sample takes more rounds
-    for epoch in range(epochs):
+        values.append(vocabulary.inputs(tokens.fresh or [""]))
+    return Sample(np.concatenate(found), np.cumsum([0, *map(len, found)])[:-1], np.array(labels, np.float32), np.concatenate(values))
+
+
+def train(model: ToxicityModel, sample: Sample, steps: int = STEPS, batch: int = 64, rate: float = 0.01) -> np.ndarray:
+    """Adam over each text's greatest window, chosen anew by round, and a random one of each clean text; each text's last greatest logit."""
+    p, rng, step = model.parameters, np.random.default_rng(11), 0
+    starts, ends = sample.starts.tolist(), [*sample.starts[1:].tolist(), len(sample.windows)]
+    evidence = np.maximum(sample.values[:, 0], 0) + np.maximum(sample.values[:, 4], 0)
+    logits = np.where(sample.windows >= 0, evidence[np.maximum(sample.windows, 0)], 0).max(axis=1)
+    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    for _ in range(ROUNDS):
         top = np.array([s + int(np.argmax(logits[s:e])) for s, e in zip(starts, ends, strict=True)])
-        plain = np.array([rng.integers(s, e) for s, e, y in zip(starts, ends, labels, strict=True) if y == 0])
-        chosen, target = np.concatenate([top, plain]), np.concatenate([labels, np.zeros(len(plain), np.float32)])
-        order = rng.permutation(len(chosen))
-        for s in range(0, len(order), batch):
-            own = order[s : s + batch]
-            ids = every[chosen[own]]
-            distinct, local = np.unique(ids, return_inverse=True)
-            local = local.reshape(ids.shape)
-            if distinct[0] < 0:
-                distinct, local = distinct[1:], local - 1
-            if not len(distinct):
+        plain = np.array([rng.integers(s, e) for s, e, y in zip(starts, ends, sample.labels, strict=True) if y == 0])
+        chosen, target = np.concatenate([top, plain]), np.concatenate([sample.labels, np.zeros(len(plain), np.float32)])
+        for _ in range(steps // ROUNDS):
+            step += 1
+            own = rng.integers(0, len(chosen), batch)
+            ids = sample.windows[chosen[own]]
+            distinct, local = np.unique(np.append(ids.ravel(), -1), return_inverse=True)
+            local = local[:-1].reshape(ids.shape) - 1
+            if len(distinct) == 1:
                 continue
-            _, g = gradients(p, token_inputs(p, values[distinct], rows[distinct]), rows[distinct], local, target[own])
+            _, g = gradients(p, sample.values[distinct[1:]].T, local, target[own])
             norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
-            step += 1
-            pace = rate * (1 - epoch / (epochs + 1))
+            pace = rate * max(0.05, 1 - step / steps)
             for k, v in g.items():
                 v = v * min(1.0, 5.0 / (norm + 1e-9))
                 first[k] = 0.9 * first[k] + 0.1 * v
                 second[k] = 0.999 * second[k] + 0.001 * v**2
                 p[k] -= (pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        gates = model.gates(values, rows)
-        logits = np.concatenate([run_network(p, gates, every[s : s + BATCH_WINDOWS]) for s in range(0, len(every), BATCH_WINDOWS)])
+        logits = sample.logits(model)
+    return greatest(logits, starts)
+
+
+def fit(sample: list[tuple[str, int]], toxic_share: float | None = None, steps: int = STEPS) -> ToxicityModel:
+    """A model from (text, label) rows in a fixed order."""
+    share = toxic_share if toxic_share is not None else (sum(y for _, y in sample) / len(sample) if sample else 0.0)
+    by = {y: distinct_texts([t for t, label in sample if label == y]) for y in (0, 1)}
+    if min(map(len, by.values())) < FOLDS:
+        return ToxicityModel(Vocabulary(), {}, 1.0, 0.0, share)
+    folds = [[(t, y) for y in (0, 1) for t in by[y][k::FOLDS]] for k in range(FOLDS)]
+    counted = [counts_of(f) for f in folds]
+    of = lambda some: Vocabulary.of(*([sum((counted[k][part][y] for k in some), Counter()) for y in (0, 1)] for part in (0, 1)))
+    read = read_sample([(folds[k], of([j for j in range(FOLDS) if j != k])) for k in range(FOLDS)])
+    model = ToxicityModel(of(range(FOLDS)), new_parameters(), 1.0, 0.0, share)
+    top = train(model, read, steps)
     from .compression import logistic
 
-    top = greatest(logits, starts.tolist())
-    w = logistic(np.column_stack([np.ones(len(top)), top]), labels.astype(float))
-    odds_of = lambda q: float(np.log(max(q, 1e-3) / max(1 - q, 1e-3)))
-    # the sample's labels are not as frequent as the corpus's; half the correction keeps rare insults caught
-    model.scale, model.shift = float(max(w[1], 0.1)), float(w[0]) + 0.5 * (odds_of(share) - odds_of(float(labels.mean())))
+    w = logistic(np.column_stack([np.ones(len(top)), top]), read.labels.astype(float), 0.1)
+    model.scale, model.shift = float(max(w[1], 0.1)), float(w[0] - np.log(read.labels.mean() / (1 - read.labels.mean())))
     return model
 
 

@@ -11,17 +11,15 @@ from headwater.llm import toxicity as T
 
 def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
-    p = {k: v.astype(float) for k, v in T.new_parameters(50).items()}
-    values, rows, ids = rng.normal(size=(20, T.FEATURES)), rng.integers(0, 51, (20, T.PIECES)), rng.integers(0, 20, (4, T.WINDOW))
+    p = {k: v.astype(float) for k, v in T.new_parameters().items()}
+    values, ids = rng.normal(size=(20, T.FEATURES)), rng.integers(0, 20, (4, T.WINDOW))
     ids[0, 20:], ids[1] = -1, -1
     target = np.array([1.0, 0, 1, 0])
-    value = lambda: T.gradients(p, T.token_inputs(p, values, rows), rows, ids, target)
+    value = lambda: T.gradients(p, values.T, ids, target)
     _, g = value()
     for k in p:
         for _ in range(4):
             at = tuple(rng.integers(0, s) for s in p[k].shape)
-            if k == "E" and at[1] == 0:
-                continue
             held = p[k][at]
             p[k][at] = held + 1e-5
             above = value()[0]
@@ -68,8 +66,58 @@ def test_awkward_rows(spark, awkward, nothing, model):
     assert T.score_texts(["", "x"], T.fit([("a", 1)]), T.Tokens()).tolist() == [1.0, 1.0] and T.fit([]).prior == 0.0
 
 
-def test_query(spark, sf_dir):
-    rows = T.op2_toxicity(spark, sf_dir).collect()
-    assert len(rows) == len({r["doc_id"] for r in rows}) == 200
-    for r in rows:
+def plain_logit(p, values, words):
+    """One window, gate by gate in plain loops."""
+    h, states = T.HIDDEN, []
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for d in (0, 1):
+        state, seen = np.zeros(h), {}
+        for t in range(len(words)) if d == 0 else reversed(range(len(words))):
+            x = (p["W"] @ values[words[t]] + p["b"][:, 0])[3 * h * d : 3 * h * (d + 1)]
+            y = p["U"][d] @ state
+            r, z = sig(x[:h] + y[:h]), sig(x[h : 2 * h] + y[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(x[2 * h :] + r * y[2 * h :])
+            seen[t] = state
+        states.append([seen[t] for t in range(len(words))])
+    both = np.array([np.concatenate(s) for s in zip(*states, strict=True)])
+    weight = np.exp(np.array([p["v"] @ np.tanh(p["A"] @ s + p["a"][:, 0]) for s in both]))
+    return p["u"] @ (weight[:, None] * both).sum(axis=0) / weight.sum() + p["c"][0]
+
+
+def test_the_network_equals_plain_loops():
+    rng = np.random.default_rng(2)
+    p = {k: rng.normal(0, 0.6, v.shape) for k, v in T.new_parameters().items()}
+    values = rng.normal(size=(30, T.FEATURES))
+    for n in (1, 5, T.WINDOW):
+        words = rng.integers(0, 30, n)
+        ids = np.full((1, T.WINDOW), -1)
+        ids[0, :n] = words
+        assert abs(T.run_network(p, p["W"] @ values.T + p["b"], ids)[0] - plain_logit(p, values, words)) < 1e-9
+
+
+def test_every_piece_of_a_long_word_counts():
+    word = "abcdefghijklmnopqrstuvwxyz" * 3
+    assert set(T.pieces_of(word)[2:]) == {f"^{word}$"[i : i + 4] for i in range(1, len(word) - 1)}
+    one = T.Vocabulary({}, {T.pieces_of(word)[-1]: 5.0}).inputs([word, "abc"])
+    assert one[0, 4] == 5.0 and one[0, 5] > 0 == one[1, 4]
+
+
+def test_a_word_of_a_million_letters(model):
+    assert all(0 <= s <= 1 for s in T.score_texts(["x" * 1_000_000, "a " + "y" * 300_000], model, T.Tokens(most_chars=1000)))
+
+
+def test_clashing_columns(awkward, model):
+    clash = awkward.selectExpr("*", "lang AS id", "1 AS score", "0 AS _y")
+    assert T.score(clash, model, "doc_id", "text", "lang").columns == ["doc_id", "lang", "score"]
+
+
+@pytest.mark.parametrize(("sf", "recall"), [("sf0.01", 0.8), ("sf0.1", 0.9)])
+def test_query_on_its_held_out_fifth(spark, sf, recall):
+    d = f"/root/testdata/{sf}"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = {r["doc_id"]: r for r in T.op2_toxicity(spark, d).collect()}
+    assert len(rows) == docs.count()
+    for r in rows.values():
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1
+    held = [(r["toxic"], rows[r["doc_id"]]["predicted"]) for r in labels.where("toxic IN (0, 1)").collect() if r["doc_id"] in rows and rows[r["doc_id"]]["held_out"]]
+    assert np.mean([p for y, p in held if y]) >= recall and np.mean([p for y, p in held if not y]) <= 0.04
