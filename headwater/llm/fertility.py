@@ -1,20 +1,24 @@
 """Quality rules from tokeniser fertility, with plain word and line counts beside them.
 
-A public vocabulary with byte fallback encodes the whole text. Its characters per token, its share of
-byte-fallback tokens and the entropy of its tokens are held against bands of the row's language, or of
-its script where the language is unknown. One pass, no shuffle; a task holds one text's tokens.
-
-A null text has no words and fails the base rules, as an empty one does. Texts of fewer than
-``LEAST_TOKENS`` tokens are judged by the base rules and the byte-fallback share only: a ratio over a few
-tokens says nothing. Repeated rows each get their row.
+Two public vocabularies encode the whole text: pieces with byte fallback, and byte-level ones for many
+languages, where a token that is no whole character is the fallback. For each, characters per token, the
+share of fallback tokens and the entropy of the tokens are held against bands of the row's language, or of
+its script where the language is unknown. A mean over few tokens says little, so every band widens by the
+standard error, one over the root of the number of tokens: any text has a verdict, and a short one is only
+rejected for what its length can't explain. One pass, no shuffle; a task holds one text's tokens.
+
+A null text has no words and fails the base rules, as an empty one does. Repeated rows each get their row,
+ties need no order, a text of any length is measured whole, a null id stays null, a null language is an
+unknown one, an empty table gives an empty result, and extra columns are never read.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,88 +27,116 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_texts
+from .common import SPACES, chunks, map_texts
+from .packing import encoder, ordinary
 
-#: Fixed values: (least, most) characters per token, least entropy in bits, least entropy against the
-#: most that so many tokens could have (2 ** 10 of them at most), most byte-fallback share.
+VOCABULARIES = ("piece", "multi")
+#: By language, for each vocabulary, the least characters per token and the most bits that the
+#: entropy of a text of 1,024 tokens or more may lack against the greatest that 1,024 tokens can have.
 LANGUAGE_BANDS = {
-    "en": (2.28, 2.95, 5.4, -3.45, 0.2),
-    "de": (2.30, 2.88, 5.4, -3.60, 0.2),
-    "fr": (2.07, 2.68, 5.4, -3.72, 0.2),
-    "es": (1.97, 2.62, 5.4, -3.60, 0.2),
+    "en": ((2.64, 3.60), (2.65, 3.55)),
+    "de": ((2.63, 3.80), (2.70, 3.70)),
+    "fr": ((2.36, 3.85), (2.42, 3.75)),
+    "es": ((2.30, 3.75), (2.44, 3.75)),
 }
-SCRIPT_BANDS = {"latin": (1.90, 6.00, 5.2, -3.80, 0.3), "other": (0.25, 6.00, 4.0, -5.00, 0.97)}
-LEAST_TOKENS = 120
-LEAST_TOKENS_BYTES = 20
+#: By script, the least and most characters per token, the most bits lacking, the most fallback share.
+SCRIPT_BANDS = {"latin": (1.9, 6.0, 3.9, 0.3), "other": (0.25, 6.0, 5.0, 0.97)}
+#: The most characters per token in a known language.
+MOST = 6.0
+#: Characters per token: how far a band reaches beyond its ends, for endless and for one token; a token's own deviation is 1.2.
+WIDTH, ERROR = 0.02, 6.0
+#: Bits that the entropy of a shorter text may lack less, for each halving of 1,024 tokens, and more, for one token.
+HALVING, ENTROPY_ERROR = 0.6, 2.0
+#: The most fallback share in a known language, and what one token adds.
+SHARE, SHARE_ERROR = 0.2, 1.0
 
 SYMBOLS = b"#*$%&|<>"
-SPACES = b" \t\n\x0b\x0c\r"
+BLANKS = SPACES.encode()
 WINDOW = 8
 NOT_LATIN = re.compile("[^\x00-ɏ]")
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
-RATIOS = ("chars_per_token", "fallback_share", "token_entropy", "entropy_gap")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RATIOS = tuple(f"{m}_{v}" for v in VOCABULARIES for m in ("n_tokens", "chars_per_token", "fallback_share", "token_entropy"))
 
 
 @functools.cache
-def _model(path: str) -> tuple[sentencepiece.SentencePieceProcessor, np.ndarray]:
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    newline = model.piece_to_id("<0x0A>")  # a line end has no other piece, so it tells nothing
-    return model, np.array([model.is_byte(i) and i != newline for i in range(model.get_piece_size())])
+def _models(piece: str, multi: str) -> list[tuple]:
+    """Of each vocabulary: the text's ids, and which ids are fallbacks."""
+    pieces = sentencepiece.SentencePieceProcessor(model_file=piece)
+    newline = pieces.piece_to_id("<0x0A>")  # a line end has no other piece, so it tells nothing
+    coder = encoder(multi)
+
+    def broken(i: int) -> bool:
+        try:
+            return not coder.decode_single_token_bytes(i).decode()
+        except (UnicodeDecodeError, KeyError):
+            return True
+
+    return [
+        (pieces.encode, np.array([pieces.is_byte(i) and i != newline for i in range(pieces.get_piece_size())])),
+        (functools.partial(ordinary, coder), np.array([broken(i) for i in range(coder.n_vocab)])),
+    ]
+
+
+def models(piece: str | None = None, multi: str | None = None) -> list[tuple]:
+    return _models(piece or public_tokenizers.path("piece_bpe_32k.model"), multi or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def repeat_words(words: list[bytes], width: int = WINDOW) -> int:
-    """Words that lie in a window of ``width`` words which the text holds twice or more."""
+    """Words that lie in a window of ``width`` words, a power of two, which the text holds twice or more.
+
+    Words are numbered, then pairs, then pairs of pairs, so equal numbers are equal windows.
+    """
+    index = defaultdict(count().__next__)
+    codes = np.fromiter((index[w] for w in words), np.int64, len(words))
+    if len(index) == len(words):
+        return 0
+    size = 1
+    while size < width and len(codes) > size:
+        _, codes = np.unique(codes[:-size] * len(words) + codes[size:], return_inverse=True)
+        size *= 2
     n = len(words) - width + 1
     if n < 2:
         return 0
-    codes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-    mixed = np.zeros(n, np.uint64)
-    for k in range(width):
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + (codes[k : k + n] ^ (codes[k : k + n] >> np.uint64(29)))
-    _, group, count = np.unique(mixed, return_inverse=True, return_counts=True)
-    maybe = np.flatnonzero(count[group] > 1).tolist()
-    if not maybe:
-        return 0
-    windows = [b" ".join(words[i : i + width]) for i in maybe]  # equal hashes are confirmed word for word
-    times = Counter(windows)
+    twice = np.bincount(codes)[codes] > 1
     edge = np.zeros(len(words) + 1, np.int64)
-    for i, w in zip(maybe, windows, strict=True):
-        if times[w] > 1:
-            edge[i] += 1
-            edge[i + width] -= 1
+    edge[:n] += twice
+    edge[width:] -= twice
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def measure_text(text: str, model: sentencepiece.SentencePieceProcessor, fallback: np.ndarray) -> tuple:
-    """MEASURES, then RATIOS (null where there is no token), then the script."""
+def ratios(ids: np.ndarray, n_chars: int, fallback: np.ndarray) -> tuple:
+    """Tokens, characters per token, fallback share, entropy; null where there is no token."""
+    n = len(ids)
+    if not n:
+        return 0, None, None, None
+    counts = np.unique(ids, return_counts=True)[1]
+    return n, n_chars / n, float(fallback[ids].mean()), float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
+
+
+def measure_text(text: str, vocabularies: list[tuple]) -> tuple:
+    """MEASURES, then RATIOS, then the script."""
     raw = text.encode()
     words = raw.split()
-    lines = [x for x in text.split("\n") if x.strip(SPACES.decode())]
-    ids = np.array(model.encode(text), np.int64)
-    n = len(ids)
-    ratios = (None, None, None, None)
-    if n:
-        counts = np.unique(ids, return_counts=True)[1]
-        entropy = float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
-        ratios = (len(text) / n, float(fallback[ids].mean()), entropy, entropy - float(np.log2(min(n, 1024))))
+    lines = [x for x in text.split("\n") if x.strip(SPACES)]
     script = "other" if 2 * len(NOT_LATIN.findall(text)) > len(text) else "latin"
-    spaces = len(raw) - len(raw.translate(None, SPACES))
+    blanks = len(raw) - len(raw.translate(None, BLANKS))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    return (len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), repeat_words(words), n, *ratios, script)
+    found = (x for encode, fallback in vocabularies for x in ratios(np.array(encode(text), np.int64), len(text), fallback))
+    return (len(words), len(text) - blanks, symbols, len(lines) - len(set(lines)), repeat_words(words), *found, script)
 
 
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None) -> DataFrame:
-    """(id, lang, MEASURES, RATIOS, script), one row for each input row."""
-    path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
-    schema = "id long, lang string, " + ", ".join(f"{m} long" for m in MEASURES) + ", " + ", ".join(f"{r} double" for r in RATIOS) + ", script string"
-    kinds = [pa.int64()] * len(MEASURES) + [pa.float64()] * len(RATIOS) + [pa.string()]
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", piece: str | None = None, multi: str | None = None) -> DataFrame:
+    """(id, lang, MEASURES, RATIOS, script), one row for each input row. piece, multi: other vocabulary files."""
+    kind = lambda c: ("long", pa.int64()) if c.startswith("n_") or c == "word_chars" else ("double", pa.float64())
+    schema = "id long, lang string, " + ", ".join(f"{c} {kind(c)[0]}" for c in (*MEASURES, *RATIOS)) + ", script string"
+    kinds = [*(kind(c)[1] for c in (*MEASURES, *RATIOS)), pa.string()]
     names = ["id", "lang", *MEASURES, *RATIOS, "script"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, fallback = _model(path)
+        held = models(piece, multi)
         for ids, texts, langs in chunks(batches):
-            columns = zip(*(measure_text(t, model, fallback) for t in texts), strict=True)
+            columns = zip(*(measure_text(t, held) for t in texts), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     return map_texts(df, id_col, text_col, run, schema, lang_col).withColumnRenamed("id", id_col)
@@ -115,18 +147,24 @@ def base_failed() -> Column:
 
 
 def within_bands() -> Column:
-    """True if the row's ratios lie in the bands of its language, or else of its script."""
+    """True if the row's ratios under each vocabulary lie in the bands of its language, or else of its script."""
+
+    def inside(vocabulary: str, least: float, most: float, lacking: float, share: float) -> Column:
+        n = F.greatest(F.col(f"n_tokens_{vocabulary}"), F.lit(1))
+        error, halvings = 1 / F.sqrt(n), 10 - F.log2(F.least(n, F.lit(1024)))
+        width = WIDTH + ERROR * error
+        chars, entropy = F.col(f"chars_per_token_{vocabulary}"), F.col(f"token_entropy_{vocabulary}")
+        gap = 10 - halvings - entropy
+        return chars.between(least - width, most + width) & (gap <= lacking - HALVING * halvings + ENTROPY_ERROR * error) & (F.col(f"fallback_share_{vocabulary}") <= share + SHARE_ERROR * error)
 
-    def inside(least: float, most: float, entropy: float, gap: float, share: float) -> Column:
-        ratios = F.col("chars_per_token").between(least, most) & (F.col("token_entropy") >= entropy) & (F.col("entropy_gap") >= gap)
-        known = F.col("n_tokens") >= LEAST_TOKENS_BYTES
-        return (~known | (F.col("fallback_share") <= share)) & ((F.col("n_tokens") < LEAST_TOKENS) | ratios)
+    def every(bands: list[tuple]) -> Column:
+        first, second = (inside(v, *band) for v, band in zip(VOCABULARIES, bands, strict=True))
+        return first & second
 
-    by = F.coalesce(F.lower("lang"), F.lit(""))
-    rule = F.when((F.col("script") == "other"), inside(*SCRIPT_BANDS["other"]))
-    for lang, band in LANGUAGE_BANDS.items():
-        rule = rule.when(by == lang, inside(*band))
-    return F.coalesce(rule.otherwise(inside(*SCRIPT_BANDS["latin"])), F.lit(True))
+    rule = F.when(F.col("script") == "other", every([SCRIPT_BANDS["other"]] * 2))
+    for lang, bands in LANGUAGE_BANDS.items():
+        rule = rule.when(F.lower("lang") == lang, every([(chars, MOST, lacking, SHARE) for chars, lacking in bands]))
+    return F.coalesce(rule.otherwise(every([SCRIPT_BANDS["latin"]] * 2)), F.lit(True))
 
 
 def judge(measured: DataFrame) -> DataFrame:
@@ -136,4 +174,4 @@ def judge(measured: DataFrame) -> DataFrame:
 
 def op10_tokeniser_fertility(spark, sf_dir: str) -> DataFrame:
     judged = judge(measure(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return judged.select("doc_id", *MEASURES[:5], "base_failed", "kept", *MEASURES[5:], *RATIOS, "script")
+    return judged.select("doc_id", *MEASURES, "base_failed", "kept", *RATIOS, "script")
