@@ -6,18 +6,22 @@ that an earlier round reached at least as strongly, and goes on from the rest. D
 an earlier state is never deeper; a state returns only for greater strength. Strengths are few
 (confidence) or bounded by the edges' own values, so the loop ends on cyclic graphs.
 
-A frontier is written to the shared checkpoint folder each round: the plan stays one round long and a
-lost executor costs one round. The flow edges are hashed by source once and read by every round.
+A round writes its new states to the shared checkpoint folder and nothing else; they are added up once at
+the end. The plan stays a few rounds long, and a lost executor costs one round. The flow edges are dealt by
+source once and read so by every round.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
 MAX_DEPTH = 64
+MERGE = 12
 
 
 def lineage_flow(edges: DataFrame) -> DataFrame:
@@ -36,25 +40,32 @@ def closure(seeds: DataFrame, flow: DataFrame, max_depth: int = MAX_DEPTH, stop:
     over all paths of a path's least rank; the two may come from different paths. stop: nodes (node) at
     which a path ends. The seed's own node is left out unless keep_seed.
     """
-    best = flow.groupBy("src", "dst").agg(F.max("rank").cast("long").alias("step"))
-    best = checkpoint(best.where("src <> dst"))
-    start = seeds.select("seed", "node").distinct().withColumn("rank", F.lit((1 << 62)).cast("long"))
-    frontier = checkpoint(start)
-    seen = frontier.withColumn("depth", F.lit(0))
-    depth = 0
-    while depth < max_depth and not frontier.isEmpty():
-        depth += 1
+    best = checkpoint(flow.where("src <> dst").repartition("src").groupBy("src", "dst").agg(F.max("rank").cast("long").alias("step")))
+    start = seeds.select("seed", "node").distinct().withColumn("rank", F.lit(1 << 62).cast("long")).withColumn("depth", F.lit(0))
+    ends = None if stop is None else stop.select("node").distinct()
+    fresh = frontier = checkpoint(start)
+    rounds = [fresh]
+    for depth in range(1, max_depth + 1):
+        if frontier.isEmpty():
+            break
         reached = frontier.join(best, frontier["node"] == best["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.max(F.least("rank", "step")).alias("rank"))
-        known = seen.select("seed", "node", F.col("rank").alias("_known"))
-        fresh = checkpoint(reached.join(known, ["seed", "node"], "left").where("_known IS NULL OR rank > _known").select("seed", "node", "rank"))
-        both = seen.unionByName(fresh.withColumn("depth", F.lit(depth)))
-        seen = checkpoint(both.groupBy("seed", "node").agg(F.min("depth").alias("depth"), F.max("rank").alias("rank")))
-        frontier = fresh if stop is None else fresh.join(stop.select("node").distinct(), "node", "left_anti")
+        known = reduce(DataFrame.union, [r.select(F.col("seed").alias("_seed"), F.col("node").alias("_node"), F.col("rank").alias("_rank")) for r in rounds])
+        fresh = checkpoint(reached.join(known, F.expr("_seed = seed AND _node = node AND _rank >= rank"), "left_anti").withColumn("depth", F.lit(depth)))
+        rounds.append(fresh)
+        if len(rounds) > MERGE:  # keeps the plan of a deep graph short
+            rounds = [checkpoint(states(rounds))]
+        frontier = fresh if ends is None else fresh.join(ends, "node", "left_anti")
+    seen = states(rounds)
     if not keep_seed:
         seen = seen.join(start.select("seed", "node"), ["seed", "node"], "left_anti")
     return seen.select("seed", "node", "depth", "rank")
 
 
+def states(rounds: list[DataFrame]) -> DataFrame:
+    every = reduce(DataFrame.unionByName, rounds)
+    return every.groupBy("seed", "node").agg(F.min("depth").alias("depth"), F.max("rank").alias("rank"))
+
+
 def base_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes (node) that derive from nothing and that nothing writes."""
     derived = edges.where("kind = 'derives_from'").select(F.col("src").alias("node"))

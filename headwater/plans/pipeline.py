@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +51,8 @@ def analyse(spark: SparkSession, tables: dict[str, DataFrame], config: Config) -
     matrix = checkpoint(analysis.commonality_matrix(lineage))
     programs = tables["program_classification"].where("program_class = 'program_described_or_complex'").select(F.substring_index("program", "/", -1).alias("name"))
     scores = analysis.complexity(seeds, edges, programs, nodes)
-    found = analysis.candidate_products(analysis.as_sets(matrix))
-    candidates = spark.createDataFrame([(c["rank"], c["fanout"], json.dumps(c, sort_keys=True)) for c in found], "rank int, fanout int, payload string")
+    found = analysis.candidate_products(matrix)
+    candidates = found.select("rank", "fanout", F.to_json(F.struct(*sorted(found.columns))).alias("payload"))
     missing = analysis.unknown_seeds(seeds, edges, nodes).select(F.lit("no_lineage").alias("kind"), F.col("node").alias("object_id"), F.concat(F.lit("output "), "output_id", F.lit(" is not in the graph")).alias("detail"), F.create_map(F.lit("output"), "output_id").alias("context"))
     gaps = tables["gaps"].where("kind <> 'no_lineage'").unionByName(missing)  # a second run adds nothing
     return {"output_lineage": lineage, "commonality_matrix": matrix, "complexity_scores": scores, "product_candidates": candidates, "gaps": gaps}

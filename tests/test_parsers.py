@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from headwater.parsers.control import parse_control
 from headwater.parsers.dds import parse_dds
 from headwater.parsers.rpg import parse_rpg
-from headwater.parsers.sql import analyze, parse_sql
+from headwater.parsers.sql import analyze, parse_sql, plain_text
 from headwater.sources.members import assemble
 from headwater.sources.store import LAYERS
 
@@ -47,14 +47,25 @@ def test_select_columns_and_aliases():
         ("WITH Q AS (SELECT A FROM S) SELECT A FROM Q", "SELECT", ["S"], [], [("A", ["S.A"])]),
         ("SELECT A FROM S UNION SELECT B FROM R", "UNION", ["S", "R"], [], []),
         ("SELECT * FROM S", "SELECT", ["S"], [], [("*", ["S.*"])]),
-        ("SELECT TRIM(LEADING '0' FROM A) AS X FROM S FETCH FIRST 1 ROW ONLY", "SELECT", ["S"], [], [("X", ["S.LEADING", "S.A"])]),
+        ("SELECT TRIM(LEADING '0' FROM A) AS X FROM S FETCH FIRST 1 ROW ONLY", "SELECT", ["S"], [], [("X", ["S.A"])]),
+        ("SELECT STRIP(A, TRAILING, ' ') X, STRIP(B) Y, TRIM(L '0' FROM C) Z, TRIM(LEADING) W FROM S", "SELECT", ["S"], [], [("X", ["S.A"]), ("Y", ["S.B"]), ("Z", ["S.C"]), ("W", ["S.LEADING"])]),
+        ("SELECT CURRENT TIMESTAMP, A CONCAT B, DIGITS(A) CONCAT 'x' AS D, CURRENT DATE DT, EXTRACT(YEAR FROM E) F FROM S", "SELECT", ["S"], [], [("CURRENT TIMESTAMP", []), ("A CONCAT B", ["S.A", "S.B"]), ("D", ["S.A"]), ("DT", []), ("F", ["S.E"])]),
+        ("UPDATE L / T SET A = CURRENT SERVER, B = USER WITH NC", "UPDATE", [], ["L/T"], [("L/T.A", []), ("L/T.B", [])]),
+        ('SELECT "o"."Amt" FROM "Lib"/"Ord" AS "o" FOR READ ONLY OPTIMIZE FOR 10 ROWS', "SELECT", ["LIB/ORD"], [], [("AMT", ["LIB/ORD.AMT"])]),
+        ("INSERT INTO LIB / T (X) SELECT A FROM LIB /S WITH UR SKIP LOCKED DATA", "INSERT", ["LIB/S"], ["LIB/T"], [("LIB/T.X", ["LIB/S.A"])]),
+        ("CREATE VIEW V FOR COLUMN X AS SELECT A FROM S RCDFMT VR", "CREATE_VIEW", ["S"], ["V"], [("V.A", ["S.A"])]),
     ],
 )
 def test_statements(sql, kind, reads, writes, lineage):
     a = analyze(sql)
     assert (a.stmt_type, a.tables_read, a.tables_written, a.parse_error) == (kind, reads, writes, None)
-    if "TRIM" not in sql:
-        assert a.column_lineage == lineage
+    assert a.column_lineage == lineage
+
+
+def test_dialect_goes_by_tokens():
+    assert plain_text("select a from lib / t with ur") == "select a from lib.t"
+    assert plain_text("CREATE TABLE L/T (A CHAR ( 3 ) CCSID 37 WITH DEFAULT 'x', B INT WITH DEFAULT, C INT WITH DEFAULT -1)") == "CREATE TABLE L.T ( A CHAR ( 3 ) DEFAULT 'x' , B INT , C INT DEFAULT - 1 )"
+    assert plain_text("SELECT A/B, 'WITH UR' FROM T") == "SELECT A / B , 'WITH UR' FROM T"
 
 
 def test_noise_dynamic_cursor_and_errors():
