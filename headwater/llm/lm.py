@@ -36,13 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, ship, written
+from ..session import checkpoint, ship
 
 STRENGTH = 2.0
 #: Code points of text for each chunk and for each range of keys, and in a text that is a chunk alone.
-CHUNK_CHARS, RANGE_CHARS, LONG = 8_000_000, 8_000_000, 1 << 18
+CHUNK_CHARS, RANGE_CHARS, LONG = 2_000_000, 4_000_000, 1 << 18
 BORDER = 0
-WORDS, PAIRS, TARGET = 0, 1, 2
+WORDS, PAIRS, TARGET, TOTAL = 0, 1, 2, 3
 
 
 def tokens_of(text: str) -> list[str]:
@@ -183,8 +183,10 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     alone = -1 - F.pmod(mark, F.lit((1 << 62) - 1))
     chunked = rows.withColumn("chunk", F.when(size >= LONG, alone).otherwise(F.pmod(mark, F.lit(n_chunks))))
     told = checkpoint(targets_by_chunk(chunked, targets))
-    known = written(summed_counts(sent_counts(chunked, told, ranges)))
-    kinds, *totals = known.where("chunk IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "n", "n_target"))).first()
+    known = summed_counts(sent_counts(chunked, told, ranges))
+    # one row of totals, told to each chunk: what its sums come from is one plan, so the texts are dealt to chunks once
+    total = known.where("chunk IS NULL").agg(F.concat(*(F.unhex(F.lpad(F.hex(F.coalesce(F.sum(c), F.lit(0))), 16, "0")) for c in ("words", "n", "n_target"))).alias("sums"))
+    totals = chunked.select("chunk").distinct().select("chunk", F.lit(0).cast("long").alias("part"), F.lit(TOTAL).alias("kind"), F.lit(0).alias("size"), total.scalar().alias("sums"))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         texts, wanted = texts_of(left, right)
@@ -192,6 +194,7 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
         if len(made.second):
             right = right.sort_by([("kind", "ascending"), ("part", "ascending")])
             kind, sizes, held = right["kind"].to_numpy(), right["size"].to_numpy(), right["sums"].to_pylist()
+            kinds, *sums = np.frombuffer(held[int(np.flatnonzero(kind == TOTAL)[0])], ">i8").astype(np.int64).tolist()
             every, target = [], []
             for one, keys in ((WORDS, made.keys), (PAIRS, made.pair_keys())):
                 own = np.flatnonzero(kind == one).tolist()
@@ -200,12 +203,12 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
                     counts = np.empty(len(keys), np.int64)
                     counts[order] = np.concatenate([from_bytes(held[k][at * sizes[k] : (at + 8) * sizes[k]], "<i8", sizes[k]) for k in own])
                     out.append(counts)
-            losses = [made.losses(*c, o, total, kinds) for c, o, total in zip((target, every), (wanted.astype(int), np.ones(len(texts), int)), totals[::-1], strict=True)]
+            losses = [made.losses(*c, o, total, kinds) for c, o, total in zip((target, every), (wanted.astype(int), np.ones(len(texts), int)), sums[::-1], strict=True)]
         empty = made.lengths == 0
         columns = [pa.array(x, mask=empty) for x in (*losses, losses[0] - losses[1])]
         return pa.table([left["id"], pa.array(made.lengths), *columns], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"])
 
-    every_told = told.unionByName(known.where("chunk IS NOT NULL").select("chunk", "part", "kind", "size", "sums"))
+    every_told = told.unionByName(totals).unionByName(known.where("chunk IS NOT NULL").select("chunk", "part", "kind", "size", "sums"))
     sides = chunked.groupBy("chunk").cogroup(every_told.groupBy("chunk"))
     return sides.applyInArrow(run, f"`{id_col}` long, n_tokens long, target_loss double, background_loss double, score double")
 
