@@ -6,14 +6,17 @@ SQL beside it computes the same from the same tables. Operators never know where
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import confidence as conf
 from .functions import ids, text
 from .operators import analysis, closure, edges, resolve
+from .parsers import sql
 from .session import ship, table
 from .sources import catalog, members, profiler
 from .sources import calllog as logs
@@ -22,43 +25,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-#: What given SQL narrows its tables by. A query that has one of these is registered a second time, as ``<name>_whole``, without it.
-SUBSETS = (
-    "l_orderkey % 4 = 1 AND ", " WHERE l_orderkey % 5 = 0", " WHERE l_orderkey % 17 = 0", " WHERE l_orderkey % 23 = 0",
-    " WHERE c_custkey <= 20", " WHERE c_custkey <= 12", " WHERE n_nationkey < 6", " WHERE n_nationkey < 3", " WHERE p_partkey % 10 = 0", " WHERE o_orderkey % 50 = 1", " WHERE s_suppkey < 40",
-)
+def query(sql: str | None = None):
+    """Register a query, with its SQL where SQL can express it."""
 
+    def register(fn: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
 
-def query(sql: str | None = None, whole: bool = False):
-    """Register a query; with ``whole`` also ``<name>_whole``, the same over every row, beside its SQL without SUBSETS."""
-
-    def register(fn: Callable[..., DataFrame]):
-        def add(name: str, sql: str | None, **more: bool):
-            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                ship(spark)
-                return fn(spark, sf_dir, **more)
-
-            run.__name__, run.__doc__ = name, fn.__doc__
-            QUERIES[name] = run
-            if sql:
-                ORACLE_SQL[name] = sql
-            return run
-
-        if whole:
-            every = sql
-            for subset in SUBSETS:
-                every = every.replace(subset, "")
-            add(f"{fn.__name__}_whole", every, whole=True)
-        return add(fn.__name__, sql)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[fn.__name__] = run
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return run
 
     return register
 
 
-def _rows(df: DataFrame, subset: str, whole: bool) -> DataFrame:
-    """The rows of a subset that given SQL reads, or every row."""
-    return df if whole else df.where(subset)
-
-
 # --- Names and scope ---------------------------------------------------------
 
 
@@ -82,10 +65,10 @@ def catalog_object_set(spark, d):
 
 @query(f"""
 SELECT n.name, h.lib AS found_lib, coalesce(h.n > 1, false) AS ambiguous
-FROM (SELECT DISTINCT upper(p_type) AS name FROM part UNION SELECT upper(c_name) FROM customer WHERE c_custkey <= 20) n
-LEFT JOIN (SELECT o.name, arg_min(o.lib, l.place) AS lib, count(DISTINCT o.lib) AS n FROM {OBJECTS} o JOIN {LIBLIST} ON o.lib = l.lib GROUP BY o.name) h USING (name)""", whole=True)
-def liblist_first_match(spark, d, whole=False):
-    names = _objects(spark, d).select("name").union(_rows(table(spark, d, "customer"), "c_custkey <= 20", whole).select(F.upper("c_name").alias("name"))).distinct()
+FROM (SELECT DISTINCT upper(p_type) AS name FROM part UNION SELECT upper(c_name) FROM customer) n
+LEFT JOIN (SELECT o.name, arg_min(o.lib, l.place) AS lib, count(DISTINCT o.lib) AS n FROM {OBJECTS} o JOIN {LIBLIST} ON o.lib = l.lib GROUP BY o.name) h USING (name)""")
+def liblist_first_match(spark, d):
+    names = _objects(spark, d).select("name").union(table(spark, d, "customer").select(F.upper("c_name").alias("name"))).distinct()
     return resolve.first_in_library_list(names, resolve.catalog_objects(_objects(spark, d)), _library_list(spark))
 
 
@@ -168,9 +151,9 @@ def seed_classification(spark, d):
 # --- Edges -------------------------------------------------------------------
 
 
-def _references(spark, d, whole: bool = False) -> DataFrame:
+def _references(spark, d) -> DataFrame:
     """Orders as programs that use parts; the line number is the usage flag."""
-    return _rows(table(spark, d, "lineitem"), "l_orderkey % 4 = 1", whole).select(
+    return table(spark, d, "lineitem").select(
         F.lit("app").alias("program_lib"), F.col("l_orderkey").cast("string").alias("program_name"), F.lit("dat").alias("object_lib"), F.col("l_partkey").cast("string").alias("object_name"),
         F.when(F.col("l_linenumber") == 7, "*PGM").when(F.col("l_linenumber") == 6, "*DTAARA").otherwise("*FILE").alias("object_type"), F.col("l_linenumber").cast("string").alias("usage_flag"),
     )
@@ -181,9 +164,9 @@ SELECT DISTINCT 'program:APP/' || l_orderkey AS src,
        CASE WHEN l_linenumber = 7 THEN 'program:DAT/' ELSE 'file:DAT/' END || l_partkey AS dst,
        CASE WHEN l_linenumber = 7 THEN 'calls' ELSE unnest(CASE WHEN l_linenumber = 2 THEN ['writes'] WHEN l_linenumber IN (3, 4) THEN ['reads', 'writes'] ELSE ['reads'] END) END AS kind,
        'xref' AS provenance, 'confirmed' AS confidence
-FROM lineitem WHERE l_orderkey % 4 = 1 AND l_linenumber <> 6""", whole=True)
-def usage_direction_edges(spark, d, whole=False):
-    return edges.reference_edges(_references(spark, d, whole)).select("src", "dst", "kind", "provenance", "confidence").distinct()
+FROM lineitem WHERE l_linenumber <> 6""")
+def usage_direction_edges(spark, d):
+    return edges.reference_edges(_references(spark, d)).select("src", "dst", "kind", "provenance", "confidence").distinct()
 
 
 @query("""
@@ -205,13 +188,13 @@ def dependency_edges(spark, d):
 
 
 @query("""
-WITH f AS (SELECT DISTINCT 'N' || s_nationkey AS file, p_brand AS field FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE p_size < 4),
+WITH f AS (SELECT DISTINCT 'N' || s_nationkey AS file, p_brand AS field FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
 r AS (SELECT 'N' || a.n_nationkey AS dep, 'N' || b.n_nationkey AS base FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey > b.n_nationkey),
 k AS (SELECT DISTINCT 'N' || s_nationkey AS file, p_brand AS field FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE p_size < 2)
 SELECT r.dep AS dep_file, r.base AS based_file, x.field FROM r JOIN f x ON x.file = r.dep JOIN f y ON y.file = r.base AND x.field = y.field
 WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.file = r.dep AND k.field = x.field)""")
 def lf_passthrough(spark, d):
-    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part").where("p_size < 4"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     fields = lines.select(F.lit("L").alias("lib"), F.concat(F.lit("N"), "s_nationkey").alias("file"), F.col("p_brand").alias("field"), "p_size")
     nation = table(spark, d, "nation")
     b = nation.select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("b"))
@@ -248,25 +231,25 @@ def override_partial(spark, d):
 
 
 @query("""
-WITH f AS (SELECT DISTINCT p_brand AS file, p_type AS field FROM part WHERE p_size < 20), r AS (SELECT DISTINCT 'P' || (p_partkey % 5) AS program, p_type AS field FROM part WHERE p_size < 3),
-p AS (SELECT DISTINCT 'P' || (p_partkey % 5) AS program, p_brand AS file FROM part WHERE p_size = 5)
+WITH f AS (SELECT DISTINCT p_brand AS file, p_type AS field FROM part), r AS (SELECT DISTINCT 'P' || (p_partkey % 5) AS program, p_type AS field FROM part WHERE p_size < 3),
+p AS (SELECT DISTINCT 'P' || (p_partkey % 5) AS program, p_brand AS file FROM part)
 SELECT p.program, p.file, f.field, CASE WHEN r.field IS NULL THEN 'inferred' ELSE 'parsed' END AS confidence, CASE WHEN r.field IS NULL THEN 'record_io_all_fields' ELSE 'field_reference' END AS mechanism
 FROM p JOIN f USING (file) LEFT JOIN r ON r.program = p.program AND r.field = f.field""")
 def field_usage_confidence(spark, d):
     part = table(spark, d, "part").withColumn("program", F.concat(F.lit("P"), F.col("p_partkey") % 5))
-    reads = part.where("p_size = 5").select("program", F.col("p_brand").alias("file"))
-    fields = part.where("p_size < 20").select(F.col("p_brand").alias("file"), F.col("p_type").alias("field"))
+    reads = part.select("program", F.col("p_brand").alias("file"))
+    fields = part.select(F.col("p_brand").alias("file"), F.col("p_type").alias("field"))
     return edges.field_usage(reads, fields, part.where("p_size < 3").select("program", F.col("p_type").alias("field")))
 
 
 @query("""
 WITH f AS (SELECT DISTINCT p_brand AS file, p_type AS field FROM part),
-c AS (SELECT DISTINCT 'C' || p_size AS program, a.p_brand AS from_file, 'Brand#' || (1 + a.p_size % 5) || (1 + a.p_partkey % 5) AS to_file, CASE WHEN p_size % 2 = 0 THEN '*map *drop' END AS fmtopt FROM part a WHERE p_size < 6)
+c AS (SELECT DISTINCT 'C' || p_size AS program, a.p_brand AS from_file, 'Brand#' || (1 + a.p_size % 5) || (1 + a.p_partkey % 5) AS to_file, CASE WHEN p_size % 2 = 0 THEN '*map *drop' END AS fmtopt FROM part a)
 SELECT DISTINCT c.program, c.from_file, c.to_file, x.field, CASE WHEN fmtopt IS NULL THEN 'inferred' ELSE 'parsed' END AS confidence, CASE WHEN fmtopt IS NULL THEN 'cpyf_layout' ELSE 'cpyf_map' END AS mechanism
 FROM c JOIN f x ON x.file = c.from_file JOIN f y ON y.file = c.to_file AND x.field = y.field""")
 def cpyf_column_usage(spark, d):
     part = table(spark, d, "part")
-    copies = part.where("p_size < 6").select(F.concat(F.lit("C"), "p_size").alias("program"), F.col("p_brand").alias("from_file"), F.concat(F.lit("Brand#"), 1 + F.col("p_size") % 5, 1 + F.col("p_partkey") % 5).alias("to_file"), F.when(F.col("p_size") % 2 == 0, "*map *drop").alias("fmtopt")).distinct()
+    copies = part.select(F.concat(F.lit("C"), "p_size").alias("program"), F.col("p_brand").alias("from_file"), F.concat(F.lit("Brand#"), 1 + F.col("p_size") % 5, 1 + F.col("p_partkey") % 5).alias("to_file"), F.when(F.col("p_size") % 2 == 0, "*map *drop").alias("fmtopt")).distinct()
     return edges.copied_fields(copies, part.select(F.col("p_brand").alias("file"), F.col("p_type").alias("field")))
 
 
@@ -309,7 +292,7 @@ GRAPH = """
 flow AS (
   SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst, 3 AS rank FROM nation
   UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey, CASE WHEN s_acctbal < 2000 THEN 1 ELSE 2 END FROM supplier
-  UNION ALL SELECT 'S' || l_suppkey, 'P' || l_partkey, max(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 3 ELSE 2 END) FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL
+  UNION ALL SELECT 'S' || l_suppkey, 'P' || l_partkey, max(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 3 ELSE 2 END) FROM lineitem GROUP BY ALL
   UNION ALL SELECT 'P' || p_partkey, p_brand, CASE WHEN p_size > 25 THEN 2 ELSE 1 END FROM part)"""
 REACH = """
 walk AS (
@@ -317,12 +300,12 @@ walk AS (
   UNION SELECT w.seed, f.dst, w.depth + 1, least(w.rank, f.rank) FROM walk w JOIN flow f ON f.src = w.node WHERE w.depth < 64)"""
 
 
-def _graph(spark, d, whole: bool = False) -> DataFrame:
+def _graph(spark, d) -> DataFrame:
     flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 3).otherwise(2)
     made = [
         table(spark, d, "nation").select(F.concat(F.lit("R"), "n_regionkey").alias("src"), F.concat(F.lit("N"), "n_nationkey").alias("dst"), F.lit(3).alias("rank")),
         table(spark, d, "supplier").select(F.concat(F.lit("N"), "s_nationkey"), F.concat(F.lit("S"), "s_suppkey"), F.when(F.col("s_acctbal") < 2000, 1).otherwise(2)),
-        _rows(table(spark, d, "lineitem"), "l_orderkey % 5 = 0", whole).groupBy("l_suppkey", "l_partkey").agg(F.max(flag).alias("rank")).select(F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey"), "rank"),
+        table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max(flag).alias("rank")).select(F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey"), "rank"),
         table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey"), "p_brand", F.when(F.col("p_size") > 25, 2).otherwise(1)),
     ]
     out = made[0]
@@ -335,28 +318,28 @@ def _regions(spark, d) -> DataFrame:
     return table(spark, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("seed"), F.concat(F.lit("R"), "r_regionkey").alias("node"))
 
 
-@query(f"WITH RECURSIVE {GRAPH}, {REACH} SELECT seed, node, min(depth) AS depth, max(rank)::BIGINT AS rank FROM walk WHERE node <> seed GROUP BY seed, node", whole=True)
-def backward_closure(spark, d, whole=False):
-    return closure.closure(_regions(spark, d), _graph(spark, d, whole)).select("seed", "node", "depth", "rank")
+@query(f"WITH RECURSIVE {GRAPH}, {REACH} SELECT seed, node, min(depth) AS depth, max(rank)::BIGINT AS rank FROM walk WHERE node <> seed GROUP BY seed, node")
+def backward_closure(spark, d):
+    return closure.closure(_regions(spark, d), _graph(spark, d)).select("seed", "node", "depth", "rank")
 
 
 TRADE = """
 trade AS (SELECT 'N' || c_nationkey AS src, 'N' || s_nationkey AS dst, 1 + (count(*) % 3) AS rank
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL HAVING count(*) % 7 = 0)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
 
 
 def _trade(spark, d) -> DataFrame:
     joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    n = joined.groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("n")).where("n % 7 = 0")
+    n = joined.groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("n"))
     return n.select(F.concat(F.lit("N"), "c_nationkey").alias("src"), F.concat(F.lit("N"), "s_nationkey").alias("dst"), (1 + F.col("n") % 3).alias("rank"))
 
 
 @query(f"""WITH RECURSIVE {TRADE}, walk AS (
-  SELECT 'N' || n_nationkey AS seed, 'N' || n_nationkey AS node, 0 AS depth, 9::BIGINT AS rank FROM nation WHERE n_nationkey < 6
+  SELECT 'N' || n_nationkey AS seed, 'N' || n_nationkey AS node, 0 AS depth, 9::BIGINT AS rank FROM nation
   UNION SELECT w.seed, t.dst, w.depth + 1, least(w.rank, t.rank) FROM walk w JOIN trade t ON t.src = w.node WHERE w.depth < 64)
-SELECT seed, node, min(depth) AS depth, max(rank) AS rank FROM walk WHERE node <> seed GROUP BY seed, node""", whole=True)
-def closure_cyclic(spark, d, whole=False):
-    seeds = _rows(table(spark, d, "nation"), "n_nationkey < 6", whole).select(F.concat(F.lit("N"), "n_nationkey").alias("seed"), F.concat(F.lit("N"), "n_nationkey").alias("node"))
+SELECT seed, node, min(depth) AS depth, max(rank) AS rank FROM walk WHERE node <> seed GROUP BY seed, node""")
+def closure_cyclic(spark, d):
+    seeds = table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("seed"), F.concat(F.lit("N"), "n_nationkey").alias("node"))
     return closure.closure(seeds, _trade(spark, d)).select("seed", "node", "depth", "rank")
 
 
@@ -374,49 +357,49 @@ def base_files(spark, d):
 CHAIN = "SELECT 'P' || p_partkey AS src, p_brand AS dst FROM part WHERE p_size < 40 UNION SELECT DISTINCT p_brand, p_type FROM part WHERE p_size % 10 = 3"
 
 
-@query(f"""WITH RECURSIVE e AS ({CHAIN}), walk AS (SELECT 'P' || p_partkey AS seed, 'P' || p_partkey AS node FROM part WHERE p_partkey % 10 = 0 UNION SELECT w.seed, e.dst FROM walk w JOIN e ON e.src = w.node)
-SELECT seed, node FROM walk WHERE node NOT IN (SELECT src FROM e)""", whole=True)
-def flatten_logical(spark, d, whole=False):
+@query(f"""WITH RECURSIVE e AS ({CHAIN}), walk AS (SELECT 'P' || p_partkey AS seed, 'P' || p_partkey AS node FROM part UNION SELECT w.seed, e.dst FROM walk w JOIN e ON e.src = w.node)
+SELECT seed, node FROM walk WHERE node NOT IN (SELECT src FROM e)""")
+def flatten_logical(spark, d):
     part = table(spark, d, "part")
     flow = part.where("p_size < 40").select(F.concat(F.lit("P"), "p_partkey").alias("src"), F.col("p_brand").alias("dst")).union(part.where("p_size % 10 = 3").select("p_brand", "p_type")).distinct().withColumn("rank", F.lit(1))
-    return closure.sinks(_rows(part, "p_partkey % 10 = 0", whole).select(F.concat(F.lit("P"), "p_partkey").alias("seed"), F.concat(F.lit("P"), "p_partkey").alias("node")), flow)
+    return closure.sinks(part.select(F.concat(F.lit("P"), "p_partkey").alias("seed"), F.concat(F.lit("P"), "p_partkey").alias("node")), flow)
 
 
 @query("""WITH RECURSIVE calls AS (SELECT c_custkey AS src, 1 + c_custkey // 3 AS dst FROM customer),
-walk AS (SELECT c_custkey AS seed, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey <= 12 UNION SELECT w.seed, c.src, w.depth + 1 FROM walk w JOIN calls c ON c.dst = w.node WHERE w.depth < 64)
-SELECT seed, node, min(depth) AS depth FROM walk WHERE node <> seed GROUP BY seed, node""", whole=True)
-def transitive_callers(spark, d, whole=False):
+walk AS (SELECT c_custkey AS seed, c_custkey AS node, 0 AS depth FROM customer UNION SELECT w.seed, c.src, w.depth + 1 FROM walk w JOIN calls c ON c.dst = w.node WHERE w.depth < 64)
+SELECT seed, node, min(depth) AS depth FROM walk WHERE node <> seed GROUP BY seed, node""")
+def transitive_callers(spark, d):
     c = table(spark, d, "customer")
-    return closure.transitive_callers(_rows(c, "c_custkey <= 12", whole).select(F.col("c_custkey").alias("seed"), F.col("c_custkey").alias("node")), c.select(F.col("c_custkey").alias("src"), F.expr("1 + c_custkey div 3").alias("dst")))
+    return closure.transitive_callers(c.select(F.col("c_custkey").alias("seed"), F.col("c_custkey").alias("node")), c.select(F.col("c_custkey").alias("src"), F.expr("1 + c_custkey div 3").alias("dst")))
 
 
 @query(f"""WITH RECURSIVE {GRAPH}, kept AS (SELECT 'R' || r_regionkey AS node FROM region UNION ALL SELECT 'S' || s_suppkey FROM supplier UNION ALL SELECT DISTINCT p_brand FROM part),
 walk AS (SELECT node AS seed, node, 9 AS rank, true AS go FROM kept UNION SELECT w.seed, f.dst, least(w.rank, f.rank), f.dst NOT IN (SELECT node FROM kept) FROM walk w JOIN flow f ON f.src = w.node WHERE w.go)
-SELECT seed AS src, node AS dst, max(rank)::BIGINT AS rank FROM walk WHERE node IN (SELECT node FROM kept) AND node <> seed GROUP BY seed, node""", whole=True)
-def physical_contraction(spark, d, whole=False):
+SELECT seed AS src, node AS dst, max(rank)::BIGINT AS rank FROM walk WHERE node IN (SELECT node FROM kept) AND node <> seed GROUP BY seed, node""")
+def physical_contraction(spark, d):
     kept = table(spark, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("node")).union(table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey"))).union(table(spark, d, "part").select("p_brand").distinct())
-    return closure.contract(_graph(spark, d, whole), kept).select("src", "dst", "rank")
+    return closure.contract(_graph(spark, d), kept).select("src", "dst", "rank")
 
 
 @query(f"""WITH RECURSIVE counts AS (SELECT 'N' || c_nationkey AS src, 'N' || s_nationkey AS dst, count(*) AS n
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey < s_nationkey AND c_nationkey + 5 > s_nationkey GROUP BY ALL),
-walk AS (SELECT 'N' || n_nationkey AS seed, 'N' || n_nationkey AS node, 1099511627776::BIGINT AS n FROM nation WHERE n_nationkey < 3 UNION SELECT w.seed, c.dst, least(w.n, c.n) FROM walk w JOIN counts c ON c.src = w.node)
-SELECT seed, node, max(n) AS bottleneck FROM walk WHERE node <> seed GROUP BY seed, node""", whole=True)
-def evidence_bottleneck(spark, d, whole=False):
+walk AS (SELECT 'N' || n_nationkey AS seed, 'N' || n_nationkey AS node, 1099511627776::BIGINT AS n FROM nation UNION SELECT w.seed, c.dst, least(w.n, c.n) FROM walk w JOIN counts c ON c.src = w.node)
+SELECT seed, node, max(n) AS bottleneck FROM walk WHERE node <> seed GROUP BY seed, node""")
+def evidence_bottleneck(spark, d):
     joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     counts = joined.where("c_nationkey < s_nationkey AND c_nationkey + 5 > s_nationkey").groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("rank"))
     flow = counts.select(F.concat(F.lit("N"), "c_nationkey").alias("src"), F.concat(F.lit("N"), "s_nationkey").alias("dst"), "rank")
-    seeds = _rows(table(spark, d, "nation"), "n_nationkey < 3", whole).select(F.concat(F.lit("N"), "n_nationkey").alias("seed"), F.concat(F.lit("N"), "n_nationkey").alias("node"))
+    seeds = table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("seed"), F.concat(F.lit("N"), "n_nationkey").alias("node"))
     return closure.closure(seeds, flow).select("seed", "node", F.col("rank").alias("bottleneck"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT o_orderkey AS src, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey // 2 ELSE o_orderkey - 4 END AS dst FROM orders WHERE o_orderkey > 8),
-walk AS (SELECT o_orderkey AS seed, o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey % 50 = 1 UNION SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 8)
-SELECT seed, node, min(depth) AS depth FROM walk WHERE node <> seed GROUP BY seed, node""", whole=True)
-def move_chain(spark, d, whole=False):
+walk AS (SELECT o_orderkey AS seed, o_orderkey AS node, 0 AS depth FROM orders UNION SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 8)
+SELECT seed, node, min(depth) AS depth FROM walk WHERE node <> seed GROUP BY seed, node""")
+def move_chain(spark, d):
     o = table(spark, d, "orders")
     flow = o.where("o_orderkey > 8").select(F.col("o_orderkey").alias("src"), F.expr("CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey div 2 ELSE o_orderkey - 4 END").alias("dst"), F.lit(1).alias("rank"))
-    seeds = _rows(o, "o_orderkey % 50 = 1", whole).select(F.col("o_orderkey").alias("seed"), F.col("o_orderkey").alias("node"))
+    seeds = o.select(F.col("o_orderkey").alias("seed"), F.col("o_orderkey").alias("node"))
     return closure.closure(seeds, flow, max_depth=8).select("seed", "node", "depth")
 
 
@@ -432,12 +415,12 @@ def ultimate_base(spark, d):
 LINEAGE = """
 lineage AS (SELECT 'N' || s_nationkey AS output_id, 'file:P/' || replace(upper(p_brand), '#', '') AS source_file, CASE WHEN p_size % 2 = 0 THEN p_type END AS source_column,
   CASE WHEN p_size = 3 THEN 'inferred' WHEN p_size % 3 = 0 THEN 'parsed' ELSE 'confirmed' END AS min_confidence, CASE WHEN p_size % 4 = 0 THEN 'used' ELSE 'derives' END AS relation
-  FROM (SELECT DISTINCT s_nationkey, p_brand, p_type, p_size FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 23 = 0))"""
+  FROM (SELECT DISTINCT s_nationkey, p_brand, p_type, p_size FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey))"""
 MATRIX = f"{LINEAGE}, matrix AS (SELECT output_id, source_file AS source_id FROM lineage UNION SELECT output_id, 'column:' || substr(source_file, 6) || '.' || source_column FROM lineage WHERE relation = 'used' AND source_column IS NOT NULL)"
 
 
-def _lineage(spark, d, whole: bool = False) -> DataFrame:
-    lines = _rows(table(spark, d, "lineitem"), "l_orderkey % 23 = 0", whole).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+def _lineage(spark, d) -> DataFrame:
+    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     size = F.col("p_size")
     return lines.select("s_nationkey", "p_brand", "p_type", "p_size").distinct().select(
         F.concat(F.lit("N"), "s_nationkey").alias("output_id"), ids.file_id(F.lit("p"), F.replace("p_brand", F.lit("#"))).alias("source_file"), F.when(size % 2 == 0, F.col("p_type")).alias("source_column"),
@@ -445,52 +428,52 @@ def _lineage(spark, d, whole: bool = False) -> DataFrame:
     )
 
 
-@query(f"WITH {MATRIX} SELECT output_id, source_id, true AS present FROM matrix", whole=True)
-def commonality_matrix(spark, d, whole=False):
-    return analysis.commonality_matrix(_lineage(spark, d, whole))
+@query(f"WITH {MATRIX} SELECT output_id, source_id, true AS present FROM matrix")
+def commonality_matrix(spark, d):
+    return analysis.commonality_matrix(_lineage(spark, d))
 
 
-@query(f"WITH {MATRIX} SELECT source_id, count(DISTINCT output_id) AS fanout, string_agg(DISTINCT output_id, ',' ORDER BY output_id) AS outputs FROM matrix GROUP BY source_id", whole=True)
-def fanout(spark, d, whole=False):
-    return analysis.fan_out(analysis.commonality_matrix(_lineage(spark, d, whole)))
+@query(f"WITH {MATRIX} SELECT source_id, count(DISTINCT output_id) AS fanout, string_agg(DISTINCT output_id, ',' ORDER BY output_id) AS outputs FROM matrix GROUP BY source_id")
+def fanout(spark, d):
+    return analysis.fan_out(analysis.commonality_matrix(_lineage(spark, d)))
 
 
-@query(f"WITH {MATRIX}, m AS (SELECT 'R' || n_regionkey AS cluster, 'N' || n_nationkey AS output_id FROM nation) SELECT cluster, source_id FROM matrix JOIN m USING (output_id) GROUP BY cluster, source_id HAVING count(DISTINCT output_id) = 5", whole=True)
-def shared_sources(spark, d, whole=False):
+@query(f"WITH {MATRIX}, m AS (SELECT 'R' || n_regionkey AS cluster, 'N' || n_nationkey AS output_id FROM nation) SELECT cluster, source_id FROM matrix JOIN m USING (output_id) GROUP BY cluster, source_id HAVING count(DISTINCT output_id) = 5")
+def shared_sources(spark, d):
     clusters = table(spark, d, "nation").select(F.concat(F.lit("R"), "n_regionkey").alias("cluster"), F.concat(F.lit("N"), "n_nationkey").alias("output_id"))
-    return analysis.shared_by_all(analysis.commonality_matrix(_lineage(spark, d, whole)), clusters)
+    return analysis.shared_by_all(analysis.commonality_matrix(_lineage(spark, d)), clusters)
 
 
 @query(f"""WITH {MATRIX}, n AS (SELECT output_id, count(*) AS n FROM matrix GROUP BY output_id)
 SELECT x.output_id AS a, y.output_id AS b, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*))::DOUBLE, 6) AS jaccard
-FROM matrix x JOIN matrix y ON x.source_id = y.source_id AND x.output_id < y.output_id JOIN n p ON p.output_id = x.output_id JOIN n q ON q.output_id = y.output_id GROUP BY 1, 2""", whole=True)
-def jaccard_pairs(spark, d, whole=False):
-    return analysis.jaccard_pairs(analysis.commonality_matrix(_lineage(spark, d, whole)))
+FROM matrix x JOIN matrix y ON x.source_id = y.source_id AND x.output_id < y.output_id JOIN n p ON p.output_id = x.output_id JOIN n q ON q.output_id = y.output_id GROUP BY 1, 2""")
+def jaccard_pairs(spark, d):
+    return analysis.jaccard_pairs(analysis.commonality_matrix(_lineage(spark, d)))
 
 
-@query(f"WITH {MATRIX} SELECT source_id, count(DISTINCT output_id) AS n_outputs FROM matrix GROUP BY source_id ORDER BY 2 DESC, 1 LIMIT 20", whole=True)
-def top_shared_sources(spark, d, whole=False):
-    return analysis.top_shared(analysis.commonality_matrix(_lineage(spark, d, whole)))
+@query(f"WITH {MATRIX} SELECT source_id, count(DISTINCT output_id) AS n_outputs FROM matrix GROUP BY source_id ORDER BY 2 DESC, 1 LIMIT 20")
+def top_shared_sources(spark, d):
+    return analysis.top_shared(analysis.commonality_matrix(_lineage(spark, d)))
 
 
 STATUS = """status AS (SELECT o.output_id, CASE WHEN count(l.output_id) = 0 THEN 'unresolved' WHEN bool_or(l.min_confidence = 'inferred' OR l.source_file IN (SELECT 'file:P/BRAND1' || p_size FROM part WHERE p_size < 3)) THEN 'partial' ELSE 'resolved' END AS status
-  FROM (SELECT 'N' || s_suppkey AS output_id FROM supplier WHERE s_suppkey < 40) o LEFT JOIN lineage l USING (output_id) GROUP BY o.output_id)"""
+  FROM (SELECT 'N' || s_suppkey AS output_id FROM supplier) o LEFT JOIN lineage l USING (output_id) GROUP BY o.output_id)"""
 
 
-def _status(spark, d, whole: bool = False) -> DataFrame:
-    outputs = _rows(table(spark, d, "supplier"), "s_suppkey < 40", whole).select(F.concat(F.lit("N"), "s_suppkey").alias("output_id"))
+def _status(spark, d) -> DataFrame:
+    outputs = table(spark, d, "supplier").select(F.concat(F.lit("N"), "s_suppkey").alias("output_id"))
     gaps = table(spark, d, "part").where("p_size < 3").select(F.concat(F.lit("file:P/BRAND1"), "p_size").alias("object_id"))
-    return analysis.coverage_status(outputs, _lineage(spark, d, whole), gaps)
+    return analysis.coverage_status(outputs, _lineage(spark, d), gaps)
 
 
-@query(f"WITH {LINEAGE}, {STATUS} SELECT * FROM status", whole=True)
-def coverage_status(spark, d, whole=False):
-    return _status(spark, d, whole)
+@query(f"WITH {LINEAGE}, {STATUS} SELECT * FROM status")
+def coverage_status(spark, d):
+    return _status(spark, d)
 
 
-@query(f"WITH {LINEAGE}, {STATUS} SELECT count(*) AS n_outputs, count_if(status = 'resolved')::BIGINT AS n_resolved, count_if(status = 'partial')::BIGINT AS n_partial, count_if(status = 'unresolved')::BIGINT AS n_unresolved, round(100.0 * count_if(status = 'resolved') / count(*), 1)::DOUBLE AS resolved_pct FROM status", whole=True)
-def coverage_summary(spark, d, whole=False):
-    return analysis.coverage_summary(_status(spark, d, whole))
+@query(f"WITH {LINEAGE}, {STATUS} SELECT count(*) AS n_outputs, count_if(status = 'resolved')::BIGINT AS n_resolved, count_if(status = 'partial')::BIGINT AS n_partial, count_if(status = 'unresolved')::BIGINT AS n_unresolved, round(100.0 * count_if(status = 'resolved') / count(*), 1)::DOUBLE AS resolved_pct FROM status")
+def coverage_summary(spark, d):
+    return analysis.coverage_summary(_status(spark, d))
 
 
 @query("""
@@ -505,19 +488,19 @@ def complexity_buckets(spark, d):
 GRAPH_EDGES = """
 edges AS (
   SELECT DISTINCT 'program:P/S' || l_suppkey AS src, 'file:F/R' || n_regionkey AS dst, 'writes' AS kind, 3 AS rank FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  UNION SELECT DISTINCT 'program:P/S' || l_suppkey, 'file:F/B' || right(p_brand, 2), 'reads', 2 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 17 = 0
-  UNION SELECT DISTINCT 'program:P/S' || l_suppkey, 'column:F/B' || right(p_brand, 2) || '.C' || (p_size % 4), 'reads', CASE WHEN l_linenumber = 1 THEN 2 ELSE 1 END FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 17 = 0
+  UNION SELECT DISTINCT 'program:P/S' || l_suppkey, 'file:F/B' || right(p_brand, 2), 'reads', 2 FROM lineitem JOIN part ON l_partkey = p_partkey
+  UNION SELECT DISTINCT 'program:P/S' || l_suppkey, 'column:F/B' || right(p_brand, 2) || '.C' || (p_size % 4), 'reads', CASE WHEN l_linenumber = 1 THEN 2 ELSE 1 END FROM lineitem JOIN part ON l_partkey = p_partkey
   UNION SELECT DISTINCT 'file:F/B' || right(p_brand, 2), 'file:F/T' || (p_size % 3), 'derives_from', 3 FROM part WHERE right(p_brand, 1) = '1'
   UNION SELECT DISTINCT 'column:F/R' || n_regionkey || '.C0', 'column:F/B' || right(p_brand, 2) || '.C1', 'derives_from', 2 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size = n_regionkey),
 flow AS (SELECT dst AS src, src AS dst, rank FROM edges WHERE kind = 'writes' UNION SELECT src, dst, rank FROM edges WHERE kind = 'derives_from' OR (kind = 'reads' AND src LIKE 'program:%'))"""
 
 
-def _lineage_graph(spark, d, whole: bool = False) -> DataFrame:
+def _lineage_graph(spark, d) -> DataFrame:
     lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     place = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
     placed = lines.join(place, F.col("l_suppkey") == F.col("s_suppkey"))
     program, brand = F.concat(F.lit("program:P/S"), "l_suppkey"), F.concat(F.lit("F/B"), F.right(F.col("p_brand"), F.lit(2)))
-    some = _rows(lines, "l_orderkey % 17 = 0", whole)
+    some = lines
     made = [
         placed.select(program.alias("src"), F.concat(F.lit("file:F/R"), "n_regionkey").alias("dst"), F.lit("writes").alias("kind"), F.lit("confirmed").alias("confidence")),
         some.select(program, F.concat(F.lit("file:"), brand), F.lit("reads"), F.lit("parsed")),
@@ -540,19 +523,19 @@ cols AS (SELECT output_id, node, min(depth) AS depth, max(rank) AS rank, 'derive
   UNION ALL SELECT c.output_id, e.dst, c.depth + 1, least(c.rank, e.rank), 'used' FROM cone c JOIN edges e ON e.src = c.node AND e.kind = 'reads' AND e.dst LIKE 'column:%' WHERE c.node LIKE 'program:%'),
 best AS (SELECT output_id, 'file:' || regexp_replace(substr(node, 8), '\\.[^.]*$', '') AS source_file, split_part(node, '.', 2) AS source_column, relation, arg_min({{'d': depth, 'r': rank}}, depth * 10 - rank) AS b FROM cols GROUP BY output_id, node, relation)
 SELECT output_id, node AS source_file, NULL AS source_column, depth AS path_len, ['unresolved', 'inferred', 'parsed', 'confirmed'][rank + 1] AS min_confidence, 'derives' AS relation FROM cone JOIN base USING (node)
-UNION ALL SELECT output_id, source_file, source_column, b.d, ['unresolved', 'inferred', 'parsed', 'confirmed'][b.r + 1], relation FROM best WHERE source_file IN (SELECT node FROM base)""", whole=True)
-def output_lineage_rows(spark, d, whole=False):
+UNION ALL SELECT output_id, source_file, source_column, b.d, ['unresolved', 'inferred', 'parsed', 'confirmed'][b.r + 1], relation FROM best WHERE source_file IN (SELECT node FROM base)""")
+def output_lineage_rows(spark, d):
     region = table(spark, d, "region")
     seeds = region.select(F.concat(F.lit("R"), "r_regionkey").alias("output_id"), F.concat(F.lit("file:F/R"), "r_regionkey").alias("node"))
     columns = region.select(F.concat(F.lit("R"), "r_regionkey").alias("output_id"), F.concat(F.lit("column:F/R"), "r_regionkey", F.lit(".C0")).alias("node"))
-    return analysis.output_lineage(seeds, columns, _lineage_graph(spark, d, whole))
+    return analysis.output_lineage(seeds, columns, _lineage_graph(spark, d))
 
 
 @query("""
 SELECT 'N' || s_nationkey AS program, p_brand AS field, count(DISTINCT p_partkey) AS n_files, count(DISTINCT p_size) AS n_bases, CASE WHEN count(DISTINCT p_size) > 1 THEN 'inferred' ELSE 'parsed' END AS confidence
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE p_size < 4 GROUP BY ALL""")
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
 def same_base_vs_ambiguous(spark, d):
-    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part").where("p_size < 4"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     bases = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), F.col("p_size").cast("string").alias("base"))
     return analysis.same_base(lines.select(F.concat(F.lit("N"), "s_nationkey").alias("program"), F.col("p_brand").alias("field"), F.col("p_partkey").cast("string").alias("file")).distinct(), bases)
 
@@ -624,9 +607,26 @@ def hostvar_normalize(spark, d):
     return table(spark, d, "part").select("p_partkey", text.hostvars_to_markers(_script()).alias("stmt"))
 
 
-@query(f"SELECT p_partkey, replace(replace(replace({SCRIPT}, ' WITH UR', '  '), 'FROM LIB/', 'FROM LIB.'), 'INTO LIB/', 'INTO LIB.') AS stmt FROM part")
+@query("""SELECT p_partkey, unnest([0, 1, 2]) AS seq, unnest([
+  'SELECT A , ' || p_partkey || ' FROM LIB.' || upper(replace(p_brand, '#', '')) || ' JOIN Q.T' || p_size || ' ON A / B = ''WITH UR''',
+  'CREATE TABLE LIB.N' || p_size || ' ( A CHAR ( 3 ) DEFAULT ''x'' , B INT , C INT DEFAULT - ' || p_size || ' )',
+  'DELETE FROM T WHERE A = : HV' || p_size || '.X']) AS stmt FROM part""")
 def strip_dialect(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.strip_dialect(_script()).alias("stmt"))
+    size, brand = F.col("p_size"), F.replace("p_brand", F.lit("#"))
+    first = [F.lit("select a, "), "p_partkey", F.lit(" from lib / "), brand, F.lit(" join q/t"), size, F.lit(" on a/b = 'WITH UR' skip locked data for read only optimize for "), size, F.lit(" rows with "), F.element_at(F.array(*map(F.lit, ("ur", "cs", "rs", "rr", "nc"))), 1 + size % 5)]
+    second = [F.lit("create table lib/n"), size, F.lit(" (a char(3) ccsid "), size, F.lit(" with default 'x', b for column bb int with default, c int with default -"), size, F.lit(") rcdfmt r"), size]
+    third = [F.lit("delete from t where a = :hv"), size, F.lit(".x with nc -- note")]
+    made = table(spark, d, "part").select("p_partkey", F.posexplode(F.array(F.concat(*first), F.concat(*second), F.concat(*third))).alias("seq", "sql"))
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(2, "stmt", pa.array([upper_but_strings(sql.plain_text(t)) for t in batch["sql"].to_pylist()]))
+
+    return made.mapInArrow(plain, "p_partkey long, seq int, stmt string")
+
+
+def upper_but_strings(text: str) -> str:
+    return "".join(p if k % 2 else p.upper() for k, p in enumerate(re.split("('[^']*')", text)))
 
 
 @query("""SELECT o_orderkey, CASE WHEN s >= 3600 THEN format('{}:{:02d}:{:02d}', s // 3600, (s // 60) % 60, s % 60) ELSE format('{:02d}:{:02d}', (s // 60) % 60, s % 60) END AS shown FROM (SELECT o_orderkey, floor(o_totalprice / 20)::BIGINT AS s FROM orders)""")

@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from headwater import queries
 from headwater.queries import ORACLE_SQL, QUERIES
+from headwater.session import table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -33,3 +35,12 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
 
 def test_entry_lists_the_catalogue():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
+
+
+def test_relations_are_of_whole_tables(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    assert queries._references(spark, sf_dir).count() == lines.count()
+    ties = queries._graph(spark, sf_dir).where("src LIKE 'S%' AND dst LIKE 'P%'").count()
+    assert ties == lines.select("l_suppkey", "l_partkey").distinct().count()
+    seeds = {r["seed"] for r in QUERIES["move_chain"](spark, sf_dir).select("seed").collect()}
+    assert seeds == {r["o_orderkey"] for r in table(spark, sf_dir, "orders").collect() if r["o_orderkey"] > 8}
