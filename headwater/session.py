@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+WRITTEN = "written-"
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -21,6 +23,7 @@ def local_session(cpus: int | str = 8, name: str = "headwater", **conf: str) ->
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -45,17 +48,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or one for tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/headwater"
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or the one that was set on its context.
+
+    Only a local session, as in tests, may do without: its driver and executors are one process.
+    """
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if (held := sc._jsc.sc().getCheckpointDir()).isDefined():
+        return held.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/headwater-checkpoints"
 
 
 def written(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet in the shared folder, and read back from there."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{WRITTEN}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove what ``written`` wrote, when nothing will read it again; other tables are left alone."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith(WRITTEN):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage into the reliable folder of ``spark.checkpoint.dir``.
 
