@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import library_of, short_name
 from ..operators.closure import closure, lineage_flow, transitive_callers
-from ..operators.resolve import ColumnShapeError
+from ..operators.resolve import ColumnShapeError, in_scope
 from .catalog import CATALOG_PULLS, OUTFILES, Pull, conform
 from .config import Config
 from .host import HostProfile, HostSession, source_of, sources_in_bulk
+from .members import MemberReader, alias_commands, text_by_path
 from .store import LAYERS, Store
 
 #: Messages of a library or object that is not there.
@@ -24,6 +25,8 @@ NOT_THERE = ("CPF3064", "CPF9810")
 BULK_FROM = 20
 MAX_ROUNDS = 5
 PAIR_CHUNK = 500
+#: Source lines that the driver holds before they go to the store.
+PORTION = 200_000
 
 
 @dataclass
@@ -65,9 +68,8 @@ def select_text(pull: Pull, available: set[str], where: str = "") -> str:
     return f"SELECT {', '.join(columns)} FROM QSYS2.{pull.source}" + (f" WHERE {where}" if where else "")
 
 
-def labelled(spark: SparkSession, result, pull: Pull) -> DataFrame:
+def labelled(frame: DataFrame, pull: Pull) -> DataFrame:
     """A result as the pull's table: by label, or by place where the labels say nothing and the width agrees."""
-    frame = result.frame(spark)
     try:
         return conform(frame, pull)
     except ColumnShapeError:
@@ -80,13 +82,19 @@ class Extractor:
     def __init__(self, spark: SparkSession, session: HostSession, config: Config, store: Store, profile: HostProfile | None = None):
         self.spark, self.session, self.config, self.store = spark, session, config, store
         self.profile, self.notes = profile or HostProfile(), Notes()
+        self.touched: set[str] = set()
 
     def _append(self, table: str, rows: DataFrame, keys: tuple[str, ...]) -> None:
         have = self.store.read(table)
         fresh = rows.join(have.select(*keys).distinct(), list(keys), "left_anti") if not have.isEmpty() else rows
         fresh = fresh.dropDuplicates()
         self.store.write(table, fresh, "append")
-        self.notes.rows[table] = self.store.count(table)
+        self.touched.add(table)
+
+    def _counted(self) -> Notes:
+        """The notes with the rows of every table that was written."""
+        self.notes.rows |= {table: self.store.count(table) for table in sorted(self.touched)}
+        return self.notes
 
     def catalog(self, only: list[tuple[str, str]] | None = None) -> None:
         """Every catalog pull, of the configured libraries or of the given (library, name) pairs."""
@@ -101,18 +109,14 @@ class Extractor:
                 text = select_text(pull, self.profile.columns_of(pull.source), where)
                 tag = f"catalog.{pull.table.removeprefix('raw_')}"
                 try:
-                    found = labelled(self.spark, self.session.query(text, tag=tag), pull)
+                    found = labelled(self.session.pull(self.spark, text, tag), pull)
+                    if only is not None:  # hosts may select more than asked for
+                        found = in_scope(found, self.spark.createDataFrame(only, "lib string, name string"), pull.schema, pull.name, pull.alias)
+                    self._append(pull.table, found, (pull.schema, pull.name))
                 except ColumnShapeError:
                     raise
                 except Exception as error:
                     self.notes.fail(tag, error)
-                    continue
-                if only is not None:  # hosts may select more than asked for
-                    pairs = self.spark.createDataFrame(only, "lib string, name string")
-                    from ..operators.resolve import in_scope
-
-                    found = in_scope(found, pairs, pull.schema, pull.name, pull.alias)
-                self._append(pull.table, found, (pull.schema, pull.name))
 
     def outfiles(self, targets: dict[str, list[tuple[str, str]]] | None = None) -> None:
         """Cross-reference pulls: of all objects in each library, or of given (library, name) targets by table."""
@@ -125,7 +129,10 @@ class Extractor:
                     continue
                 try:
                     self.session.run_command(f"{pull.source} {'PGM' if pull.source == 'DSPPGMREF' else 'FILE'}({lib}/{name}) OUTPUT(*OUTFILE) OUTFILE({self.config.scratch}/{pull.source})")
-                    found = labelled(self.spark, self.session.query(f"SELECT * FROM {self.config.scratch}.{pull.source}", tag=tag), pull)
+                    found = labelled(self.session.pull(self.spark, f"SELECT * FROM {self.config.scratch}.{pull.source}", tag), pull)
+                    if name != "*ALL":
+                        found = found.where((F.upper(pull.schema) == lib) & (F.upper(pull.name) == name))
+                    self._append(pull.table, found, (pull.schema, pull.name))
                 except ColumnShapeError:
                     raise
                 except Exception as error:
@@ -133,22 +140,42 @@ class Extractor:
                         self.notes.dead.add(lib)
                     else:
                         self.notes.fail(f"{tag} {lib}/{name}", error)
-                    continue
-                if name != "*ALL":
-                    found = found.where((F.upper(pull.schema) == lib) & (F.upper(pull.name) == name))
-                self._append(pull.table, found, (pull.schema, pull.name))
+
+    def reader(self) -> MemberReader:
+        """Reads members the way that is configured; ``auto`` tries paths unless the host is known to lack them."""
+
+        def lines(sql: str, library: str, srcfile: str, member: str) -> list[str]:
+            return [str(r[-1] or "") for r in self.session.query(sql, tag=f"source.text.{library}.{srcfile}.{member}").rows]
+
+        def by_path(*where: str) -> list[str]:
+            return lines(text_by_path(*where), *where)
+
+        def by_alias(*where: str) -> list[str]:
+            create, text, drop = alias_commands(self.config.scratch, *where)
+            self.session.run_command(create)
+            try:
+                return lines(text, *where)
+            finally:
+                self.session.run_command(drop)
+
+        way = self.config.options.get("source_strategy", "auto")
+        lacking = self.profile.label != "unknown" and not self.profile.has_ifs_read
+        return MemberReader(by_path, by_alias, "alias" if way == "auto" and lacking else way)
 
     def members(self, only: set[str] | None = None) -> None:
-        """The text of the members of every configured source file; one that fails is noted and passed over."""
-        from .members import MemberReader
+        """The text of the members of every configured source file; one that fails is noted and passed over.
 
+        Lines go to the store in portions, so the driver holds one portion and one member.
+        """
         rows: list[tuple] = []
 
-        def by_tag(library: str, srcfile: str, member: str) -> list[str]:
-            found = self.session.query(f"SELECT SRCSEQ, SRCDTA FROM {library}.{srcfile}", tag=f"source.text.{library}.{srcfile}.{member}")
-            return [str(r[-1] or "") for r in found.rows]
+        def put() -> None:
+            if rows:
+                found = self.spark.createDataFrame(rows, LAYERS["raw"]["raw_source_members"])
+                self._append("raw_source_members", found, ("library", "srcfile", "member"))
+                rows.clear()
 
-        reader = MemberReader(None, by_tag)
+        reader = self.reader()
         for library, srcfile in self.config.source_files:
             try:
                 listed = self.session.query(f"SELECT * FROM QSYS2.SYSPARTITIONSTAT WHERE TABLE_SCHEMA = '{library}' AND TABLE_NAME = '{srcfile}'", tag=f"source.members.{library}.{srcfile}")
@@ -160,15 +187,16 @@ class Extractor:
                 kind = row.get("member_type") or row.get("source_type")
                 if name and (only is None or name.upper() in only):
                     rows += [(library, srcfile, name, kind, i, text) for i, text in enumerate(reader.read(library, srcfile, name), 1)]
+                    if len(rows) >= PORTION:
+                        put()
+        put()
         self.notes.failed += reader.stats.errors[:3]
-        found = self.spark.createDataFrame(rows, LAYERS["raw"]["raw_source_members"])
-        self._append("raw_source_members", found, ("library", "srcfile", "member"))
 
     def full(self) -> Notes:
         self.catalog()
         self.outfiles()
         self.members()
-        return self.notes
+        return self._counted()
 
     def targeted(self, rounds: int = MAX_ROUNDS) -> Notes:
         """From the outputs outwards, at most ``rounds`` times: pull what the graph reaches, parse it, look again."""
@@ -195,7 +223,7 @@ class Extractor:
             known |= fresh
         rows = [(kind, lib, name, n, why, source) for (kind, lib, name), (n, why, source) in sorted(known.items())]
         self.store.write("slice_objects", self.spark.createDataFrame(rows, LAYERS["raw"]["slice_objects"]))
-        return self.notes
+        return self._counted()
 
     def _reached(self, graph: dict[str, DataFrame]) -> dict[tuple[str, str, str], tuple[str, str]]:
         """Files and programs upstream of the outputs, and the programs that call those. The slice is what one run explains; it is configured to be small."""

@@ -32,6 +32,7 @@ class QueryResult:
 
 
 class HostSession(Protocol):
+    def pull(self, spark: SparkSession, sql: str, tag: str = "") -> DataFrame: ...
     def query(self, sql: str, params: tuple = (), tag: str = "") -> QueryResult: ...
     def run_command(self, command: str, tag: str = "") -> None: ...
     def close(self) -> None: ...
@@ -63,6 +64,9 @@ class RecordedSession:
             raise found
         return QueryResult(list(found["columns"]), [tuple(r) for r in found["rows"]])
 
+    def pull(self, spark: SparkSession, sql: str, tag: str = "") -> DataFrame:
+        return self.query(sql, tag=tag).frame(spark)
+
     def run_command(self, command: str, tag: str = "") -> None:
         self.commands.append(command)
         found = self.responses.get(f"command:{command}")
@@ -98,12 +102,25 @@ class JdbcSession:
         return reader.option("query", sql).load()
 
     def query(self, sql: str, params: tuple = (), tag: str = "") -> QueryResult:
+        """Small results, as rows; what may be large is pulled."""
         if params:
             raise HostError("parameters are written into the text before a JDBC read")
+
+        def rows() -> QueryResult:
+            found = self.frame(sql)
+            return QueryResult(found.columns, [tuple(r) for r in found.toLocalIterator()])
+
+        return self._tried(rows)
+
+    def pull(self, spark: SparkSession, sql: str, tag: str = "") -> DataFrame:
+        """A result as text columns that executors read from the host; nothing of it passes the driver."""
+        found = self._tried(lambda: self.frame(sql))
+        return found.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in found.columns])
+
+    def _tried(self, read: Callable):
         for wait in (*self.WAITS, None):
             try:
-                found = self.frame(sql)
-                return QueryResult(found.columns, [tuple(r) for r in found.toLocalIterator()])
+                return read()
             except Exception as error:
                 if wait is None:
                     raise HostError(str(error)) from error

@@ -51,6 +51,19 @@ def printable_share(lines: DataFrame) -> DataFrame:
     return lines.agg(F.round(F.sum(F.length(F.regexp_replace(text, r"[^\x20-\x7E\t]", ""))) / F.greatest(F.sum(F.length(text)), F.lit(1)), 4).alias("printable_share"))
 
 
+def text_by_path(library: str, srcfile: str, member: str) -> str:
+    """The lines of a member as the integrated file system shows it."""
+    place = f"/QSYS.LIB/{library.upper()}.LIB/{srcfile.upper()}.FILE/{member.upper()}.MBR"
+    return f"SELECT LINE_NUMBER, LINE FROM TABLE(QSYS2.IFS_READ(PATH_NAME => '{place}')) ORDER BY LINE_NUMBER"
+
+
+def alias_commands(scratch: str, library: str, srcfile: str, member: str) -> tuple[str, str, str]:
+    """(command that puts an alias over the member, its text as a query, command that drops it)."""
+    alias = f"{scratch}.HWMEMBER"
+    run = lambda sql: f"RUNSQL SQL('{sql}') COMMIT(*NONE)"
+    return run(f"CREATE OR REPLACE ALIAS {alias} FOR {library}.{srcfile} ({member})"), f"SELECT SRCSEQ, SRCDTA FROM {alias} ORDER BY SRCSEQ", run(f"DROP ALIAS {alias}")
+
+
 @dataclass
 class RetrievalStats:
     fetched: int = 0

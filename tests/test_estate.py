@@ -24,47 +24,53 @@ def rows(df, *columns):
 
 
 LINEAGE = {
-    ("CUST_MONTHLY_RPT", "derives", "CUSTMAST", None, 3, "confirmed"),
-    ("CUST_MONTHLY_RPT", "derives", "ORDHIST", None, 2, "parsed"),
-    ("CUST_MONTHLY_RPT", "derives", "CUSTMAST", "CUSTNAME", 2, "parsed"),
-    ("CUST_MONTHLY_RPT", "derives", "CUSTMAST", "CUSTNO", 2, "inferred"),
-    ("CUST_MONTHLY_RPT", "derives", "ORDHIST", "AMOUNT", 1, "parsed"),
-    ("CUST_MONTHLY_RPT", "derives", "ORDHIST", "CUSTNO", 1, "inferred"),
-    ("CUST_MONTHLY_RPT", "used", "ORDHIST", "CUSTNO", 2, "parsed"),
-    *{("CUST_MONTHLY_RPT", "used", "ORDHIST", c, 2, "inferred") for c in ("ORDNO", "AMOUNT", "ORDDATE")},
-    ("ORDER_EXTRACT", "derives", "ORDERS", None, 2, "confirmed"),
-    *{("ORDER_EXTRACT", "derives", "ORDERS", c, 1, "parsed") for c in ("ORDNO", "AMOUNT")},
-    *{("ORDER_EXTRACT", "used", "ORDERS", c, 2, "parsed") for c in ("ORDNO", "AMOUNT")},
-    ("ORDER_SUMMARY", "derives", "ORDERS", None, 2, "confirmed"),
-    *{("ORDER_SUMMARY", "derives", "ORDERS", c, 1, "parsed") for c in ("ORDNO", "AMOUNT")},
-    *{("ORDER_SUMMARY", "used", "ORDERS", c, 2, "inferred") for c in ("ORDNO", "CUSTNO", "AMOUNT", "ORDDATE")},
+    ("BILLS", "derives", "SITE", None, 3, "confirmed"),
+    ("BILLS", "derives", "READOLD", None, 2, "parsed"),
+    ("BILLS", "derives", "SITE", "STREET", 2, "parsed"),
+    ("BILLS", "derives", "SITE", "SITEID", 2, "parsed"),
+    ("BILLS", "derives", "READOLD", "VOLUME", 1, "parsed"),
+    ("BILLS", "used", "READOLD", "MTRID", 2, "parsed"),
+    *{("BILLS", "used", "READOLD", c, 2, "inferred") for c in ("RDATE", "VOLUME")},
+    ("USAGE", "derives", "METER", None, 2, "confirmed"),
+    ("USAGE", "derives", "READING", None, 2, "confirmed"),
+    *{("USAGE", "derives", "READING", c, 1, "parsed") for c in ("MTRID", "VOLUME")},
+    ("USAGE", "derives", "METER", "FACTOR", 1, "parsed"),
+    *{("USAGE", "used", "READING", c, 2, "parsed") for c in ("MTRID", "VOLUME")},
+    *{("USAGE", "used", "METER", c, 2, "parsed") for c in ("MTRID", "FACTOR", "INSTALL")},
+    ("DAILY", "derives", "READING", None, 2, "confirmed"),
+    *{("DAILY", "derives", "READING", c, 1, "parsed") for c in ("RDATE", "VOLUME")},
+    *{("DAILY", "used", "READING", c, 2, "inferred") for c in ("MTRID", "RDATE", "VOLUME")},
 }
 
 
 def test_output_lineage(tables):
-    found = rows(tables["output_lineage"], "output_id", "relation", F.regexp_replace("source_file", "^file:APPLIB/", ""), "source_column", "path_len", "min_confidence")
+    found = rows(tables["output_lineage"], "output_id", "relation", F.regexp_replace("source_file", "^file:HYDLIB/", ""), "source_column", "path_len", "min_confidence")
     assert found == LINEAGE
 
 
 def test_complexity_and_coverage(spark, tables):
-    assert rows(tables["complexity_scores"], "output_id", "path_depth", "complex_pgms", "override_depth", "unresolved", "bucket") == {
-        ("CUST_MONTHLY_RPT", 3, 0, 1, 0, "moderate"),
-        ("ORDER_EXTRACT", 2, 0, 0, 0, "replicate_as_view"),
-        ("ORDER_SUMMARY", 2, 0, 0, 0, "replicate_as_view"),
-        ("MISSING_OUT", 0, 0, 0, 0, "full_reengineering"),
+    found = {r["output_id"]: r for r in tables["complexity_scores"].collect()}
+    assert {k: (r["path_depth"], r["complex_pgms"], r["bucket"]) for k, r in found.items()} == {
+        "BILLS": (3, 0, "moderate"),
+        "USAGE": (2, 0, "replicate_as_view"),
+        "DAILY": (2, 0, "replicate_as_view"),
+        "PLANNED": (0, 0, "full_reengineering"),
     }
-    found = report.coverage(spark, tables, estate.CONFIG)
-    assert found["outputs"]["MISSING_OUT"] == "unresolved" and found["summary"]["n_outputs"] == 4
+    assert found["BILLS"]["override_depth"] > 0 and found["DAILY"]["override_depth"] == 0 and all(r["unresolved"] == 0 for r in found.values())
+    status = report.coverage(spark, tables, estate.CONFIG)
+    assert status["outputs"]["PLANNED"] == "unresolved" and status["summary"]["n_outputs"] == 4
 
 
 def test_candidates(tables):
     found = [json.loads(r["payload"]) for r in tables["product_candidates"].orderBy("rank").collect()]
-    assert found[0]["fanout"] == 2 and found[0]["shared_sources"] == ["file:APPLIB/ORDERS"]
+    assert [(c["rank"], c["kind"], c["outputs"], c["fanout"], c["shared_sources"]) for c in found] == [(1, "cluster", ["DAILY", "USAGE"], 2, ["file:HYDLIB/READING"])]
 
 
-def test_override_supersedes_the_compiled_reference(tables):
-    reads = rows(tables["edges"].where("src = 'program:APPLIB/RPT001' AND kind = 'reads' AND dst LIKE 'file:%'"), "dst", "provenance")
-    assert ("file:APPLIB/ORDHIST", "source_cl") in reads and not any(d == "file:APPLIB/ORDERS" for d, _ in reads)
+def test_an_override_reaches_programs_that_called_ones_call(tables):
+    reads = lambda program: rows(tables["edges"].where(f"src = 'program:HYDLIB/{program}' AND kind = 'reads' AND dst LIKE 'file:%'"), "dst", "provenance")
+    assert ("file:HYDLIB/READOLD", "source_cl") in reads("BILLRUN") and not any(d == "file:HYDLIB/READING" for d, _ in reads("BILLRUN"))
+    for program in ("USEXT", "SUMRUN"):
+        assert ("file:HYDLIB/READING", "xref") in reads(program) and not any(d == "file:HYDLIB/READOLD" for d, _ in reads(program))
 
 
 def test_every_edge_has_provenance_and_confidence(tables):
@@ -74,7 +80,7 @@ def test_every_edge_has_provenance_and_confidence(tables):
 
 def test_gaps(tables):
     found = rows(tables["gaps"], "kind", "object_id")
-    assert {("missing_source", "program:APPLIB/GHOST"), ("no_lineage", "file:APPLIB/NOWHERE"), ("unresolved_dynamic_name", "program:APPLIB/CLDYN")} <= found
+    assert {("missing_source", "program:HYDLIB/LOSTPGM"), ("no_lineage", "file:HYDLIB/NOTYET"), ("unresolved_dynamic_name", "program:HYDLIB/VARCL")} <= found
 
 
 def test_analysing_again_repeats_no_gap(spark, tables):
@@ -82,49 +88,58 @@ def test_analysing_again_repeats_no_gap(spark, tables):
     assert again["gaps"].where("kind = 'no_lineage'").count() == 1
 
 
-def test_trace_collapses_logical_files(spark, tables):
-    text = trace.trace_table(spark, tables, "applib/custrpt")
-    assert "CNAME  → 1 base column, min confidence parsed" in text and "collapsed_via=APPLIB/CUSTLF1.CNAME" in text
-    raw = trace.trace_table(spark, tables, "APPLIB.CUSTRPT", raw=True)
-    assert "column:APPLIB/CUSTLF1.CNAME" in raw and "collapsed_via" not in raw
+def test_trace_passes_over_logical_files(spark, tables):
+    text = trace.trace_table(spark, tables, "hydlib/bill")
+    assert "STREETNM  → 1 base column, min confidence parsed" in text and "collapsed_via=HYDLIB/SITELF.STREETNM" in text
+    raw = trace.trace_table(spark, tables, "HYDLIB.BILL", raw=True)
+    assert "column:HYDLIB/SITELF.STREETNM" in raw and "collapsed_via" not in raw
+    usage = trace.trace_table(spark, tables, "HYDLIB/USAGEX")
+    assert "VOL  → 2 base columns" in usage and "STAMP  → no resolved lineage" in usage
+
+
+def test_a_view_over_a_join_of_columns(tables):
+    found = rows(tables["edges"].where("src = 'column:HYDLIB/ZONEV.PLACE'"), "dst", "kind")
+    assert found == {("column:HYDLIB/SITE.STREET", "derives_from"), ("column:HYDLIB/SITE.POSTCD", "derives_from")}
 
 
 def test_diagnose_names_the_writer(spark, tables):
-    text = "\n".join(trace.diagnose(spark, tables, "APPLIB/ORDEXT"))
-    assert "<- writes: program:APPLIB/SQLEXT" in text and "APPLIB/SQLEXT: sql_pure" in text and "missing_source: 1" in text
+    text = "\n".join(trace.diagnose(spark, tables, "HYDLIB/USAGEX"))
+    assert "<- writes: program:HYDLIB/USEXT" in text and "HYDLIB/USEXT: sql_pure" in text and "missing_source: 1" in text
 
 
 def test_physical_flow_has_tables_only(spark, tables):
     from headwater.operators.closure import lineage_flow
 
     found = rows(report.physical_flow(tables, lineage_flow(tables["edges"]), estate.CONFIG.seeds[0]), "src", "dst")
-    assert ("file:APPLIB/CUSTRPT", "file:APPLIB/ORDHIST") in found and ("file:APPLIB/CUSTRPT", "file:APPLIB/CUSTMAST") in found
-    assert not any("CUSTLF1" in s + d or "program" in s + d for s, d in found)
+    assert ("file:HYDLIB/BILL", "file:HYDLIB/READOLD") in found and ("file:HYDLIB/BILL", "file:HYDLIB/SITE") in found
+    assert not any("SITELF" in s + d or "program" in s + d for s, d in found)
 
 
 def test_reports(spark, tables, tmp_path):
     report.write_reports(spark, tables, estate.CONFIG, str(tmp_path))
     summary = (tmp_path / "summary.html").read_text()
-    page = (tmp_path / "CUST_MONTHLY_RPT.html").read_text()
-    assert "ORDER_EXTRACT" in summary and "replicate_as_view" in summary and "<svg" in page and "APPLIB/ORDHIST" in page
+    page = (tmp_path / "BILLS.html").read_text()
+    assert "USAGE" in summary and "replicate_as_view" in summary and "<svg" in page and "HYDLIB/READOLD" in page
     assert json.loads((tmp_path / "coverage.json").read_text())["summary"]["n_outputs"] == 4
     assert spark.read.option("header", True).csv(str(tmp_path / "tables" / "edges")).count() == tables["edges"].count()
-    assert not spark.read.json(str(tmp_path / "cones" / "ORDER_EXTRACT" / "edges")).isEmpty()
+    assert not spark.read.json(str(tmp_path / "cones" / "USAGE" / "edges")).isEmpty()
 
 
 def test_partial_override_keeps_both_files(spark):
     members = dict(estate.MEMBERS)
-    members["QCLSRC", "CLDRIVER", "CLP"] = ["PGM", "CALL PGM(RPT001)", "OVRDBF FILE(ORDERS) TOFILE(APPLIB/ORDHIST)", "CALL PGM(RPT001)", "ENDPGM"]
+    members["CLSRC", "STEPCL", "CLLE"] = ["PGM", "CALL PGM(SUMRUN)", "OVRDBF FILE(READING) TOFILE(HYDLIB/METER)", "CALL PGM(SUMRUN)", "ENDPGM"]
+    members["CLSRC", "NIGHTCL", "CLP"] = ["PGM", "ENDPGM"]
+    del members["CLSRC", "VARCL", "CLP"]
     raw = estate.raw_tables(spark, estate.raw_rows(members))
     graph = pipeline.build(spark, raw | pipeline.parse(raw["raw_source_members"]), estate.CONFIG)
-    reads = rows(graph["edges"].where("src = 'program:APPLIB/RPT001' AND kind = 'reads' AND dst LIKE 'file:%'"), "dst")
-    assert {("file:APPLIB/ORDHIST",), ("file:APPLIB/ORDERS",)} <= reads
+    reads = rows(graph["edges"].where("src = 'program:HYDLIB/SUMRUN' AND kind = 'reads' AND dst LIKE 'file:%'"), "dst")
+    assert {("file:HYDLIB/METER",), ("file:HYDLIB/READING",)} <= reads
 
 
 def test_move_chain_and_untraced_fields(spark):
     e = estate
     members = {
-        ("QRPGSRC", "BUF", "RPG"): [
+        ("RPGSRC", "BUF", "RPG"): [
             e.f_spec("INBUF", "I", "F"), e.f_spec("OUTBUF", "O", "F"),
             e.i_spec("INBUF"), e.i_spec("", "INFLD", "1", "5"),
             e.c_spec("", "MOVE", "INFLD", "WORK1"), e.c_spec("", "MOVEL", "WORK1", "OUTA"), e.c_spec("", "Z-ADD", "0", "OUTB"), e.c_spec("", "MOVE", "UDATE", "OUTC"), e.c_spec("", "MOVE", "NOWHERE", "OUTD"),
@@ -138,6 +153,6 @@ def test_move_chain_and_untraced_fields(spark):
     assert rows(parsed["program_classification"], "program_class", "needs_review") == {("program_described_or_complex", True)}
     graph = pipeline.build(spark, raw | parsed, e.CONFIG)
     made = rows(graph["edges"].where("provenance = 'source_rpg' AND kind = 'derives_from'"), "src", "dst", "confidence", F.col("context")["via"], F.col("context")["mechanism"])
-    assert made == {("column:APPLIB/OUTBUF.OUTA", "column:APPLIB/INBUF.INFLD", "parsed", "WORK1", "cspec_move_chain")}
+    assert made == {("column:HYDLIB/OUTBUF.OUTA", "column:HYDLIB/INBUF.INFLD", "parsed", "WORK1", "cspec_move_chain")}
     why = rows(graph["gaps"].where("kind = 'rpg_untraced_output_field'"), F.substring_index("object_id", ".", -1), F.col("context")["reason"])
     assert why == {("OUTB", "constant"), ("OUTC", "runtime_value"), ("OUTD", "work_variables"), ("OUTE", "unowned")}

@@ -18,10 +18,10 @@ def responses():
     columns = lambda t: label.get(t) or [c.split()[0].upper() for c in LAYERS["raw"][t].split(", ")]
     out = {f"catalog.{t.removeprefix('raw_')}": {"columns": columns(t), "rows": raw.get(t, [])} for t in ("raw_systables", "raw_syscolumns", "raw_sysviews", "raw_sysviewdep", "raw_syspartitionstat")}
     out |= {f"xref.{t.removeprefix('raw_')}": {"columns": columns(t), "rows": raw[t]} for t in ("raw_dsppgmref", "raw_dspdbr", "raw_dspffd")}
-    for srcfile in ("QCLSRC", "QRPGSRC", "QDDSSRC"):
+    for srcfile in ("CLSRC", "RPGSRC", "DDSSRC"):
         own = {(m, t): lines for (s, m, t), lines in estate.MEMBERS.items() if s == srcfile}
-        out[f"source.members.APPLIB.{srcfile}"] = {"columns": ["MEMBER", "MEMBER_TYPE"], "rows": list(own)}
-        out |= {f"source.text.APPLIB.{srcfile}.{m}": {"columns": ["SRCSEQ", "SRCDTA"], "rows": [[i, x] for i, x in enumerate(lines, 1)]} for (m, _), lines in own.items()}
+        out[f"source.members.HYDLIB.{srcfile}"] = {"columns": ["MEMBER", "MEMBER_TYPE"], "rows": list(own)}
+        out |= {f"source.text.HYDLIB.{srcfile}.{m}": {"columns": ["SRCSEQ", "SRCDTA"], "rows": [[i, x] for i, x in enumerate(lines, 1)]} for (m, _), lines in own.items()}
     out["probe.env"] = {"columns": ["OS_VERSION", "OS_RELEASE"], "rows": [[7, 4]]}
     out["probe.ifs_read"] = {"columns": ["N"], "rows": [[1]]}
     return out
@@ -58,22 +58,22 @@ def test_full_and_targeted_extraction_agree(spark, tmp_path):
         extractor = extract.Extractor(spark, host.RecordedSession(responses()), estate.CONFIG, store)
         getattr(extractor, how)() if how == "full" else extractor.targeted(rounds=2)
         found[how] = {tuple(r) for r in store.read("raw_systables").select("table_name").collect()}
-        assert store.read("raw_source_members").where("member = 'RPT001'").count() == 6
+        assert store.read("raw_source_members").where("member = 'BILLRUN'").count() == 6
         if how == "full":
-            assert store.count("raw_dsppgmref") == 13 and store.count("raw_syscolumns") == 24
+            assert store.count("raw_dsppgmref") == 15 and store.count("raw_syscolumns") == 27
             assert members.has_text(store.read("raw_source_members"))
         else:
             kinds = {(r["kind"], r["name"]) for r in store.read("slice_objects").collect()}
-            assert {("file", "CUSTMAST"), ("file", "ORDHIST"), ("program", "RPT001"), ("program", "CLDRIVER")} <= kinds and ("program", "GHOST") not in kinds
+            assert {("file", "SITE"), ("file", "READOLD"), ("program", "BILLRUN"), ("program", "NIGHTCL"), ("program", "STEPCL")} <= kinds
     assert found["targeted"] < found["full"]
 
 
 def test_dead_library_is_asked_once(spark, tmp_path):
-    bad = {"command:DSPPGMREF PGM(APPLIB/*ALL) OUTPUT(*OUTFILE) OUTFILE(QTEMP/DSPPGMREF)": RuntimeError("CPF9810 library not found")}
+    bad = {"command:DSPPGMREF PGM(HYDLIB/*ALL) OUTPUT(*OUTFILE) OUTFILE(QTEMP/DSPPGMREF)": RuntimeError("CPF9810 library not found")}
     session = host.RecordedSession(responses() | bad)
     extractor = extract.Extractor(spark, session, estate.CONFIG, Store(spark, str(tmp_path)))
     extractor.outfiles()
-    assert extractor.notes.dead == {"APPLIB"} and len(session.commands) == 1
+    assert extractor.notes.dead == {"HYDLIB"} and len(session.commands) == 1
 
 
 def test_pull_text_and_shape_errors(spark):
@@ -87,6 +87,23 @@ def test_pull_text_and_shape_errors(spark):
     assert extract.pair_predicates("S", "N", [("A", "X'Y"), ("A", "B"), ("C", "D")], "M", chunk=2) == ["(S = 'A' AND (N IN ('B', 'X''Y') OR M IN ('B', 'X''Y')))", "(S = 'C' AND (N IN ('D') OR M IN ('D')))"]
 
 
+@pytest.mark.parametrize(("way", "known", "commands"), [("auto", None, 0), ("ifs", None, 0), ("alias", None, 4), ("auto", False, 4), ("auto", True, 0)])
+def test_each_member_is_named_in_the_text_sent(spark, way, known, commands):
+    tag = "source.text.HYDLIB.S."
+    session = host.RecordedSession({tag + m: {"columns": ["N", "T"], "rows": [[1, f"text of {m}"]]} for m in ("ONE", "TWO")})
+    profile = None if known is None else host.HostProfile("7", "4", has_ifs_read=known)
+    settings = config.from_dict({"libraries": ["HYDLIB"], "seeds": [{"id": "x", "library": "L", "file": "F"}], "scratch": "WORK", "source_strategy": way})
+    reader = extract.Extractor(spark, session, settings, None, profile).reader()
+    assert [reader.read("HYDLIB", "S", m) for m in ("ONE", "TWO")] == [["text of ONE"], ["text of TWO"]]
+    sent = [sql for _, sql, _ in session.queries]
+    assert len(session.commands) == commands and len(sent) == 2
+    if commands:
+        assert session.commands[:2] == ["RUNSQL SQL('CREATE OR REPLACE ALIAS WORK.HWMEMBER FOR HYDLIB.S (ONE)') COMMIT(*NONE)", "RUNSQL SQL('DROP ALIAS WORK.HWMEMBER') COMMIT(*NONE)"]
+        assert "(TWO)" in session.commands[2] and sent == ["SELECT SRCSEQ, SRCDTA FROM WORK.HWMEMBER ORDER BY SRCSEQ"] * 2
+    else:
+        assert "PATH_NAME => '/QSYS.LIB/HYDLIB.LIB/S.FILE/ONE.MBR'" in sent[0] and "/TWO.MBR'" in sent[1]
+
+
 def test_member_reader_gives_up_on_paths():
     asked = []
 
@@ -157,7 +174,7 @@ def test_call_log_and_stream(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    (tmp_path / "config.yaml").write_text("libraries: [APPLIB]\nsource_files: [QCLSRC, QRPGSRC, QDDSSRC]\nseeds:\n  - {id: ORDER_EXTRACT, library: APPLIB, file: ORDEXT}\n")
+    (tmp_path / "config.yaml").write_text("libraries: [HYDLIB]\nsource_files: [CLSRC, RPGSRC, DDSSRC]\nseeds:\n  - {id: USAGE, library: HYDLIB, file: USAGEX}\n")
     host.RecordedSession.record(responses(), tmp_path / "host")
     (tmp_path / "session.json").write_text(json.dumps({"kind": "recorded", "folder": str(tmp_path / "host")}))
     base = ["--quiet", "--config", str(tmp_path / "config.yaml"), "--store", str(tmp_path / "store")]
@@ -166,14 +183,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("profile", "--session", str(tmp_path / "session.json"), "--out", str(tmp_path / "profile.json")) == 0
     assert "advice" in json.loads((tmp_path / "profile.json").read_text())
     assert run("run", "--session", str(tmp_path / "session.json"), "--out", str(tmp_path / "report")) == 0
-    assert (tmp_path / "report" / "ORDER_EXTRACT.html").exists()
+    assert (tmp_path / "report" / "USAGE.html").exists()
     capsys.readouterr()
     assert run("query", "SELECT output_id, count(*) AS n FROM output_lineage GROUP BY 1", "--csv") == 0
-    assert capsys.readouterr().out.splitlines() == ["output_id,n", "ORDER_EXTRACT,5"]
+    assert capsys.readouterr().out.splitlines() == ["output_id,n", "USAGE,10"]
     assert run("query", "DROP TABLE edges") == 1 and run("query", "SELECT nothing FROM nowhere") == 1
     capsys.readouterr()
-    assert run("trace-columns", "--table", "APPLIB/ORDEXT") == 0 and "AMT  → 1 base column" in capsys.readouterr().out
-    assert run("diagnose", "--table", "APPLIB/ORDEXT") == 0 and "known names: ORDEXT" in capsys.readouterr().out
+    assert run("trace-columns", "--table", "HYDLIB/USAGEX") == 0 and "VOL  → 2 base columns" in capsys.readouterr().out
+    assert run("diagnose", "--table", "HYDLIB/USAGEX") == 0 and "known names: USAGEX" in capsys.readouterr().out
     assert run("sql-errors") == 0
     assert run("query", "SELECT count(*) AS n FROM call_log", "--logs", str(tmp_path / "store" / "logs" / "calls.jsonl")) == 0
 
