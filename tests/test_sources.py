@@ -49,6 +49,8 @@ def test_jdbc_retries_and_gives_up(spark):
     with pytest.raises(host.HostError):
         session.query("SELECT 1")
     assert waits == [2, 4, 8, 16]
+    with pytest.raises(host.HostError, match="scratch"):
+        extract.Extractor(spark, session, estate.CONFIG, None)
 
 
 def test_full_and_targeted_extraction_agree(spark, tmp_path):
