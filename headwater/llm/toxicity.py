@@ -26,6 +26,7 @@ text of any length is scored whole.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -43,7 +44,7 @@ FEATURES = 8
 FOLDS = 4
 STEPS, ROUNDS = 600, 5
 PER_CLASS = 2000
-BATCH_WINDOWS = 4096
+BATCH_WINDOWS = 2048
 EDGE = ".,;:!?\"'()[]{}*$&%#|-_<>/\\"
 
 
@@ -64,21 +65,6 @@ class Vocabulary:
     words: dict[str, float] = field(default_factory=dict)
     pieces: dict[str, float] = field(default_factory=dict)
 
-    @classmethod
-    def of(cls, words: list[Counter], grams: list[Counter], least: int = 3) -> Vocabulary:
-        """From counts by label."""
-
-        def odds(counts: list[Counter]) -> dict[str, float]:
-            total = [sum(c.values()) + 1 for c in counts]
-            out = {}
-            for item in sorted(counts[0].keys() | counts[1].keys()):
-                a, b = counts[1][item], counts[0][item]
-                if a + b >= least:
-                    out[item] = float(np.log((a + 0.5) / total[1]) - np.log((b + 0.5) / total[0])) * (a + b) / (a + b + 4)
-            return out
-
-        return cls(odds(words), odds(grams))
-
     def inputs(self, words: list[str]) -> np.ndarray:
         """FEATURES numbers of each word."""
         get, seen, flat, sizes, own = self.pieces.get, self.words.get, [], [], []
@@ -94,16 +80,38 @@ class Vocabulary:
         return np.column_stack([own[:, :4], np.maximum.reduceat(flat, starts), np.add.reduceat(flat, starts) / sizes, own[:, 4:]]).astype(np.float32)
 
 
-def counts_of(rows: list[tuple[str, int]]) -> tuple[list[Counter], list[Counter]]:
-    """By label: the texts that hold each word, and the same summed over the words of each piece."""
-    words, grams = [Counter(), Counter()], [Counter(), Counter()]
-    for text, y in rows:
-        words[y].update({w.strip(EDGE) for w in split_words(text)})
-    for y in (0, 1):
-        for word, n in words[y].items():
-            for piece in set(pieces_of(word)):
-                grams[y][piece] += n
-    return words, grams
+class Counts:
+    """Over training texts in folds: how many of each label hold each word, and the same summed over the words of each piece.
+
+    Items are numbered once; what is held beside their names is a number for each item, fold and label.
+    """
+
+    def __init__(self, folds: list[list[tuple[str, int]]]):
+        self.names: list[dict[str, int]] = [{}, {}]
+        words, grams = self.names
+        parts: list[list] = [[], []]
+        for rows in folds:
+            for y in (0, 1):
+                held = Counter(w for text, label in rows if label == y for w in {w.strip(EDGE) for w in split_words(text)})
+                own, pieces, times = array("q"), array("q"), array("q")
+                for word, n in held.items():
+                    own.append(words.setdefault(word, len(words)))
+                    for piece in set(pieces_of(word)):
+                        pieces.append(grams.setdefault(piece, len(grams)))
+                        times.append(n)
+                parts[0].append((own, array("q", held.values())))
+                parts[1].append((pieces, times))
+        self.tables = [np.array([np.bincount(np.array(i, np.int64), np.array(n, np.int64), len(names)) for i, n in part], np.float32).reshape(-1, 2, len(names)) for names, part in zip(self.names, parts, strict=True)]
+
+    def vocabulary(self, used: list[int], least: int = 3) -> Vocabulary:
+        """The odds by some of the folds."""
+        found = []
+        for names, table in zip(self.names, self.tables, strict=True):
+            b, a = table[used].sum(axis=0, dtype=np.float64)
+            odds = (np.log((a + 0.5) / (a.sum() + 1)) - np.log((b + 0.5) / (b.sum() + 1))) * (a + b) / (a + b + 4)
+            kept = a + b >= least
+            found.append({name: float(odds[k]) for name, k in names.items() if kept[k]})
+        return Vocabulary(*found)
 
 
 class Tokens:
@@ -149,7 +157,7 @@ class Tokens:
 def windows_of(ids: list[int]) -> np.ndarray:
     """(windows, WINDOW) token ids, padded at the end with -1; the last window ends with the text."""
     n = max(1, -(-(len(ids) - WINDOW) // STRIDE) + 1)
-    padded = np.full((n - 1) * STRIDE + WINDOW, -1, np.int64)
+    padded = np.full((n - 1) * STRIDE + WINDOW, -1, np.int32)
     padded[: len(ids)] = ids
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
@@ -254,7 +262,9 @@ class ToxicityModel:
 
     def gates(self, values: np.ndarray) -> np.ndarray:
         """Input sums of tokens, (6H, tokens)."""
-        return (self.parameters["W"] @ values.T + self.parameters["b"]).astype(np.float32)
+        made = self.parameters["W"] @ values.T
+        made += self.parameters["b"]
+        return made
 
 
 def greatest(logits: np.ndarray, starts: list[int]) -> np.ndarray:
@@ -340,10 +350,10 @@ def fit(sample: list[tuple[str, int]], toxic_share: float | None = None, steps:
     if min(map(len, by.values())) < FOLDS:
         return ToxicityModel(Vocabulary(), {}, 1.0, 0.0, share)
     folds = [[(t, y) for y in (0, 1) for t in by[y][k::FOLDS]] for k in range(FOLDS)]
-    counted = [counts_of(f) for f in folds]
-    of = lambda some: Vocabulary.of(*([sum((counted[k][part][y] for k in some), Counter()) for y in (0, 1)] for part in (0, 1)))
-    read = read_sample([(folds[k], of([j for j in range(FOLDS) if j != k])) for k in range(FOLDS)])
-    model = ToxicityModel(of(range(FOLDS)), new_parameters(), 1.0, 0.0, share)
+    counts = Counts(folds)
+    read = read_sample([(folds[k], counts.vocabulary([j for j in range(FOLDS) if j != k])) for k in range(FOLDS)])
+    model = ToxicityModel(counts.vocabulary(list(range(FOLDS))), new_parameters(), 1.0, 0.0, share)
+    del counts
     top = train(model, read, steps)
     from .compression import logistic
 
