@@ -81,9 +81,12 @@ def discard(df: DataFrame) -> None:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage into the reliable folder of ``spark.checkpoint.dir``.
 
-    The session's own setting wins; one is set only where none exists, as in tests.
+    The session's own setting wins; one is set only where none exists, as in tests. A checkpoint keeps the size that
+    the plan was estimated at, a product for each join, so over the rounds of an iteration the number itself fills
+    the driver; what is returned reads the same partitions without any estimate.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)

@@ -130,6 +130,14 @@ def test_components_of_a_long_chain(spark):
     assert components.connected_components(edges.where("u < 0")).isEmpty()
 
 
+def test_rounds_of_components_pile_up_no_estimate(spark):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(k), k) for k in range(1, 400)], "u long, v long")
+    found = components.connected_components(edges)
+    assert {r["component"] for r in found.collect()} == {0}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 300
+
+
 def test_awkward_rows(awkward, nothing):
     found = simhash.near_duplicates(awkward).collect()
     by = {r["doc_id"]: r for r in found}
