@@ -12,8 +12,9 @@ The comparison is exact and therefore still quadratic in the number of *distinct
 by what the population counts exclude. Memory of a task is two tiles and one block, at any input size.
 
 The query's fingerprints have 64 bits of all 3-word shingles, and link at 3 bits. ``keep_one``, for the
-pipeline, takes 256 bits of the distinct 5-word shingles and confirms the links that it finds by the sets
-themselves, at a similarity of 0.8 or more.
+pipeline, takes 256 bits of the distinct 5-word shingles and confirms links by the sets themselves, at a
+similarity of 0.8 or more: those of the forest first, and then, where some of them fail, every other pair
+within the radius whose ends are still apart.
 
 A null text counts as empty; an empty text (no words) has fingerprint zero and links like any other, and
 a text of fewer words than a shingle is one shingle. Equal fingerprints are one group before any
@@ -98,17 +99,13 @@ def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root[:] = nearer
 
 
-def forest(size: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray, spread: int = 1) -> np.ndarray:
-    """Places of the links that make a spanning forest, the nearest pairs first; then one of what is left, ``spread`` in all."""
-    left, kept = np.arange(len(i)), [np.zeros(0, np.int64)]
-    for _ in range(spread):
-        root, taken = np.arange(size), np.zeros(len(i), bool)
-        for bits in np.unique(apart[left]):
-            own = left[apart[left] == bits]
-            taken[own[unite(root, i[own], j[own])]] = True
-        kept.append(np.flatnonzero(taken))
-        left = left[~taken[left]]
-    return np.concatenate(kept)
+def forest(size: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places of the links that make a spanning forest, the nearest pairs first."""
+    root, taken = np.arange(size), np.zeros(len(i), bool)
+    for bits in np.unique(apart):
+        own = np.flatnonzero(apart == bits)
+        taken[own[unite(root, i[own], j[own])]] = True
+    return np.flatnonzero(taken)
 
 
 def bits_of(prints: np.ndarray) -> np.ndarray:
@@ -116,10 +113,10 @@ def bits_of(prints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, spread: int = 1, block: int = 512, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): ``spread`` least spanning forests of the links of two tiles, (rows, lanes) each; within left where right is None.
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, block: int = 512, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): a least spanning forest of the links of two tiles, (rows, lanes) each; within left where right is None.
 
-    i and j count left's rows and then right's. Links beyond ``most`` are reduced to their forests as they come.
+    i and j count left's rows and then right's. Links beyond ``most`` are reduced to their forest as they come.
     """
     every = left if right is None else np.concatenate([left, right])
     lanes = every.shape[1]
@@ -135,7 +132,7 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, spread:
 
     def reduce() -> list[np.ndarray]:
         i, j, d = (np.concatenate([f, *w]) for f, w in zip(found, zip(*waiting, strict=True), strict=True)) if waiting else found
-        kept = forest(len(every), i, j, d, spread)
+        kept = forest(len(every), i, j, d)
         waiting.clear()
         return [i[kept], j[kept], d[kept]]
 
@@ -185,8 +182,26 @@ def tiles(sizes: dict[int, int], bits: int, tile: int) -> list[tuple[int, int, i
     return out
 
 
-def near_links(nodes: DataFrame, radius: int = 3, tile: int = 65_536, lanes: int = 1, spread: int = 1) -> DataFrame:
-    """(u, v): links between distinct fingerprints, ``spread`` least spanning forests of every tile pair's.
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each run of equal numbers in the key columns."""
+    held, key = [], None
+    for batch in batches:
+        values = np.stack([batch[k].to_numpy() for k in keys])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s == e:
+                continue
+            if held and key != values[:, s].tolist():
+                yield pa.Table.from_batches(held)
+                held = []
+            key = values[:, s].tolist()
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def near_links(nodes: DataFrame, radius: int = 3, tile: int = 65_536, lanes: int = 1) -> DataFrame:
+    """(u, v): links between distinct fingerprints, a least spanning forest of every tile pair's.
 
     ``nodes``: (fp), each once. ``tile`` is the aimed number of fingerprints in a tile.
     """
@@ -216,30 +231,16 @@ def near_links(nodes: DataFrame, radius: int = 3, tile: int = 65_536, lanes: int
     dealt = dealt.repartitionById(parts, F.pmod(F.col("a") * reach + F.col("b") - F.col("a"), F.lit(parts)).cast("int"))
     dealt = dealt.sortWithinPartitions("a", "b", "second", "fp")
 
-    def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
+    def compare(table: pa.Table) -> pa.RecordBatch:
         held_fps = table["fp"].to_pylist()
         prints = np.frombuffer(b"".join(held_fps), ">u8").astype(np.uint64).reshape(-1, lanes)
         cut = len(table) - int(table["second"].to_numpy().sum())
         same = table["a"][0] == table["b"][0]
-        i, j = tile_links(prints[:cut], None if same else prints[cut:], radius, spread)
+        i, j = tile_links(prints[:cut], None if same else prints[cut:], radius)
         return pa.RecordBatch.from_arrays([pa.array([held_fps[k] for k in ends.tolist()], pa.binary()) for ends in (i, j)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for batch in batches:
-            a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
-            cuts = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist(), len(a)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if s == e:
-                    continue
-                if held and key != (a[s], b[s]):
-                    yield compare(held)
-                    held = []
-                key = (a[s], b[s])
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield compare(held)
+        return map(compare, runs(batches, "a", "b"))
 
     return dealt.mapInArrow(run, "u binary, v binary")
 
@@ -273,31 +274,105 @@ def radius_of(similarity: float, bits: int, slack: float = 3.0) -> int:
     return round(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
 
 
-def similar_enough(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The links (u, v) whose texts' sets of distinct shingles have at least that similarity. texts: (fp, text).
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(fp, grams): the sorted 64-bit hashes of a text's distinct shingles, one row for each fingerprint. texts: (fp, text)."""
 
-    Only texts with a link are carried, each once for each of its links in the forest.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for part in slices(batches):
+            made = [np.unique(np.fromiter((digest(g, SEED) for g in shingles(t or "", width)), np.uint64)).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["fp", "grams"])
+
+    return texts.mapInArrow(run, "fp binary, grams binary").groupBy("fp").agg(F.min("grams").alias("grams"))
+
+
+def similar(a: pa.BinaryScalar, b: pa.BinaryScalar, similarity: float) -> bool:
+    """Whether two sets of hashes have at least that Jaccard similarity; two empty ones have."""
+    x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def similar_enough(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (u, v) whose sets have at least that similarity. sets: (fp, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2):
-            a, b = ([set(shingles(t or "", width)) for t in part.column(c).to_pylist()] for c in (2, 3))
-            true = [len(x & y) >= similarity * len(x | y) - 1e-9 for x, y in zip(a, b, strict=True)]
-            yield part.select(["u", "v"]).filter(pa.array(true))
-
-    ends = links.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    held = checkpoint(texts.join(ends, "fp", "left_semi"))
-    left, right = held.select(F.col("fp").alias("u"), F.col("text").alias("a")), held.select(F.col("fp").alias("v"), F.col("text").alias("b"))
+        for part in batches:
+            true = [similar(a, b, similarity) for a, b in zip(part.column("a"), part.column("b"), strict=True)]
+            yield part.select(["u", "v"]).filter(pa.array(true, pa.bool_()))
+
+    left, right = sets.select(F.col("fp").alias("u"), F.col("grams").alias("a")), sets.select(F.col("fp").alias("v"), F.col("grams").alias("b"))
     return links.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = 4, tile: int = 65_536, spread: int = 4) -> DataFrame:
+def links_between(links: DataFrame, sure: DataFrame, sets: DataFrame, radius: int, similarity: float, lanes: int, block: int) -> DataFrame:
+    """(u, v): what else joins the classes that the ``sure`` ones of the links make: similar pairs within the radius, as a forest of each block pair.
+
+    All pairs within the radius lie inside components of the links, so only components of several classes are
+    left, and of their pairs those between classes, one end of which is outside the component's largest class.
+    Members are dealt into blocks, and so are those outside; every block of the first meets every one of the second.
+    """
+    spark = links.sparkSession
+    whole, own = connected_components(links), connected_components(sure).withColumnRenamed("component", "own")
+    members = checkpoint(whole.join(own, "node", "left").select(F.col("node").alias("fp"), "component", F.coalesce("own", "node").alias("own")))
+    sizes = members.groupBy("component", "own").agg(F.count("*").alias("n")).groupBy("component").agg(F.sum("n").alias("n"), F.max(F.struct("n", "own")).alias("most"))
+    split = sizes.where("n > most.n AND n > 2")  # the only link of two has been tried
+    count = lambda n: F.ceil(n / block).cast("long")
+    at = lambda n: F.pmod(F.xxhash64("fp"), n)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    held = members.join(split, "component").select(F.xxhash64("component").alias("c"), "fp", "own", (F.col("own") != F.col("most.own")).alias("minor"), count(F.col("n")).alias("p"), count(F.col("n") - F.col("most.n")).alias("q"))
+    held = checkpoint(held)
+    first = held.select("c", at(F.col("p")).alias("a"), upto(F.col("q")).alias("b"), F.lit(False).alias("second"), "fp", "own", "minor")
+    second = held.where("minor").select("c", upto(F.col("p")).alias("a"), at(F.col("q")).alias("b"), F.lit(True).alias("second"), "fp", "own", "minor")
+    dealt = first.union(second).join(sets, "fp")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "c", "a", "b").sortWithinPartitions("c", "a", "b", "second", "fp")
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        fps, grams = table["fp"].to_pylist(), table["grams"]
+        prints = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(-1, lanes)
+        minor, cut = table["minor"].to_pylist(), len(table) - sum(table["second"].to_pylist())
+        codes: dict[bytes, int] = {}
+        classes = np.array([codes.setdefault(x, len(codes)) for x in table["own"].to_pylist()])
+        root, found = list(range(len(codes))), []
+
+        def end(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        apart = np.bitwise_count(prints[:cut, None] ^ prints[None, cut:]).sum(axis=2, dtype=np.int64)
+        i, j = np.nonzero((apart <= radius) & (classes[:cut, None] != classes[None, cut:]))
+        order = np.argsort(apart[i, j], kind="stable")
+        for x, y in zip(i[order].tolist(), (j[order] + cut).tolist(), strict=True):
+            if minor[x] and fps[x] > fps[y]:
+                continue  # this pair's other order is tried too
+            a, b = end(classes[x]), end(classes[y])
+            if a != b and similar(grams[x], grams[y], similarity):
+                root[b] = a
+                found.append((fps[x], fps[y]))
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(compare, runs(batches, "c", "a", "b"))
+
+    return dealt.mapInArrow(run, "u binary, v binary")
+
+
+def sent_whole(side: DataFrame, most: int = 100_000) -> DataFrame:
+    """The side of a join, marked to be sent to every task where it has few rows, so that the other side's texts stay in place."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = 4, tile: int = 65_536, block: int = 256) -> DataFrame:
     """The columns of ``docs``: of each group the row with the smallest id, once; rows without an id stay.
 
-    Two texts are linked if their sets of distinct shingles have the similarity: the fingerprints of the
-    candidates differ by at most ``radius_of``, and the shingles themselves decide. Candidates are ``spread`` least
-    spanning forests, link by link apart, of all pairs within the radius, so a group of near copies has only that
-    many times its texts. A link is lost only where each forest joins its ends by nearer candidates that fail.
+    Two texts are linked if their sets of distinct shingles have the similarity and their fingerprints differ by at
+    most ``radius_of``. A least spanning forest of all pairs within the radius is tried first, so a group of near
+    copies has only as many links as texts. Where some of a component's links fail, all its pairs within the radius
+    between the classes made so far are tried (``links_between``): no pair within the radius is left out.
 
     Groups are of fingerprints, not of ids, so an id with two texts that are no near copies keeps both. Of equal
     ids in one group the row whose hash over all columns is least stays, so the choice is the same in every run.
@@ -305,11 +380,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     marked = docs.where(F.col(id_col).isNotNull()).withColumn("_mark", F.xxhash64(*(x for c in docs.columns for x in (F.col(c).isNull(), F.col(c)))))
     prints = checkpoint(fingerprints(marked, id_col, text_col, width, lanes, False, "_mark"))
     nodes = checkpoint(prints.groupBy("fp").agg(F.min(F.struct("id", "_mark")).alias("row")))
-    links = checkpoint(near_links(nodes, radius_of(similarity, LANE * lanes), tile, lanes, spread).distinct())
-    linked = nodes.join(links.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "row.*")
-    own = marked.select(F.col(id_col).cast("long").alias("id"), "_mark", F.col(text_col).alias("text")).join(linked, ["id", "_mark"])
-    texts = own.groupBy("fp").agg(F.min("text").alias("text"))
-    groups = grouped(nodes, similar_enough(links, texts, width, similarity), "row")
-    kept = groups.select("least.*").distinct().withColumnRenamed("id", id_col)
-    one = marked.join(kept, [id_col, "_mark"], "left_semi").dropDuplicates([id_col, "_mark"])
-    return one.drop("_mark").unionByName(docs.where(F.col(id_col).isNull()))
+    radius = radius_of(similarity, LANE * lanes)
+    links = checkpoint(near_links(nodes, radius, tile, lanes).distinct())
+    linked = checkpoint(nodes.join(links.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "row.*"))
+    own = marked.select(F.col(id_col).cast("long").alias("id"), "_mark", F.col(text_col).alias("text")).join(sent_whole(linked), ["id", "_mark"])
+    sets = checkpoint(shingle_sets(own.select("fp", "text"), width))
+    sure = checkpoint(similar_enough(links, sets, similarity))
+    more = checkpoint(links_between(links, sure, sets, radius, similarity, lanes, block))
+    groups = grouped(nodes, sure.union(more), "row")
+    kept = groups.select("least.*").distinct().withColumn("_kept", F.lit(True))
+    rows = prints.groupBy("id", "_mark").agg(F.count("*").alias("_n")).join(kept, ["id", "_mark"], "left")
+    odd = checkpoint(rows.where("_kept IS NULL OR _n > 1").withColumnRenamed("id", id_col))  # those that go, or come more than once
+    one = marked.join(sent_whole(odd.drop("_kept", "_n")), [id_col, "_mark"], "left_anti")
+    again = marked.join(sent_whole(odd.where("_kept").drop("_kept", "_n")), [id_col, "_mark"], "left_semi").dropDuplicates([id_col, "_mark"])
+    return one.unionByName(again).drop("_mark").unionByName(docs.where(F.col(id_col).isNull()))
