@@ -616,11 +616,14 @@ def strip_dialect(spark, d):
     first = [F.lit("select a, "), "p_partkey", F.lit(" from lib / "), brand, F.lit(" join q/t"), size, F.lit(" on a/b = 'WITH UR' skip locked data for read only optimize for "), size, F.lit(" rows with "), F.element_at(F.array(*map(F.lit, ("ur", "cs", "rs", "rr", "nc"))), 1 + size % 5)]
     second = [F.lit("create table lib/n"), size, F.lit(" (a char(3) ccsid "), size, F.lit(" with default 'x', b for column bb int with default, c int with default -"), size, F.lit(") rcdfmt r"), size]
     third = [F.lit("delete from t where a = :hv"), size, F.lit(".x with nc -- note")]
-    made = table(spark, d, "part").select("p_partkey", F.posexplode(F.array(F.concat(*first), F.concat(*second), F.concat(*third))).alias("seq", "sql"))
+    parts = table(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # a table of one row group is read by one task
+    made = parts.select("p_partkey", F.posexplode(F.array(F.concat(*first), F.concat(*second), F.concat(*third))).alias("seq", "sql"))
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.set_column(2, "stmt", pa.array([upper_but_strings(sql.plain_text(t)) for t in batch["sql"].to_pylist()]))
+            given = batch["sql"].to_pylist()
+            shown = {t: upper_but_strings(sql.plain_text(t)) for t in set(given)}
+            yield batch.set_column(2, "stmt", pa.array([shown[t] for t in given], pa.string()))
 
     return made.mapInArrow(plain, "p_partkey long, seq int, stmt string")
 

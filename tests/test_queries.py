@@ -44,3 +44,8 @@ def test_relations_are_of_whole_tables(spark, sf_dir):
     assert ties == lines.select("l_suppkey", "l_partkey").distinct().count()
     seeds = {r["seed"] for r in QUERIES["move_chain"](spark, sf_dir).select("seed").collect()}
     assert seeds == {r["o_orderkey"] for r in table(spark, sf_dir, "orders").collect() if r["o_orderkey"] > 8}
+
+
+def test_statements_of_one_file_go_to_several_tasks(spark, sf_dir):
+    made = QUERIES["strip_dialect"](spark, sf_dir)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
