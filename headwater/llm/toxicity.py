@@ -117,7 +117,7 @@ class Counts:
 class Tokens:
     """Places of words in a table of the network's input sums, which grows as words come."""
 
-    def __init__(self, most: int = 400_000, most_chars: int = 16_000_000):
+    def __init__(self, most: int = 100_000, most_chars: int = 16_000_000):
         self.most, self.most_chars = most, most_chars
         self.clear()
 

@@ -121,3 +121,8 @@ def test_query_on_its_held_out_fifth(spark, sf, recall):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1
     held = [(r["toxic"], rows[r["doc_id"]]["predicted"]) for r in labels.where("toxic IN (0, 1)").collect() if r["doc_id"] in rows and rows[r["doc_id"]]["held_out"]]
     assert np.mean([p for y, p in held if y]) >= recall and np.mean([p for y, p in held if not y]) <= 0.04
+
+
+def test_words_held_by_a_task_are_few():
+    held = T.Tokens()
+    assert held.most * held.table.itemsize * len(held.table) <= 20 << 20
