@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +82,13 @@ def labelled_sample(
     return [(r["_t"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_y"], r["_o"], r["_t"]))]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can; it would otherwise stay with the driver after a fit."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def distinct_texts(texts: list[str], keys: int = 3, width: int = 5) -> list[str]:
     """A fitting sample without copies: a text goes if it shares a least shingle hash with an earlier one."""
     seen, kept = set(), []

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_texts, held_out, labelled_sample, map_texts, slices
+from .common import distinct_texts, give_back, held_out, labelled_sample, map_texts, slices
 
 BLOCK = PIECE = 1024
 DICTIONARY_BYTES = 1 << 20
@@ -54,8 +54,9 @@ def blocks(raw: bytes) -> list[bytes]:
     return [raw[len(raw) * i // n : len(raw) * (i + 1) // n] for i in range(n)]
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def _compressors(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
+    """The pair last asked for is kept; it takes some twenty times its dictionaries."""
     made = []
     for content in (good, bad):
         held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -117,6 +118,7 @@ def fit(sample: list[tuple[str, int]], good_share: float | None = None) -> Compr
             own = by[y][k::FOLDS]
             measured += [difference(t, good, bad) for t in own]
             labels += [y] * len(own)
+        _compressors.cache_clear()  # before the next pair is made, and before the driver goes on
     y = np.array(labels, float)
     weights = logistic(expand(measured), y, 0.1)
     odds = lambda p: np.log(max(p, 1e-3) / max(1 - p, 1e-3))
@@ -137,7 +139,9 @@ def fit_labels(docs: DataFrame, labels: DataFrame, label: str = "quality", per_c
     """Fit on the bounded sample; the share of each label is counted over all learnable labels."""
     counts = dict(labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy(F.col(label).cast("int")).count().collect())
     total = sum(counts.values())
-    return fit(labelled_sample(docs, labels, label, per_class), counts.get(1, 0) / total if total else 0.5)
+    model = fit(labelled_sample(docs, labels, label, per_class), counts.get(1, 0) / total if total else 0.5)
+    give_back()
+    return model
 
 
 def score(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:

@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, distinct_texts, held_out, labelled_sample, map_texts
+from .common import chunks, distinct_texts, give_back, held_out, labelled_sample, map_texts
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, KEYS = 8, 8
@@ -65,8 +65,14 @@ class Vocabulary:
     words: dict[str, float] = field(default_factory=dict)
     pieces: dict[str, float] = field(default_factory=dict)
 
-    def inputs(self, words: list[str]) -> np.ndarray:
-        """FEATURES numbers of each word."""
+    def inputs(self, words: list[str], block: int = 8192) -> np.ndarray:
+        """FEATURES numbers of each word, made for a block of words at a time."""
+        made = np.empty((len(words), FEATURES), np.float32)
+        for s in range(0, len(words), block):
+            made[s : s + block] = self._inputs(words[s : s + block])
+        return made
+
+    def _inputs(self, words: list[str]) -> np.ndarray:
         get, seen, flat, sizes, own = self.pieces.get, self.words.get, [], [], []
         for word in words:
             bare = word.strip(EDGE)
@@ -77,7 +83,7 @@ class Vocabulary:
             own.append((odds or 0.0, odds is None, found[0], found[1], min(len(bare), 20) / 10, bare != word))
         flat, sizes, own = np.array(flat, np.float32), np.array(sizes), np.array(own, np.float32)
         starts = np.cumsum(sizes) - sizes
-        return np.column_stack([own[:, :4], np.maximum.reduceat(flat, starts), np.add.reduceat(flat, starts) / sizes, own[:, 4:]]).astype(np.float32)
+        return np.column_stack([own[:, :4], np.maximum.reduceat(flat, starts), np.add.reduceat(flat, starts) / sizes, own[:, 4:]])
 
 
 class Counts:
@@ -101,7 +107,10 @@ class Counts:
                         times.append(n)
                 parts[0].append((own, array("q", held.values())))
                 parts[1].append((pieces, times))
-        self.tables = [np.array([np.bincount(np.array(i, np.int64), np.array(n, np.int64), len(names)) for i, n in part], np.float32).reshape(-1, 2, len(names)) for names, part in zip(self.names, parts, strict=True)]
+        self.tables = [np.zeros((len(folds), 2, len(names)), np.float32) for names in self.names]
+        for table, part in zip(self.tables, parts, strict=True):
+            for row, (i, n) in zip(table.reshape(len(part), -1), part, strict=True):
+                row[:] = np.bincount(np.array(i, np.int64), np.array(n, np.int64), len(row))
 
     def vocabulary(self, used: list[int], least: int = 3) -> Vocabulary:
         """The odds by some of the folds."""
@@ -295,12 +304,18 @@ class Sample:
     values: np.ndarray
 
     def logits(self, model: ToxicityModel) -> np.ndarray:
-        gates = model.gates(self.values)
-        return np.concatenate([run_network(model.parameters, gates, self.windows[s : s + BATCH_WINDOWS]) for s in range(0, len(self.windows), BATCH_WINDOWS)])
+        """A batch of windows at a time, with the input sums of its own tokens only."""
+        found = []
+        for s in range(0, len(self.windows), BATCH_WINDOWS):
+            ids = self.windows[s : s + BATCH_WINDOWS]
+            distinct, local = np.unique(ids, return_inverse=True)
+            gates = model.gates(self.values[np.maximum(distinct, 0)])
+            found.append(run_network(model.parameters, gates, np.where(ids >= 0, local.reshape(ids.shape), -1)))
+        return np.concatenate(found)
 
 
-def read_sample(parts: list[tuple[list[tuple[str, int]], Vocabulary]]) -> Sample:
-    """(text, label) rows, each part read with its own vocabulary."""
+def read_sample(parts: Iterable[tuple[list[tuple[str, int]], Vocabulary]]) -> Sample:
+    """(text, label) rows, each part read with its own vocabulary; only one part's words and vocabulary are held."""
     found, values, labels = [], [], []
     for rows, vocabulary in parts:
         tokens, shift = Tokens(), sum(map(len, values))
@@ -309,6 +324,7 @@ def read_sample(parts: list[tuple[list[tuple[str, int]], Vocabulary]]) -> Sample
             found.append(np.where(ids >= 0, ids + shift, -1))
             labels.append(y)
         values.append(vocabulary.inputs(tokens.fresh or [""]))
+        del tokens, vocabulary
     return Sample(np.concatenate(found), np.cumsum([0, *map(len, found)])[:-1], np.array(labels, np.float32), np.concatenate(values))
 
 
@@ -351,7 +367,7 @@ def fit(sample: list[tuple[str, int]], toxic_share: float | None = None, steps:
         return ToxicityModel(Vocabulary(), {}, 1.0, 0.0, share)
     folds = [[(t, y) for y in (0, 1) for t in by[y][k::FOLDS]] for k in range(FOLDS)]
     counts = Counts(folds)
-    read = read_sample([(folds[k], counts.vocabulary([j for j in range(FOLDS) if j != k])) for k in range(FOLDS)])
+    read = read_sample((folds[k], counts.vocabulary([j for j in range(FOLDS) if j != k])) for k in range(FOLDS))
     model = ToxicityModel(counts.vocabulary(list(range(FOLDS))), new_parameters(), 1.0, 0.0, share)
     del counts
     top = train(model, read, steps)
@@ -366,7 +382,9 @@ def fit_labels(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_cla
     """Fit on the bounded sample; the share of each label is counted over all learnable labels."""
     counts = dict(labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy(F.col(label).cast("int")).count().collect())
     total = sum(counts.values())
-    return fit(labelled_sample(docs, labels, label, per_class), counts.get(1, 0) / total if total else 0.0)
+    model = fit(labelled_sample(docs, labels, label, per_class), counts.get(1, 0) / total if total else 0.0)
+    give_back()
+    return model
 
 
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:

@@ -82,3 +82,11 @@ def test_query_on_its_held_out_fifth(spark, sf):
     alone = np.array([C.difference(t, model.good, model.bad)[0] for t, _, _ in held])
     assert area(alone, y) >= 0.9 and area(np.array([r["score"] for *_, r in held]), y) >= 0.95
     assert np.mean([r["predicted"] == label for _, label, r in held]) >= 0.95 and not [t for t, label, r in held if label and not r["predicted"]][1:]
+
+
+def test_a_fit_holds_one_pair_of_compressors_and_leaves_none(monkeypatch):
+    held, difference = [], C.difference
+    monkeypatch.setattr(C, "difference", lambda *a: [difference(*a), held.append(C._compressors.cache_info().currsize)][0])
+    C._compressors.cache_clear()
+    C.fit([(" ".join(f"{'word' if k % 2 else '$$buy'}{k}x{i}" for i in range(50)), k % 2) for k in range(40)])
+    assert set(held) == {1} and C._compressors.cache_info().currsize == 0

@@ -126,3 +126,22 @@ def test_query_on_its_held_out_fifth(spark, sf, recall):
 def test_words_held_by_a_task_are_few():
     held = T.Tokens()
     assert held.most * held.table.itemsize * len(held.table) <= 20 << 20
+
+
+def test_a_fit_holds_the_input_sums_of_one_batch(model, monkeypatch):
+    rows = documents(120, 9, ["grumbok"])
+    sample = T.read_sample([(rows, model.vocabulary)])
+    whole = T.run_network(model.parameters, model.gates(sample.values), sample.windows)
+    monkeypatch.setattr(T, "BATCH_WINDOWS", 2)
+    asked, gates = [], T.ToxicityModel.gates
+    monkeypatch.setattr(T.ToxicityModel, "gates", lambda self, values: asked.append(len(values)) or gates(self, values))
+    assert np.allclose(sample.logits(model), whole, atol=1e-5)
+    assert len(sample.values) > 2 * T.WINDOW + 1 >= max(asked)
+
+
+def test_a_fit_makes_one_folds_vocabulary_at_a_time(monkeypatch):
+    events, vocabulary, inputs = [], T.Counts.vocabulary, T.Vocabulary.inputs
+    monkeypatch.setattr(T.Counts, "vocabulary", lambda *a: events.append("made") or vocabulary(*a))
+    monkeypatch.setattr(T.Vocabulary, "inputs", lambda *a: events.append("used") or inputs(*a))
+    T.fit(documents(60, 5, ["grumbok"]), steps=5)
+    assert events == ["made", "used"] * T.FOLDS + ["made"]
