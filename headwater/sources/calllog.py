@@ -52,6 +52,10 @@ class LoggedSession:
     def query(self, sql: str, params: tuple = (), tag: str = ""):
         return self._call("sql", sql, tag, lambda: self.session.query(sql, params, tag=tag))
 
+    def pull(self, spark: SparkSession, sql: str, tag: str = "") -> DataFrame:
+        """Logged when the frame is made; what executors read of it later is not timed."""
+        return self._call("sql", sql, tag, lambda: self.session.pull(spark, sql, tag=tag))
+
     def run_command(self, command: str, tag: str = ""):
         return self._call("command", command, tag, lambda: self.session.run_command(command, tag=tag))
 

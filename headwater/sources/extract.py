@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import library_of, short_name
 from ..operators.closure import closure, lineage_flow, transitive_callers
 from ..operators.resolve import ColumnShapeError, in_scope
+from .calllog import LoggedSession
 from .catalog import CATALOG_PULLS, OUTFILES, Pull, conform
 from .config import Config
 from .host import HostError, HostProfile, HostSession, JdbcSession, source_of, sources_in_bulk
@@ -83,7 +84,8 @@ class Extractor:
         self.spark, self.session, self.config, self.store = spark, session, config, store
         self.profile, self.notes = profile or HostProfile(), Notes()
         self.touched: set[str] = set()
-        if isinstance(session, JdbcSession) and config.scratch == "QTEMP":
+        own = session.session if isinstance(session, LoggedSession) else session
+        if isinstance(own, JdbcSession) and config.scratch == "QTEMP":
             raise HostError("scratch: each JDBC read has a QTEMP of its own, so outfiles and aliases need a library")
 
     def _append(self, table: str, rows: DataFrame, keys: tuple[str, ...]) -> None:

@@ -175,6 +175,17 @@ def test_call_log_and_stream(spark, tmp_path):
     assert spark.sql("SELECT sum(n) AS n FROM failures").first()["n"] == 1
 
 
+def test_a_logged_session_pulls_and_is_known_by_its_own_kind(spark, tmp_path):
+    log = calllog.CallLog(tmp_path / "a.jsonl")
+    session = calllog.LoggedSession(host.RecordedSession(responses()), log)
+    extractor = extract.Extractor(spark, session, estate.CONFIG, Store(spark, str(tmp_path / "store")))
+    extractor.catalog()
+    assert extractor.notes.failed == [] and extractor.store.count("raw_syscolumns") == sum(map(len, estate.FIELDS.values()))
+    assert {r["tag"] for r in calllog.read_log(spark, str(tmp_path / "a.jsonl")).where("ok").collect()} >= {"catalog.systables", "catalog.syscolumns"}
+    with pytest.raises(host.HostError, match="scratch"):
+        extract.Extractor(spark, calllog.LoggedSession(object.__new__(host.JdbcSession), log), estate.CONFIG, extractor.store)
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "config.yaml").write_text("libraries: [HYDLIB]\nsource_files: [CLSRC, RPGSRC, DDSSRC]\nseeds:\n  - {id: USAGE, library: HYDLIB, file: USAGEX}\n")
     host.RecordedSession.record(responses(), tmp_path / "host")
